@@ -1 +1,88 @@
-"""Queries."""
+"""Ordered comparisons on the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import chunks, windows as op
+from .registry import ORDERS_AS_OF, plan
+from .shapes import backup_sets, cents
+
+
+@plan("e01_maintenance_plan", """
+WITH w AS (SELECT l_suppkey AS server_id, l_orderkey AS object_id, l_partkey, l_linenumber, CAST(l_quantity AS BIGINT) AS estimated,
+                  CASE l_returnflag WHEN 'R' THEN 1 ELSE 2 END AS priority, l_discount * 100 AS fragmentation_percent, CAST(l_quantity AS BIGINT) AS page_count
+           FROM lineitem WHERE l_returnflag <> 'N'),
+     r AS (SELECT *, coalesce(sum(estimated) OVER (PARTITION BY server_id ORDER BY priority, fragmentation_percent DESC, page_count DESC, object_id, l_partkey, l_linenumber
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS elapsed_before FROM w)
+SELECT server_id, object_id, l_partkey, l_linenumber, estimated, elapsed_before FROM r WHERE elapsed_before < 240
+""")
+def maintenance_plan(t):
+    work = t.lineitem.select(
+        F.col("l_suppkey").alias("server_id"), F.col("l_orderkey").alias("object_id"), "l_partkey", "l_linenumber",
+        F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3).alias("priority"),
+        F.when(F.col("l_returnflag") == "R", "REBUILD").when(F.col("l_returnflag") == "A", "REORGANIZE")
+        .otherwise("NONE").alias("operation"),
+        (F.col("l_discount") * 100).alias("fragmentation_percent"), F.col("l_quantity").cast("long").alias("page_count"))
+    return op.maintenance_plan(work, 240, F.col("page_count"), by=["server_id"],
+                               tie=["object_id", "l_partkey", "l_linenumber"]).select(
+        "server_id", "object_id", "l_partkey", "l_linenumber", "estimated", "elapsed_before")
+
+
+@plan("e02_latest_n", """
+SELECT o_custkey, o_orderkey, o_orderdate FROM
+(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 3
+""")
+def latest_n(t):
+    from ..operators.ordering import latest_n as latest
+    slim = t.orders.select("o_custkey", "o_orderkey", "o_orderdate")
+    return latest(slim, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 3)
+
+
+@plan("e03_counter_rate", """
+WITH p AS (SELECT user_id, event_id, CAST(round(value * 100) AS BIGINT) AS ops,
+                  lag(CAST(round(value * 100) AS BIGINT)) OVER w AS before, lag(ts) OVER w AS ts0, ts
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, event_id, ops, (epoch_us(ts) - epoch_us(ts0)) / 1e6::DOUBLE AS elapsed_seconds, coalesce(ops < before, false) AS ops_reset,
+       CASE WHEN ops >= before THEN ops - before END AS ops_delta,
+       CASE WHEN ops >= before THEN (ops - before)::DOUBLE / nullif((epoch_us(ts) - epoch_us(ts0)) / 1e6::DOUBLE, 0) END AS ops_rate
+FROM p
+""")
+def counter_rate(t):
+    counters = t.events.select("user_id", "event_id", "ts", cents("value").alias("ops"))
+    return op.counter_rate(counters, ["user_id"], "ts", ["ops"], tie=["event_id"], chunk=chunks.day_of("ts")).drop("ts")
+
+
+@plan("e04_long_term_retention", """
+WITH b AS (SELECT o_custkey AS database, o_orderkey AS backup_id, o_orderdate AS created,
+   row_number() OVER (PARTITION BY o_custkey, date_trunc('week', o_orderdate) ORDER BY o_orderdate, o_orderkey) = 1 AND o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 84 DAY AS weekly,
+   row_number() OVER (PARTITION BY o_custkey, date_trunc('month', o_orderdate) ORDER BY o_orderdate, o_orderkey) = 1 AND o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 12 MONTH AS monthly,
+   row_number() OVER (PARTITION BY o_custkey, date_trunc('year', o_orderdate) ORDER BY o_orderdate, o_orderkey) = 1 AND o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 5 YEAR AS yearly
+   FROM orders)
+SELECT * FROM b WHERE weekly OR monthly OR yearly
+""")
+def long_term_retention(t):
+    return op.ltr_keep(backup_sets(t), ORDERS_AS_OF)
+
+
+@plan("e05_sequence_gaps", """
+SELECT c_mktsegment AS source, seq + 1 AS gap_from, after - 1 AS gap_to, after - seq - 1 AS missing FROM
+(SELECT c_mktsegment, o_orderkey AS seq, lead(o_orderkey) OVER (PARTITION BY c_mktsegment ORDER BY o_orderkey) AS after
+ FROM orders JOIN customer ON o_custkey = c_custkey) WHERE after > seq + 1
+""")
+def sequence_gaps(t):
+    segments = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("source"))
+    applied = t.orders.select("o_custkey", F.col("o_orderkey").alias("seq")).join(segments, "o_custkey")
+    return op.sequence_gaps(applied, ["source"], "seq", width=10_000)
+
+
+@plan("e06_run_intervals", """
+SELECT o_custkey AS database, o_orderkey AS run_id, 3600::BIGINT AS duration_seconds,
+       date_diff('second', lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_orderdate) AS interval_seconds
+FROM orders
+""")
+def run_intervals(t):
+    runs = t.orders.select(F.col("o_custkey").alias("database"), F.col("o_orderkey").alias("run_id"),
+                           F.col("o_orderdate").alias("start"),
+                           (F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("finish"))
+    return op.run_intervals(runs, ["database"], tie=["run_id"], chunk=F.year("start")).drop("start", "finish")
