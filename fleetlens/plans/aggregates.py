@@ -195,10 +195,10 @@ h AS (SELECT event_type AS metric, date_trunc('hour', ts) AS hour, CAST(sum(CAST
 
 @plan("d11_hourly_metrics", f"""
 WITH {HOURLY_SQL}
-SELECT metric, sum(average) / count(*)::DOUBLE AS average, max(average) AS maximum FROM h GROUP BY metric
+SELECT metric, round_even(sum(average) / count(*)::DOUBLE, 6) AS average, round_even(max(average), 6) AS maximum FROM h GROUP BY metric
 """)
 def hourly_metrics(t):
-    return op.hourly_metrics(metric_points(t), EVENTS_AS_OF, digits=None)
+    return op.hourly_metrics(metric_points(t), EVENTS_AS_OF, digits=6)
 
 
 @plan("d11_hourly_points", """
