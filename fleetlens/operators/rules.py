@@ -78,7 +78,7 @@ def cache_health(df: DataFrame, keys: Iterable[str] = ("server_id",)) -> DataFra
         Rule(used > 75, "WARNING", "Memory", F.format_string("Memory usage is %.1f%% - monitor closely", used),
              "Plan for memory optimization or scaling", "memory"),
         Rule(ratio > 1.5, "WARNING", "Memory", F.format_string("Memory fragmentation ratio is %.2f", ratio),
-             "Consider restarting the server or using memory defragmentation"),
+             "Consider restarting Redis or using memory defragmentation"),
         Rule(hits < 80, "WARNING", "Performance", F.format_string("Cache hit ratio is %.1f%% - low efficiency", hits),
              "Review caching strategy and TTL settings"),
         Rule(evicted > 0, "INFO", "Memory", F.concat(evicted.cast("string"), F.lit(" keys have been evicted")),
@@ -136,8 +136,8 @@ def collection_advice(servers: DataFrame, collections: DataFrame, keys: Iterable
     server_rules = [
         Rule(used > 80, "WARNING", "Connections",
              F.format_string("High connection usage (%.1f%%). Consider connection pooling.", used), "Use connection pooling"),
-        Rule(F.col("profiling_level") == 0, "INFO", "Profiling", "Database profiling is disabled.",
-             "Enable profiling at level 1 with a threshold of 100 ms"),
+        Rule(F.col("profiling_level") == 0, "INFO", "Profiling",
+             "Database profiling is disabled. Enable with db.setProfilingLevel(1, {slowms: 100}).", "Enable profiling"),
     ]
     many = F.concat(F.lit("Collection '"), F.col("name"), F.lit("' has "), F.col("index_count").cast("string"),
                     F.lit(" indexes. Review for unused indexes."))
@@ -187,7 +187,7 @@ def resource_alerts(metrics: DataFrame, keys: Iterable[str] = ("resource",),
     """Alerts on daily averages of hourly metrics."""
     rules = [
         Rule((F.col("metric") == metric) & (F.col("average") > limit), "WARNING", metric,
-             F.format_string(f"{label} detected: %.2f%%%% average".replace("%%%%", "%%"), F.col("average")),
+             F.format_string(label + " detected: %.2f%% average", F.col("average")),
              "Review the workload or scale up")
         for metric, limit, label in limits
     ]
