@@ -1 +1,205 @@
-"""Queries."""
+"""Readers and writers, fed with text and files made from the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import movement, reports
+from ..sources import backup_reports, exports, files, logs, telemetry
+from ..workspace import new_dir
+from .registry import TABLE_NAMES, plan
+
+
+
+@plan("a01_read_telemetry", "SELECT event_id, ts, user_id, value FROM events WHERE event_type = 'error'")
+def read_telemetry(t):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    landed = telemetry.read_telemetry(t.spark, t.path("events"), schema=schema)
+    return landed.filter(F.col("event_type") == "error").select("event_id", "ts", "user_id", "value")
+
+
+def report_fields(t):
+    """Header name to value, from events."""
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    kib = F.concat(F.floor("value").cast("string"), F.lit(".0K"))
+    known = F.when(F.col("event_type") == "error", F.lit("Unknown")).otherwise(kib)
+    return {
+        "Timestamp": stamp, "Host": F.concat(F.lit("h"), "user_id"), "Instance": F.concat(F.lit("h"), "user_id"),
+        "Server": F.concat(F.lit("h"), "user_id"), "Version": F.lit("v2"), "Database": F.concat(F.lit("db"), "event_id"),
+        "Database_Bucket": F.concat(F.lit("db"), "event_id"), "Oracle_SID": F.concat(F.lit("db"), "event_id"),
+        "BackupType": F.lit("FULL"), "Backup_Type": F.lit("FULL"), "Status": F.col("event_type"),
+        "BackupFile": F.lit("/b/f"), "BackupPath": F.lit("/b/f"), "Backup_Dir": F.lit("/b/f"), "Size": known,
+        "SizeMB": F.floor("value").cast("string"), "Duration": F.lit("N/A"),
+        "Duration_sec": F.floor("value").cast("string"), "Duration(s)": F.floor("value").cast("string"),
+    }
+
+
+@plan("a02_read_backup_reports", """
+WITH e AS (SELECT date_trunc('second', ts) AS ts, 'h' || user_id AS h, 'db' || event_id AS db, event_type AS st, CAST(floor(value) AS BIGINT) AS v,
+  CASE WHEN event_type = 'error' THEN 'Unknown' ELSE CAST(floor(value) AS BIGINT) || '.0K' END AS sz,
+  CASE WHEN event_type <> 'error' THEN floor(value) * 1024.0::DOUBLE END AS b FROM events)
+SELECT 'influxdb' AS layout, ts, h AS server, db AS database, NULL AS kind, st AS status, '/b/f' AS path, sz AS size_text, b AS size_bytes, v::DOUBLE AS duration_seconds FROM e
+UNION ALL SELECT 'db2', ts, h, db, 'FULL', st, '/b/f', sz, b, v::DOUBLE FROM e
+UNION ALL SELECT 'mysql', ts, h, db, NULL, st, '/b/f', sz, b, v::DOUBLE FROM e
+UNION ALL SELECT 'oracle', ts, NULL, db, 'FULL', st, '/b/f', NULL, NULL, NULL FROM e
+UNION ALL SELECT 'postgresql', ts, NULL, db, NULL, st, '/b/f', sz, b, NULL FROM e
+UNION ALL SELECT 'sqlserver', ts, h, db, 'FULL', st, '/b/f', v::VARCHAR, v * 1048576.0::DOUBLE, NULL FROM e
+UNION ALL SELECT 'postgresql_windows', ts, NULL, db, NULL, st, '/b/f', sz, b, NULL FROM e
+""")
+def read_backup_reports(t):
+    fields, root = report_fields(t), new_dir(t.spark, "reports")
+    paths = {layout: f"{root}/{layout}" for layout in backup_reports.LAYOUTS}
+    for layout, header in backup_reports.LAYOUTS.items():
+        t.events.select(*[fields[name].alias(name) for name in header.split(",")]).write.option("header", True).csv(paths[layout])
+    return backup_reports.read_backup_reports(t.spark, paths).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@plan("a03_append_report", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def append_report(t):
+    path = new_dir(t.spark, "report")
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    for status in ("O", "F", "P", "O"):  # the repeated run replaces itself
+        backup_reports.append_report(rows.filter(F.col("o_orderstatus") == status), path, f"run-{status}")
+    return backup_reports.read_report(t.spark, path).drop("run_id")
+
+
+def log_lines(t):
+    """Events as log lines in every layout, one log per user."""
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "WARN").otherwise("INFO")
+    text = F.concat(F.lit("event "), "event_id")
+    kind = F.col("event_id") % 5
+    line = (
+        F.when(kind == 0, F.concat(F.lit("["), stamp, F.lit("] ["), level, F.lit("] "), text))
+        .when(kind == 1, F.concat(F.lit("\x1b[0;31m["), stamp, F.lit("] "), level, F.lit(": "), text, F.lit("\x1b[0m")))
+        .when(kind == 2, F.concat(stamp, F.lit(",123 - "), level, F.lit(" - "), text))
+        .when(kind == 3, F.concat(F.lit("["), stamp, F.lit("] "), text))
+        .otherwise(F.concat(F.lit("no layout: "), text))
+    )
+    return t.events.select(F.concat(F.lit("log"), "user_id").alias("path"), line.alias("value"))
+
+
+LOG_SQL = """
+l AS (SELECT 'log' || user_id AS source, CASE WHEN event_id % 5 < 4 THEN date_trunc('second', ts) END AS ts,
+  CASE WHEN event_id % 5 < 3 THEN CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'WARN' ELSE 'INFO' END END AS level,
+  CASE WHEN event_id % 5 = 4 THEN 'no layout: ' ELSE '' END || 'event ' || event_id AS message,
+  CASE event_id % 5 WHEN 0 THEN 'bracketed' WHEN 1 THEN 'colon' WHEN 2 THEN 'dashed' WHEN 3 THEN 'plain' END AS layout FROM events)
+"""
+
+
+@plan("a04_parse_logs", f"WITH {LOG_SQL} SELECT * FROM l")
+def parse_logs(t):
+    path = new_dir(t.spark, "logs")
+    log_lines(t).withColumnRenamed("path", "log").write.partitionBy("log").text(path)
+    lines = t.spark.read.text(path).select(F.col("log").alias("path"), "value")
+    return logs.parse_logs(lines).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@plan("a04_log_levels", f"WITH {LOG_SQL} SELECT source, level, count(*) AS lines FROM l GROUP BY source, level")
+def log_levels(t):
+    return logs.level_counts(logs.parse_logs(log_lines(t)))
+
+
+@plan("a05_write_report_json", """
+SELECT c_custkey AS server_id, c_mktsegment AS segment, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL
+""")
+def write_report_json(t):
+    path = new_dir(t.spark, "json-report")
+    counts = t.orders.groupBy(F.col("o_custkey").alias("server_id")).agg(F.count("*").alias("orders"))
+    info = t.customer.select(F.col("c_custkey").alias("server_id"), F.col("c_mktsegment").alias("segment"))
+    exports.write_report_json(reports.server_report({"info": info, "totals": counts}, ["server_id"]), path)
+    schema = "server_id long, info struct<segment:string>, totals struct<orders:long>"
+    return t.spark.read.schema(schema).json(path).select(
+        "server_id", "info.segment", F.coalesce("totals.orders", F.lit(0)).alias("orders"))
+
+
+@plan("a06_write_report_csv", """
+SELECT event_type AS metric, max(value) AS maximum, count(*) AS points FROM events GROUP BY event_type
+""")
+def write_report_csv(t):
+    path = new_dir(t.spark, "csv-report")
+    exports.write_report_csv(t.events.groupBy(F.col("event_type").alias("metric")).agg(
+        F.max("value").alias("maximum"), F.count("*").alias("points")), path)
+    return t.spark.read.schema("metric string, maximum double, points long").csv(path, header=True)
+
+
+@plan("a07_export_ndjson", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def export_ndjson(t):
+    path = new_dir(t.spark, "ndjson")
+    exports.export_ndjson(t.documents, path)
+    return t.spark.read.schema(t.documents.schema).json(path)
+
+
+@plan("a07_export_ndjson_stats", "SELECT count(*) AS documents FROM documents")
+def export_ndjson_stats(t):
+    return exports.export_ndjson(t.documents, new_dir(t.spark, "ndjson")).select("documents")
+
+
+def all_tables(t):
+    return {name: getattr(t, name) for name in TABLE_NAMES}
+
+
+COUNT_SQL = " UNION ALL ".join(f"""SELECT '{name}' AS "table", count(*) AS rows FROM {name}""" for name in TABLE_NAMES)
+
+
+@plan("a08_export_database", COUNT_SQL)
+def export_database(t):
+    path = new_dir(t.spark, "export")
+    return exports.export_database(t.spark, all_tables(t), path, "nightly").select("table", "rows")
+
+
+@plan("a09_export_sql_dump", """
+SELECT 'INSERT INTO "customer" VALUES(' || c_custkey || ',''' || c_name || ''',' || c_nationkey || ',' || c_acctbal || ',''' || c_mktsegment || ''');' AS value FROM customer
+""")
+def export_sql_dump(t):
+    path = new_dir(t.spark, "dump")
+    exports.export_sql_dump(t.customer, "customer", path)
+    return t.spark.read.text(f"{path}/data")
+
+
+@plan("a10_export_schema")
+def export_schema(t):
+    return exports.export_schema(t.spark, all_tables(t))
+
+
+@plan("a11_restore_orders", "SELECT * FROM orders")
+def restore_orders(t):
+    path = new_dir(t.spark, "restore")
+    exports.export_database(t.spark, {"orders": t.orders, "nation": t.nation}, path, "nightly", parallelism=4)
+    return exports.restore_database(t.spark, path)["orders"]
+
+
+@plan("a11_restore_documents", "SELECT * FROM documents")
+def restore_documents(t):
+    path = new_dir(t.spark, "restore")
+    exports.export_database(t.spark, {"documents": t.documents}, path, "nightly")
+    return exports.restore_database(t.spark, path)["documents"]
+
+
+VERIFY_NAMES = ["lineitem", "events", "documents", "embeddings", "pages", "conversations"]
+
+
+@plan("a11_restore_verified", " UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", count(*) AS source_rows, count(*) AS copy_rows, true AS rows_match, true AS content_matches FROM {name}"""
+    for name in VERIFY_NAMES))
+def restore_verified(t):
+    path = new_dir(t.spark, "restore")
+    tables = {name: getattr(t, name) for name in VERIFY_NAMES}
+    exports.export_database(t.spark, tables, path, "nightly")
+    copies = exports.restore_database(t.spark, path)
+    parts = [movement.verify_copy(df, copies[name], name) for name, df in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@plan("a12_compression_report")
+def compression_report(t):
+    root = new_dir(t.spark, "compress")
+    return exports.write_compressed(t.documents, f"{root}/plain", f"{root}/packed")
+
+
+@plan("a13_file_inventory")
+def file_inventory(t):
+    return files.directory_sizes(files.file_inventory(t.spark, t.root))
