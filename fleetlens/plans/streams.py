@@ -1 +1,103 @@
-"""Queries."""
+"""Streams over the driver tables, run on what is there."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import bands
+from ..operators.rules import Rule
+from ..streaming import jobs, operators as op
+from ..streaming.run import land_available
+from ..workspace import new_dir
+from .registry import plan
+from .shapes import money
+from .sources import log_lines
+
+
+def event_stream(t):
+    # A glob, because the plain path of a stream must be a folder.
+    return t.spark.readStream.schema(t.events.schema).parquet(t.path("event[s]"))
+
+
+def plain_times(df, *cols):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})
+
+
+@plan("s01_stream_hourly_metrics", """
+SELECT event_type AS metric, date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+  CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / count(*)::DOUBLE AS average
+FROM events GROUP BY 1, 2, 3 HAVING window_end <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR
+""")
+def stream_hourly_metrics(t):
+    points = event_stream(t).select(F.col("event_type").alias("metric"), "ts", money("value").alias("value"))
+    return plain_times(land_available(op.stream_hourly_metrics(points, "2 hours"), "hourly"), "window_start", "window_end")
+
+
+@plan("s01_stream_sliding_metrics", """
+WITH w AS (SELECT event_type AS metric, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS window_start, value FROM events)
+SELECT metric, window_start, window_start + INTERVAL 2 HOUR AS window_end, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / count(*)::DOUBLE AS average
+FROM w GROUP BY ALL HAVING window_end <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR
+""")
+def stream_sliding_metrics(t):
+    points = event_stream(t).select(F.col("event_type").alias("metric"), "ts", money("value").alias("value"))
+    averages = op.stream_hourly_metrics(points, "2 hours", width="2 hours", slide="1 hour")
+    return plain_times(land_available(averages, "sliding"), "window_start", "window_end")
+
+
+@plan("s02_stream_alerts", """
+SELECT event_id, CASE WHEN value > 200 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, 'Value' AS category, event_type AS message, 'Look at it' AS recommendation
+FROM events WHERE value > 80
+UNION ALL SELECT event_id, 'INFO', 'Errors', 'error of ' || user_id, 'Look at it' FROM events WHERE event_type = 'error'
+""")
+def stream_alerts(t):
+    value = F.col("value")
+    rules = [
+        Rule(value > 200, "CRITICAL", "Value", F.col("event_type"), "Look at it", "value"),
+        Rule(value > 80, "WARNING", "Value", F.col("event_type"), "Look at it", "value"),
+        Rule(F.col("event_type") == "error", "INFO", "Errors", F.concat(F.lit("error of "), "user_id"), "Look at it"),
+    ]
+    return land_available(op.stream_alerts(event_stream(t), rules, ["event_id"]), "alerts")
+
+
+@plan("s03_stream_job_status", """
+WITH j AS (SELECT user_id AS job_id, min(ts) AS started, min(ts) FILTER (event_type IN ('purchase', 'error')) AS ended,
+             arg_min(event_type, ts) FILTER (event_type IN ('purchase', 'error')) AS how FROM events GROUP BY user_id),
+ s AS (SELECT *, ended IS NOT NULL AND ended - started <= INTERVAL 12 HOUR AS intime FROM j)
+SELECT job_id, started, CASE WHEN intime THEN ended END AS ended, CASE WHEN intime THEN CASE how WHEN 'purchase' THEN 'success' ELSE 'failed' END ELSE 'timeout' END AS status
+FROM s WHERE ended IS NOT NULL OR started + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+""")
+def stream_job_status(t):
+    events = event_stream(t).select(
+        F.col("user_id").alias("job_id"), "ts",
+        bands.decode("event_type", {"purchase": "SUCCESS", "error": "FAILED"}, "IN_PROGRESS").alias("state"))
+    return plain_times(land_available(jobs.stream_job_status(events, 12 * 3600.0, "1 hour"), "jobs"), "started", "ended")
+
+
+@plan("s04_stream_log_errors", """
+SELECT 'log' || user_id AS source, date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS errors
+FROM events WHERE event_type = 'error' AND event_id % 5 < 3 GROUP BY 1, 2, 3
+HAVING window_end <= (SELECT max(date_trunc('second', ts)) FROM events WHERE event_type = 'error' AND event_id % 5 < 3) - INTERVAL 1 HOUR
+""")
+def stream_log_errors(t):
+    path = new_dir(t.spark, "logs")
+    log_lines(t).withColumnRenamed("path", "log").write.partitionBy("log").text(path)
+    lines = t.spark.readStream.schema("value string, log string").text(path).withColumnRenamed("log", "path")
+    return plain_times(land_available(op.stream_log_errors(lines, "1 hour"), "log-errors"), "window_start", "window_end")
+
+
+@plan("s05_stream_reports", "SELECT event_id, ts, event_type FROM events")
+def stream_reports(t):
+    rows = event_stream(t).select("event_id", "ts", "event_type")
+    repeated = rows.unionByName(event_stream(t).select("event_id", "ts", "event_type"))
+    return plain_times(land_available(op.stream_reports(repeated, ["event_id"], "1 hour"), "deduplicated"), "ts")
+
+
+@plan("s06_stream_sessions", """
+WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM f)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, count(*) AS events FROM n GROUP BY user_id, s
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+""")
+def stream_sessions(t):
+    sessions = op.stream_sessions(event_stream(t), "6 hours", "1 hour", ["user_id"])
+    return plain_times(land_available(sessions, "sessions"), "session_start", "session_end")
