@@ -26,12 +26,3 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
         for name, value in defaults.items()
     })
 
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "inner") -> DataFrame:
-    """Join on keys where NULL equals NULL; Spark runs it as a hashed equi-join."""
-    keys = list(keys)
-    other = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
-    return left.join(other, condition, how).drop(*[f"_r_{key}" for key in keys])

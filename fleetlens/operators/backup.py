@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import times
 from ..functions.columns import names
@@ -13,7 +14,7 @@ from ..functions.text import qualified_name
 from ..sources.exports import MANIFEST_SCHEMA
 from ..sources.files import file_inventory, inventory_total
 from ..sources.logs import first_lines
-from .chunks import month_of, running, with_previous
+from .chunks import month_of
 from .ordering import top_n
 
 
@@ -128,43 +129,102 @@ def restore_chain(backups: DataFrame, targets: DataFrame, by: Sequence[str] = ("
     """What each target instant needs: the latest full backup, a later differential, the logs after.
 
     Backups and targets are put on one time line per key and scanned once, in
-    chunks, so neither a hot database nor many targets multiply the work. The
+    months, so neither a hot database nor many targets multiply the work. The
     logs of a target are those that start after its base and not after it;
     they are given as count, bytes and gaps. A gap is a log that starts more
     than ``max_gap`` seconds after the log before it finished.
     """
     keys = list(by)
-    logs = with_previous(
-        backups.filter(F.col("type") == "L"), keys, ["created", "backup_id"], ["finished"], month_of("created"))
-    late = times.elapsed(F.col("prev.finished"), "created", "exact") > max_gap
-    logs = logs.select(*keys, F.col("created").alias("at"), F.lit(0).alias("rank"), F.col("backup_id").alias("id"),
-                       F.lit("L").alias("type"), "bytes", F.coalesce(late, F.lit(False)).cast("long").alias("gap"))
-    nothing = F.lit(0).cast("long")
-    bases = backups.filter(F.col("type").isin("D", "I")).select(
-        *keys, F.col("created").alias("at"), F.lit(1).alias("rank"), F.col("backup_id").alias("id"), "type",
-        nothing.alias("bytes"), nothing.alias("gap"))
-    wanted = targets.select(
-        *keys, F.col("target_ts").alias("at"), F.lit(2).alias("rank"), F.col("target_id").alias("id"),
-        F.lit("T").alias("type"), nothing.alias("bytes"), nothing.alias("gap"))
-    line = logs.unionByName(bases).unionByName(wanted)
-    order, cut = ["at", "rank", "id"], month_of("at")
-    log_row = F.col("type") == "L"
-    counted = running(line, keys, order, cut, sums={
-        "logs": log_row.cast("long"), "log_bytes": F.col("bytes"), "gaps": F.col("gap")})
-    spot = F.struct("at", "id", "logs", "log_bytes", "gaps")
-    placed = running(counted.filter(~log_row), keys, order, cut, maxima={
-        "full": F.when(F.col("type") == "D", spot), "diff": F.when(F.col("type") == "I", spot)})
+    line = _time_line(backups, targets, keys).withColumn("month", month_of("at"))
+    # Said here once, so that both uses of the scan below share one shuffle.
+    line = line.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "month"]]))
+    scanned = _scan_months(line, keys, max_gap)
+    carried = _carry_months(scanned, keys, max_gap)
+
+    def overall(spot: str) -> Column:
+        """A base found in this month, counted from the start of the line, or the one carried in."""
+        return F.coalesce(_from_start(F.col(spot)), F.col(f"{spot}_before"))
+
+    placed = scanned.filter(F.col("type") == "T").join(carried, [*keys, "month"]).select(
+        *keys, F.col("id").alias("target_id"), F.col("at").alias("target_ts"),
+        _from_start(F.struct("at", "id", "logs", "log_bytes", "gaps", "has_log")).alias("now"),
+        overall("full").alias("full"), overall("diff").alias("diff"))
     later = F.col("diff.at") > F.col("full.at")
-    base = F.when(later, F.col("diff")).otherwise(F.col("full"))
-    chain = placed.filter(F.col("type") == "T").withColumn("base", base)
+    chain = placed.withColumn("base", F.when(later, F.col("diff")).otherwise(F.col("full")))
     return chain.select(
-        *keys, F.col("id").alias("target_id"), F.col("at").alias("target_ts"), F.col("full.id").alias("full_id"),
+        *keys, "target_id", "target_ts", F.col("full.id").alias("full_id"),
         F.when(later, F.col("diff.id")).alias("differential_id"), F.col("base.at").alias("base_ts"),
-        (F.col("logs") - F.col("base.logs")).alias("logs"), (F.col("log_bytes") - F.col("base.log_bytes")).alias("log_bytes"),
-        (F.col("gaps") - F.col("base.gaps")).alias("gaps"), F.col("full").isNotNull().alias("restorable"),
+        *[(F.col(f"now.{name}") - F.col(f"base.{name}")).alias(name) for name in ("logs", "log_bytes", "gaps")],
+        F.col("full").isNotNull().alias("restorable"),
     ).withColumn("continuous", F.col("restorable") & (F.col("gaps") == 0))
 
 
+def _time_line(backups: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Logs, bases and targets in one table; at the same instant they come in that order."""
+    is_log = F.col("type") == "L"
+    events = backups.filter(F.col("type").isin("D", "I", "L")).select(
+        *keys, F.col("created").alias("at"), F.when(is_log, 0).otherwise(1).alias("rank"),
+        F.col("backup_id").alias("id"), "type",
+        F.when(is_log, F.col("bytes")).otherwise(0).alias("bytes"), F.when(is_log, F.col("finished")).alias("finished"))
+    kind = backups.schema["finished"].dataType
+    wanted = targets.select(
+        *keys, F.col("target_ts").alias("at"), F.lit(2).alias("rank"), F.col("target_id").alias("id"),
+        F.lit("T").alias("type"), F.lit(0).cast("long").alias("bytes"), F.lit(None).cast(kind).alias("finished"))
+    return events.unionByName(wanted)
+
+
+def _scan_months(line: DataFrame, keys: Sequence[str], max_gap: float) -> DataFrame:
+    """Counts and latest bases up to each row, within its month."""
+    month = Window.partitionBy(*keys, "month").orderBy("at", "rank", "id")
+    upto = month.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = month.rowsBetween(Window.unboundedPreceding, -1)
+    is_log = F.col("type") == "L"
+    counted = line.withColumns({
+        "gap": _is_gap(F.last("finished", ignorenulls=True).over(before), F.col("at"), max_gap) & is_log,
+        "logs": F.count_if(is_log).over(upto), "log_bytes": F.sum("bytes").over(upto),
+        "first_log": F.min(F.when(is_log, F.col("at"))).over(upto),
+    }).withColumns({"gaps": F.count_if(F.col("gap")).over(upto), "has_log": F.col("first_log").isNotNull()})
+    spot = F.struct("at", "id", "logs", "log_bytes", "gaps", "has_log")
+    return counted.withColumns({
+        name: F.last(F.when(F.col("type") == kind, spot), ignorenulls=True).over(upto)
+        for name, kind in (("full", "D"), ("diff", "I"))})
+
+
+def _is_gap(finish: Column, start: Column, max_gap: float) -> Column:
+    return F.coalesce(times.elapsed(finish, start, "exact") > max_gap, F.lit(False))
+
+
+def _from_start(spot: Column) -> Column:
+    """Counts of a spot within its month, lifted by what the months before add."""
+    opening = F.when(spot["has_log"] & F.col("opening_gap"), 1).otherwise(0)
+    return F.when(spot.isNotNull(), F.struct(
+        spot["at"].alias("at"), spot["id"].alias("id"), (spot["logs"] + F.col("logs_before")).alias("logs"),
+        (spot["log_bytes"] + F.col("bytes_before")).alias("log_bytes"),
+        (spot["gaps"] + F.col("gaps_before") + opening).alias("gaps")))
+
+
+def _carry_months(scanned: DataFrame, keys: Sequence[str], max_gap: float) -> DataFrame:
+    """What each month inherits: counts, bases, and a gap before its first log. One row per key and month."""
+    months = scanned.groupBy(*keys, "month").agg(
+        F.max("logs").alias("logs"), F.max("log_bytes").alias("log_bytes"), F.max("gaps").alias("gaps"),
+        F.min("first_log").alias("first_log"),
+        F.max(F.when(F.col("finished").isNotNull(), F.struct("at", "id", "finished"))).alias("last_log"),
+        F.max("full").alias("full"), F.max("diff").alias("diff"))
+    past = Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    opened = months.withColumn("opening_gap", _is_gap(
+        F.last("last_log.finished", ignorenulls=True).over(past), F.col("first_log"), max_gap))
+    all_gaps = F.col("gaps") + F.col("opening_gap").cast("long")
+    summed = opened.withColumns({
+        "logs_before": F.coalesce(F.sum("logs").over(past), F.lit(0)),
+        "bytes_before": F.coalesce(F.sum("log_bytes").over(past), F.lit(0)),
+        "gaps_before": F.coalesce(F.sum(all_gaps).over(past), F.lit(0)),
+    })
+    lifted = summed.withColumns({name: _from_start(F.col(name)) for name in ("full", "diff")})
+    return lifted.select(
+        *keys, "month", "opening_gap", "logs_before", "bytes_before", "gaps_before",
+        *[F.last(name, ignorenulls=True).over(past).alias(f"{name}_before") for name in ("full", "diff")])
+
+
 def restore_members(backups: DataFrame, chain: DataFrame, target_ids: Sequence[int], by: Sequence[str] = ("database",)) -> DataFrame:
     """The log backups of the chains of the targets named."""
     picked = chain.filter(F.col("target_id").isin(*target_ids)).select(*by, "target_id", "target_ts", "base_ts")

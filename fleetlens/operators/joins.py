@@ -13,7 +13,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bands, sizes, times
-from ..functions.columns import names, null_safe_join
+from ..functions.columns import names
 
 # The columns that name a lock, compared null-safe.
 LOCK_KEY = [
@@ -26,51 +26,50 @@ def lock_contention(locks: DataFrame, sessions: DataFrame, by: Iterable[str] | N
                     lock_key: Sequence[str] = LOCK_KEY) -> DataFrame:
     """Who waits and who stands in the way, per lock, in linear space.
 
-    The blocking pairs of a lock are every waiter with every other session on
-    the same lock: as many as the product of both.  This result holds the same
-    facts in one row per participant: role ``blocked`` (request not granted) or
-    ``blocking``, and how many partners the row has on the other side.  A pair
-    is a blocked and a blocking row of one lock with different pids, see
-    :func:`blocking_pairs`.
+    The blocking pairs of a lock are every waiting request with every request
+    of another session on the same lock: as many as the product of both. This
+    result holds the same facts in one row per lock, session and role:
+    ``blocked`` (with the number of requests not granted) or ``blocking``
+    (with the number of all its requests), and how many requests it meets on
+    the other side. A pair is a blocked and a blocking row of one lock with
+    different pids, see :func:`blocking_pairs`.
     """
     keys = [*names(by), *lock_key]
-    who = sessions.select(*names(by), "pid", "usename", "query")
-    rows = locks.filter(F.col("locktype").isNotNull()).select(*keys, "pid", "granted").join(
-        who, [*names(by), "pid"])
-    waiting = (~F.col("granted")).cast("long")
-    per_pid = rows.groupBy(*keys, "pid").agg(F.count("*").alias("own"), F.sum(waiting).alias("own_waiting"))
+    # Two structs are equal where their fields are, NULL included: one hashable join key.
+    packed = locks.filter(F.col("locktype").isNotNull()).select(
+        *names(by), F.struct(*keys).alias("lock"), "pid", (~F.col("granted")).cast("long").alias("waits"))
+    per_pid = packed.groupBy(*names(by), "lock", "pid").agg(F.count("*").alias("own"), F.sum("waits").alias("own_waits"))
+    known = per_pid.join(sessions.select(*names(by), "pid", "usename", F.col("query").alias("statement")),
+                         [*names(by), "pid"])
     per_lock = (
-        per_pid.groupBy(*keys).agg(F.sum("own").alias("held"), F.sum("own_waiting").alias("waiting"))
-        .filter((F.col("waiting") > 0) & (F.col("held") > 1))
-    )
-    known = null_safe_join(per_pid, per_lock, keys).select(
-        *keys, "pid", (F.col("held") - F.col("own")).alias("blockers"),
-        (F.col("waiting") - F.col("own_waiting")).alias("waiters"),
+        known.groupBy("lock").agg(F.sum("own").alias("all_own"), F.sum("own_waits").alias("all_waits"))
+        .filter((F.col("all_waits") > 0) & (F.col("all_own") > 1))
     )
+    blockers, waiters = F.col("all_own") - F.col("own"), F.col("all_waits") - F.col("own_waits")
     sides = F.filter(F.array(
-        F.when(~F.col("granted") & (F.col("blockers") > 0),
-               F.struct(F.lit("blocked").alias("role"), F.col("blockers").alias("partners"))),
-        F.when(F.col("waiters") > 0,
-               F.struct(F.lit("blocking").alias("role"), F.col("waiters").alias("partners"))),
+        F.when((F.col("own_waits") > 0) & (blockers > 0), F.struct(
+            F.lit("blocked").alias("role"), F.col("own_waits").alias("requests"), blockers.alias("partners"))),
+        F.when(waiters > 0, F.struct(
+            F.lit("blocking").alias("role"), F.col("own").alias("requests"), waiters.alias("partners"))),
     ), lambda side: side.isNotNull())
-    return null_safe_join(rows, known, [*keys, "pid"]).select(
-        *keys, "pid", "usename", F.col("query").alias("statement"), F.inline(sides))
+    return known.join(per_lock, "lock").select("lock.*", "pid", "usename", "statement", F.inline(sides))
 
 
 def blocking_pairs(contention: DataFrame, blocked_pids: Sequence[int], by: Iterable[str] | None = None,
                    lock_key: Sequence[str] = LOCK_KEY) -> DataFrame:
     """Blocked session with each session that blocks it, for the waiters named."""
-    keys = [*names(by), *lock_key]
+    lock = F.struct(*names(by), *lock_key).alias("lock")
     waits = contention.filter((F.col("role") == "blocked") & F.col("pid").isin(*blocked_pids)).select(
-        *keys, F.col("pid").alias("blocked_pid"), F.col("usename").alias("blocked_user"),
-        F.col("statement").alias("blocked_statement"))
+        lock, F.col("pid").alias("blocked_pid"), F.col("usename").alias("blocked_user"),
+        F.col("statement").alias("blocked_statement"), F.col("requests").alias("waiting"))
     holds = contention.filter(F.col("role") == "blocking").select(
-        *keys, F.col("pid").alias("blocking_pid"), F.col("usename").alias("blocking_user"),
-        F.col("statement").alias("blocking_statement"))
+        lock, F.col("pid").alias("blocking_pid"), F.col("usename").alias("blocking_user"),
+        F.col("statement").alias("blocking_statement"), F.col("requests").alias("holding"))
     return (
-        null_safe_join(waits, holds, keys).filter(F.col("blocked_pid") != F.col("blocking_pid"))
-        .select(*names(by), "blocked_pid", "blocked_user", "blocking_pid", "blocking_user",
-                "blocked_statement", "blocking_statement")
+        waits.join(holds, "lock").filter(F.col("blocked_pid") != F.col("blocking_pid"))
+        .select(*[F.col(f"lock.{key}") for key in names(by)], "blocked_pid", "blocked_user", "blocking_pid",
+                "blocking_user", "blocked_statement", "blocking_statement",
+                (F.col("waiting") * F.col("holding")).alias("pairs"))
     )
 
 

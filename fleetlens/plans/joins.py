@@ -35,14 +35,14 @@ WITH l AS (SELECT o_orderkey AS pid, o_custkey AS relation, nullif(o_orderstatus
      r AS (SELECT l.*, held - 1 AS blockers, waiting - CAST(waits AS BIGINT) AS waiters
            FROM l JOIN g ON l.relation = g.relation AND l.virtualxid IS NOT DISTINCT FROM g.virtualxid
            WHERE waiting > 0)
-SELECT relation, virtualxid, pid, 'user' || relation AS usename, 'order ' || pid AS statement, 'blocked' AS role, blockers AS partners
+SELECT relation, virtualxid, pid, 'user' || relation AS usename, 'order ' || pid AS statement, 'blocked' AS role, 1::BIGINT AS requests, blockers AS partners
 FROM r WHERE waits AND blockers > 0
 UNION ALL
-SELECT relation, virtualxid, pid, 'user' || relation, 'order ' || pid, 'blocking', waiters FROM r WHERE waiters > 0
+SELECT relation, virtualxid, pid, 'user' || relation, 'order ' || pid, 'blocking', 1, waiters FROM r WHERE waiters > 0
 """)
 def blocking_pairs(t):
     return op.lock_contention(locks_from_orders(t), sessions_of_orders(t)).select(
-        "relation", "virtualxid", "pid", "usename", "statement", "role", "partners")
+        "relation", "virtualxid", "pid", "usename", "statement", "role", "requests", "partners")
 
 
 @plan("c02_lock_waiters", """
