@@ -18,6 +18,11 @@ RUNTIME_SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+START_SETTINGS = {
+    # Recording the call site of every expression takes longer than planning does.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session the caller made."""
@@ -36,7 +41,7 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "fleetlens") ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    for key, value in RUNTIME_SETTINGS.items():
+    for key, value in {**RUNTIME_SETTINGS, **START_SETTINGS}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
