@@ -54,11 +54,12 @@ def _fk_summary(tables: Mapping[str, DataFrame], fk: ForeignKey, samples: int) -
         F.struct(*fk.child_cols).alias("key"), "rows")
     totals = missing.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("violating_rows"),
                          F.count("*").alias("violating_keys"))
-    first = missing.orderBy("key").limit(samples).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list("key")), lambda k: F.to_json(k)), ";").alias("sample_keys"))
-    # Both sides are single rows.
-    return totals.withColumn("_one", F.lit(1)).join(first.withColumn("_one", F.lit(1)), "_one").select(
-        F.lit(fk.name).alias("constraint"), "violating_rows", "violating_keys", "sample_keys")
+    first = missing.orderBy("key").limit(samples).select("key")
+    shown = F.transform(F.sort_array(F.collect_list("key")), lambda key: F.to_json(key))
+    return totals.unionByName(first, allowMissingColumns=True).agg(
+        F.max("violating_rows").alias("violating_rows"), F.max("violating_keys").alias("violating_keys"),
+        F.array_join(shown, ";").alias("sample_keys"),
+    ).select(F.lit(fk.name).alias("constraint"), "violating_rows", "violating_keys", "sample_keys")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -20,6 +20,8 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
+# The backslash is among them so that no text looks like the NULL mark.
+CSV_ESCAPES = [("%", "%25"), ("\n", "%0A"), ("\r", "%0D"), ("\\", "%5C")]
 MANIFEST_SCHEMA = (
     "backup_name string, `table` string, rows long, checksum_xor long, checksum_sum string, "
     "schema_json string, format string, error string, started_at timestamp, completed_at timestamp"
@@ -52,7 +54,7 @@ def _nested(field) -> bool:
 
 
 def _to_csv_row(df: DataFrame) -> DataFrame:
-    """Columns as CSV can hold them: nested values as JSON, binary as base64, no line breaks."""
+    """Columns as CSV can hold them: nested values as JSON, binary as base64, one line per row, so that files split."""
     def spell(field) -> Column:
         col = F.col(f"`{field.name}`")
         if _nested(field):
@@ -61,7 +63,7 @@ def _to_csv_row(df: DataFrame) -> DataFrame:
             col = F.base64(col)
         elif not isinstance(field.dataType, StringType):
             return col
-        for raw, code in (("%", "%25"), ("\n", "%0A"), ("\r", "%0D")):
+        for raw, code in CSV_ESCAPES:
             col = F.replace(col, F.lit(raw), F.lit(code))
         return col.alias(field.name)
     return df.select(*[spell(f) for f in df.schema.fields])
@@ -73,7 +75,7 @@ def _from_csv_row(df: DataFrame, schema: StructType) -> DataFrame:
         textual = _nested(field) or isinstance(field.dataType, (StringType, BinaryType))
         if not textual:
             return col
-        for code, raw in (("%0D", "\r"), ("%0A", "\n"), ("%25", "%")):
+        for raw, code in reversed(CSV_ESCAPES):
             col = F.replace(col, F.lit(code), F.lit(raw))
         if _nested(field):
             col = F.from_json(col, StructType().add("v", field.dataType)).getField("v")
@@ -224,10 +226,11 @@ def export_sql_dump(df: DataFrame, table: str, path: str, header: str = "-- Data
 
 def compression_report(spark: SparkSession, plain: str, packed: str) -> DataFrame:
     """Bytes before and after compression, and their ratio."""
-    before = inventory_total(file_inventory(spark, plain)).select(F.col("bytes").alias("original_bytes"), F.lit(1).alias("one"))
-    after = inventory_total(file_inventory(spark, packed)).select(F.col("bytes").alias("compressed_bytes"), F.lit(1).alias("one"))
-    # Both sides are single rows.
-    return before.join(after, "one").drop("one").withColumn("ratio", ratio("compressed_bytes", "original_bytes"))
+    sizes = inventory_total(file_inventory(spark, plain)).select(F.col("bytes").alias("original_bytes")).unionByName(
+        inventory_total(file_inventory(spark, packed)).select(F.col("bytes").alias("compressed_bytes")),
+        allowMissingColumns=True)
+    return sizes.agg(*[F.max(c).alias(c) for c in ("original_bytes", "compressed_bytes")]).withColumn(
+        "ratio", ratio("compressed_bytes", "original_bytes"))
 
 
 def write_compressed(df: DataFrame, plain: str, packed: str, codec: str = "gzip") -> DataFrame:
