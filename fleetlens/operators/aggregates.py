@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import bands
 from ..functions.columns import names
 from ..functions.numbers import pct, ratio, share_of
+from ..functions.sizes import format_bytes
 from ..functions.text import key_prefix
 from ..functions.times import Instant, instant
 from .ordering import latest_n
@@ -92,10 +93,13 @@ def backup_success_rate(reports: DataFrame, by: Iterable[str] | None = None, int
 
 
 def size_rollup(df: DataFrame, keys: Sequence[str], size: str = "bytes", out: str = "total_bytes") -> DataFrame:
-    """Summed size per key prefix and in total; ``level`` counts the keys left out."""
-    return df.rollup(*keys).agg(
-        F.sum(size).alias(out), F.count("*").alias("objects"),
-        F.grouping_id().alias("level"))
+    """Summed size per key prefix and in total; ``level`` has a bit set for every key left out.
+
+    The rollup multiplies rows, so it runs on sums per full key.
+    """
+    finest = df.groupBy(*keys).agg(F.sum(size).alias("_size"), F.count("*").alias("_objects"))
+    return finest.rollup(*keys).agg(
+        F.sum("_size").alias(out), F.sum("_objects").alias("objects"), F.grouping_id().alias("level"))
 
 
 def database_inventory(tables: DataFrame, by: Iterable[str] = ("database",), top: int | None = None) -> DataFrame:
@@ -108,12 +112,20 @@ def database_inventory(tables: DataFrame, by: Iterable[str] = ("database",), top
     return out if top is None else out.limit(top)
 
 
+def ranked_tables(tables: DataFrame, top: int = 20, by: Iterable[str] = ("database",)) -> DataFrame:
+    """Largest tables with rows, bytes and size as text."""
+    keys = names(by)
+    best = tables.orderBy(F.desc_nulls_last("total_bytes"), *keys, "name").limit(top)
+    return best.select(*keys, "name", "total_rows", "total_bytes", format_bytes("total_bytes").alias("size_human"))
+
+
 def key_patterns(df: DataFrame, key: str = "key", kind: str = "type", size: str = "bytes", samples: int = 5,
                  top: int = 10, sample_keys: bool = True) -> DataFrame:
     """Key-space profile: most frequent key prefixes with sizes, types and sample keys.
 
-    Counts run in two levels (prefix and type, then prefix); samples are the
-    first keys in order of the prefixes that made the list.
+    Counts run in two levels (prefix and type, then prefix), so a prefix
+    gathers one row per type. Samples are the first keys in order of the
+    prefixes that made the list.
     """
     keyed = df.select(F.col(key).alias("key"), F.col(kind).alias("type"),
                       F.coalesce(F.col(size), F.lit(0)).alias("bytes"), key_prefix(key).alias("pattern"))

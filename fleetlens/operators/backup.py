@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -125,27 +125,27 @@ def verify_not_empty(spark: SparkSession, path: str) -> DataFrame:
 
 
 def restore_chain(backups: DataFrame, targets: DataFrame, by: Sequence[str] = ("database",),
-                  max_gap: float = 0.0) -> DataFrame:
+                  max_gap: float = 0.0, cut: Callable[[str], Column] = month_of) -> DataFrame:
     """What each target instant needs: the latest full backup, a later differential, the logs after.
 
     Backups and targets are put on one time line per key and scanned once, in
-    months, so neither a hot database nor many targets multiply the work. The
+    chunks of time, so neither a hot database nor many targets multiply the work. The
     logs of a target are those that start after its base and not after it;
     they are given as count, bytes and gaps. A gap is a log that starts more
     than ``max_gap`` seconds after the log before it finished.
     """
     keys = list(by)
-    line = _time_line(backups, targets, keys).withColumn("month", month_of("at"))
+    line = _time_line(backups, targets, keys).withColumn("chunk", cut("at"))
     # Said here once, so that both uses of the scan below share one shuffle.
-    line = line.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "month"]]))
-    scanned = _scan_months(line, keys, max_gap)
-    carried = _carry_months(scanned, keys, max_gap)
+    line = line.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "chunk"]]))
+    scanned = _scan_chunks(line, keys, max_gap)
+    carried = _carry_chunks(scanned, keys, max_gap)
 
     def overall(spot: str) -> Column:
-        """A base found in this month, counted from the start of the line, or the one carried in."""
+        """A base found in this chunk, counted from the start of the line, or the one carried in."""
         return F.coalesce(_from_start(F.col(spot)), F.col(f"{spot}_before"))
 
-    placed = scanned.filter(F.col("type") == "T").join(carried, [*keys, "month"]).select(
+    placed = scanned.filter(F.col("type") == "T").join(carried, [*keys, "chunk"]).select(
         *keys, F.col("id").alias("target_id"), F.col("at").alias("target_ts"),
         _from_start(F.struct("at", "id", "logs", "log_bytes", "gaps", "has_log")).alias("now"),
         overall("full").alias("full"), overall("diff").alias("diff"))
@@ -173,11 +173,11 @@ def _time_line(backups: DataFrame, targets: DataFrame, keys: Sequence[str]) -> D
     return events.unionByName(wanted)
 
 
-def _scan_months(line: DataFrame, keys: Sequence[str], max_gap: float) -> DataFrame:
-    """Counts and latest bases up to each row, within its month."""
-    month = Window.partitionBy(*keys, "month").orderBy("at", "rank", "id")
-    upto = month.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = month.rowsBetween(Window.unboundedPreceding, -1)
+def _scan_chunks(line: DataFrame, keys: Sequence[str], max_gap: float) -> DataFrame:
+    """Counts and latest bases up to each row, within its chunk."""
+    chunk = Window.partitionBy(*keys, "chunk").orderBy("at", "rank", "id")
+    upto = chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = chunk.rowsBetween(Window.unboundedPreceding, -1)
     is_log = F.col("type") == "L"
     counted = line.withColumns({
         "gap": _is_gap(F.last("finished", ignorenulls=True).over(before), F.col("at"), max_gap) & is_log,
@@ -195,7 +195,7 @@ def _is_gap(finish: Column, start: Column, max_gap: float) -> Column:
 
 
 def _from_start(spot: Column) -> Column:
-    """Counts of a spot within its month, lifted by what the months before add."""
+    """Counts of a spot within its chunk, lifted by what the months before add."""
     opening = F.when(spot["has_log"] & F.col("opening_gap"), 1).otherwise(0)
     return F.when(spot.isNotNull(), F.struct(
         spot["at"].alias("at"), spot["id"].alias("id"), (spot["logs"] + F.col("logs_before")).alias("logs"),
@@ -203,15 +203,15 @@ def _from_start(spot: Column) -> Column:
         (spot["gaps"] + F.col("gaps_before") + opening).alias("gaps")))
 
 
-def _carry_months(scanned: DataFrame, keys: Sequence[str], max_gap: float) -> DataFrame:
-    """What each month inherits: counts, bases, and a gap before its first log. One row per key and month."""
-    months = scanned.groupBy(*keys, "month").agg(
+def _carry_chunks(scanned: DataFrame, keys: Sequence[str], max_gap: float) -> DataFrame:
+    """What each chunk inherits: counts, bases, and a gap before its first log. One row per key and chunk."""
+    chunks = scanned.groupBy(*keys, "chunk").agg(
         F.max("logs").alias("logs"), F.max("log_bytes").alias("log_bytes"), F.max("gaps").alias("gaps"),
         F.min("first_log").alias("first_log"),
         F.max(F.when(F.col("finished").isNotNull(), F.struct("at", "id", "finished"))).alias("last_log"),
         F.max("full").alias("full"), F.max("diff").alias("diff"))
-    past = Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    opened = months.withColumn("opening_gap", _is_gap(
+    past = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    opened = chunks.withColumn("opening_gap", _is_gap(
         F.last("last_log.finished", ignorenulls=True).over(past), F.col("first_log"), max_gap))
     all_gaps = F.col("gaps") + F.col("opening_gap").cast("long")
     summed = opened.withColumns({
@@ -221,7 +221,7 @@ def _carry_months(scanned: DataFrame, keys: Sequence[str], max_gap: float) -> Da
     })
     lifted = summed.withColumns({name: _from_start(F.col(name)) for name in ("full", "diff")})
     return lifted.select(
-        *keys, "month", "opening_gap", "logs_before", "bytes_before", "gaps_before",
+        *keys, "chunk", "opening_gap", "logs_before", "bytes_before", "gaps_before",
         *[F.last(name, ignorenulls=True).over(past).alias(f"{name}_before") for name in ("full", "diff")])
 
 

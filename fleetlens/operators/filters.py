@@ -79,7 +79,7 @@ def exclude_system(df: DataFrame, col: str, exact: Sequence[str] = (), prefixes:
 
 
 def pick_settings(settings: DataFrame, wanted: Sequence[str], wide: bool = False,
-                  by: Iterable[str] | None = None) -> DataFrame:
+                  by: Iterable[str] | None = None, ordered: bool = True) -> DataFrame:
     """Named settings only, sorted by name, or one column per setting."""
     kept = settings.filter(F.col("name").isin(*wanted))
     keys = names(by)
@@ -87,7 +87,8 @@ def pick_settings(settings: DataFrame, wanted: Sequence[str], wide: bool = False
         return kept.groupBy(*keys).agg(
             *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in wanted]
         )
-    return kept.select(*keys, "name", "value").orderBy(*keys, "name")
+    out = kept.select(*keys, "name", "value")
+    return out.orderBy(*keys, "name") if ordered else out
 
 
 def describe_metrics(df: DataFrame, descriptions: Mapping[str, str], name: str = "name") -> DataFrame:

@@ -10,14 +10,25 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from ..functions import times
 from ..functions.columns import names
 from ..functions.text import glob_regex
+from ..workspace import side_by_side
 from ..sources.files import directory_sizes, file_inventory, inventory_total
 from .ordering import latest_n
 
 
+def row_hash(df: DataFrame, cols: Sequence[str]) -> Column:
+    """Hash of some columns; maps are hashed as sorted entries."""
+    kinds = dict(df.dtypes)
+
+    def hashable(name: str) -> Column:
+        col = F.col(f"`{name}`")
+        return F.array_sort(F.map_entries(col)) if kinds[name].startswith("map") else col
+
+    return F.xxhash64(*[hashable(name) for name in cols])
+
+
 def fingerprint_columns(df: DataFrame) -> list[Column]:
     """Rows and order-free checksums: xor alone would cancel duplicates, so there is a sum too."""
-    fields = [F.to_json(c) if kind.startswith("map") else F.col(f"`{c}`") for c, kind in df.dtypes]
-    row = F.xxhash64(*fields)
+    row = row_hash(df, df.columns)
     return [
         F.count("*").alias("rows"), F.bit_xor(row).alias("checksum_xor"),
         F.sum(row.cast("decimal(20,0)")).alias("checksum_sum"),
@@ -52,9 +63,8 @@ def table_diff(base: DataFrame, current: DataFrame, keys: Sequence[str]) -> Data
     NULL elsewhere.
     """
     rest = [c for c in current.columns if c not in keys]
-    hashed = F.xxhash64(*[F.col(c) for c in rest])
-    old = base.select(*keys, hashed.alias("_old"), F.lit(True).alias("_was"))
-    new = current.select("*", hashed.alias("_new"), F.lit(True).alias("_is"))
+    old = base.select(*keys, row_hash(base, rest).alias("_old"), F.lit(True).alias("_was"))
+    new = current.select("*", row_hash(current, rest).alias("_new"), F.lit(True).alias("_is"))
     change = (
         F.when(F.col("_was").isNull(), F.lit("insert")).when(F.col("_is").isNull(), F.lit("delete"))
         .when(F.col("_old") != F.col("_new"), F.lit("update"))
@@ -107,8 +117,8 @@ def copy_tables(spark: SparkSession, tables: Mapping[str, DataFrame], dst: str,
     wanted = {name: df for name, df in tables.items() if re.match(glob_regex(pattern), name)}
     if not wanted:
         raise ValueError(f"no table matches {pattern}")
-    for name, df in wanted.items():
-        df.write.mode("overwrite").parquet(f"{dst}/{name}")
+    side_by_side([lambda df=df, name=name: df.write.mode("overwrite").parquet(f"{dst}/{name}")
+                  for name, df in wanted.items()])
     sizes = directory_sizes(file_inventory(spark, dst))
     return sizes.select(F.regexp_extract("directory", "([^/]+)$", 1).alias("table"), "files", "bytes")
 

@@ -15,14 +15,25 @@ def maintenance_plan(triage: DataFrame, budget: float, estimate: Column, by: Ite
                      tie: Sequence[str] = (), chunk: Column | None = None) -> DataFrame:
     """Items in order of priority that start while the time used before them is below the budget."""
     if chunk is None:
-        # One chunk per priority and whole percent, falling as fragmentation rises.
-        chunk = (F.col("priority") * 1000 - F.floor("fragmentation_percent")).cast("long")
+        chunk = _work_chunk()
     work = triage.filter(F.col("operation") != "NONE").withColumn("estimated", estimate)
     order = [F.asc("priority"), F.desc("fragmentation_percent"), F.desc("page_count"), *[F.asc(c) for c in tie]]
     timed = running(work, by, order, chunk, sums={"elapsed_before": F.col("estimated")}, before=True)
     return timed.filter(F.col("elapsed_before") < budget)
 
 
+def _work_chunk() -> Column:
+    """Chunk by priority and whole percent; rows at exactly that percent, often many, also by pages.
+
+    Rises along the order of the plan: within a percent the exact rows come
+    last, and among them large indexes first.
+    """
+    percent = F.floor("fragmentation_percent")
+    exact = F.col("fragmentation_percent") == percent
+    by_size = F.lit(64) - F.floor(F.log2(F.col("page_count") + 1))
+    return (F.col("priority") * 1_000_000 - percent * 1000 + F.when(exact, by_size).otherwise(0)).cast("long")
+
+
 def counter_rate(df: DataFrame, by: Iterable[str], ts: str, counters: Sequence[str], tie: Sequence[str] = (),
                  chunk: Column | None = None) -> DataFrame:
     """Change and rate per second of each counter since the snapshot before.
@@ -43,6 +54,18 @@ def counter_rate(df: DataFrame, by: Iterable[str], ts: str, counters: Sequence[s
     return out.drop("prev")
 
 
+def size_growth(df: DataFrame, by: Iterable[str], ts: str, sizes: Sequence[str], tie: Sequence[str] = (),
+                chunk: Column | None = None) -> DataFrame:
+    """Growth of each size since the snapshot before and per day; sizes may shrink."""
+    pairs = with_previous(df, by, [ts, *tie], [ts, *sizes], chunk if chunk is not None else month_of(ts))
+    days = times.elapsed(F.col(f"prev.{ts}"), ts, "exact") / 86400.0
+    out = pairs
+    for name in sizes:
+        change = F.col(name) - F.col(f"prev.{name}")
+        out = out.withColumns({f"{name}_growth": change, f"{name}_per_day": F.try_divide(change.cast("double"), days)})
+    return out.drop("prev")
+
+
 def ltr_keep(backups: DataFrame, as_of: times.Instant, weeks: int = 12, months: int = 12, years: int = 5,
              by: Iterable[str] = ("database",), ts: str = "created", key: str = "backup_id") -> DataFrame:
     """Backups kept by long-term retention: first of a week, month or year within the limits.

@@ -134,6 +134,17 @@ def database_inventory(t):
     return op.database_inventory(tables)
 
 
+@plan("d07_ranked_tables", """
+SELECT n_name AS database, c_name AS name, c_custkey AS total_rows, CAST(round(c_acctbal * 100) AS BIGINT) AS total_bytes
+FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY total_bytes DESC, database, name LIMIT 20
+""")
+def ranked_tables(t):
+    tables = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_name").alias("database"), F.col("c_name").alias("name"), F.col("c_custkey").alias("total_rows"),
+        cents("c_acctbal").alias("total_bytes"))
+    return op.ranked_tables(tables).drop("size_human")
+
+
 def keys_from_documents(t):
     return t.documents.select(F.concat("source", F.lit("_"), "lang", F.lit(":"), F.col("doc_id")).alias("key"),
                               F.col("lang").alias("type"), F.col("n_chars").alias("bytes"))

@@ -53,6 +53,18 @@ def counter_rate(t):
     return op.counter_rate(counters, ["user_id"], "ts", ["ops"], tie=["event_id"], chunk=chunks.day_of("ts")).drop("ts")
 
 
+@plan("e03_size_growth", """
+SELECT o_custkey AS database, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS bytes,
+  CAST(round(o_totalprice * 100) AS BIGINT) - lag(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS bytes_growth,
+  (CAST(round(o_totalprice * 100) AS BIGINT) - lag(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w)::DOUBLE
+   / nullif((epoch_us(o_orderdate) - epoch_us(lag(o_orderdate) OVER w)) / 1e6::DOUBLE / 86400.0::DOUBLE, 0) AS bytes_per_day
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+""")
+def size_growth(t):
+    sizes = t.orders.select(F.col("o_custkey").alias("database"), "o_orderkey", "o_orderdate", cents("o_totalprice").alias("bytes"))
+    return op.size_growth(sizes, ["database"], "o_orderdate", ["bytes"], tie=["o_orderkey"]).drop("o_orderdate")
+
+
 @plan("e04_long_term_retention", """
 WITH b AS (SELECT o_custkey AS database, o_orderkey AS backup_id, o_orderdate AS created,
    row_number() OVER (PARTITION BY o_custkey, date_trunc('week', o_orderdate) ORDER BY o_orderdate, o_orderkey) = 1 AND o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 84 DAY AS weekly,

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 
 from ..functions.numbers import ratio
 from ..operators.movement import fingerprint_columns
+from ..workspace import side_by_side
 from .files import file_inventory, inventory_total
 
 # How CSV exports spell values, so that a round trip loses nothing.
@@ -140,13 +141,16 @@ def _export_one(df: DataFrame, name: str, path: str, fmt: str, include_data: boo
 
 
 def export_database(spark: SparkSession, tables: Mapping[str, DataFrame], path: str, backup_name: str, fmt: str = "csv",
-                    include_data: bool = True, parallelism: int | None = None) -> DataFrame:
+                    include_data: bool = True, parallelism: int | None = None, jobs: int = 4) -> DataFrame:
     """Write data, schemas and a manifest of several tables; empty tables get a schema only.
 
     Rows and checksum of every table are counted while it is written, so the
-    source is read once. Returns the manifest, one row per table.
+    source is read once; ``jobs`` tables are written at a time, each into
+    ``parallelism`` files. Returns the manifest, one row per table.
     """
-    results = [_export_one(df, name, path, fmt, include_data, parallelism) for name, df in tables.items()]
+    results = side_by_side(
+        [lambda df=df, name=name: _export_one(df, name, path, fmt, include_data, parallelism)
+         for name, df in tables.items()], jobs)
     export_schema(spark, tables).write.mode("overwrite").json(f"{path}/schema")
     rows = [(backup_name, r.table, r.rows, r.checksum_xor, r.checksum_sum, r.schema_json, fmt, r.error,
              r.started_at, r.completed_at) for r in results]

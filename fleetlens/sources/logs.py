@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.ordering import latest_n
 
-# The line layouts. A line may be wrapped in terminal colours.
-COLOURS = "\\x1b\\[[0-9;]*m"
-LAYOUTS = {
-    "bracketed": r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] \[([A-Z]+)\] (.*)$",
-    "colon": r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\] (ERROR|WARN|INFO|DEBUG): (.*)$",
-    "dashed": r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),\d{3} - ([A-Z]+) - (.*)$",
-    "plain": r"^\[(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\]() (.*)$",
-}
+# The line layouts, as one pattern. A line may be wrapped in terminal colours.
+STAMP = r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
+LINE = (
+    rf"^(?:\[({STAMP})\] (?:\[([A-Z]+)\] |(ERROR|WARN|INFO|DEBUG): )?(.*)"
+    rf"|({STAMP}),\d{{3}} - ([A-Z]+) - (.*))$"
+)
+MARK = "\x01"
+NOISE = rf"\x1b\[[0-9;]*m|{MARK}"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -24,27 +24,24 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse_logs(lines: DataFrame, source: str = "path", text: str = "value") -> DataFrame:
     """Timestamp, level, message and layout of each line.
 
+    One match per line rewrites it as five marked fields, which are then split.
     A line in no layout keeps its text as the message and has neither
     timestamp nor level. ``WARNING`` is reported as ``WARN``.
     """
-    clean = F.regexp_replace(F.col(text), COLOURS, "")
-
-    def pick(group: int) -> Column:
-        out = F.lit(None).cast("string")
-        for pattern in reversed(LAYOUTS.values()):
-            out = F.when(clean.rlike(pattern), F.regexp_extract(clean, pattern, group)).otherwise(out)
-        return out
-
-    layout = F.lit(None).cast("string")
-    for name, pattern in reversed(LAYOUTS.items()):
-        layout = F.when(clean.rlike(pattern), F.lit(name)).otherwise(layout)
-    level = F.nullif(pick(2), F.lit(""))
-    return lines.select(
-        F.col(source).alias("source"),
-        F.try_to_timestamp(pick(1), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
-        F.when(level == "WARNING", F.lit("WARN")).otherwise(level).alias("level"),
-        F.coalesce(pick(3), clean).alias("message"), layout.alias("layout"),
+    clean = F.regexp_replace(F.col(text), NOISE, "")
+    marked = F.regexp_replace(clean, LINE, MARK.join(["$1$5", "$2", "$3", "$6", "$4$7"]))
+    parts = lines.select(F.col(source).alias("source"), F.split(marked, MARK, 5).alias("p"))
+    known = F.size("p") == 5
+    stamp, bracketed, colon, dashed, message = (F.get("p", F.lit(i)) for i in range(5))
+    level = F.nullif(F.concat(bracketed, colon, dashed), F.lit(""))
+    layout = (
+        F.when(bracketed != "", F.lit("bracketed")).when(colon != "", F.lit("colon"))
+        .when(dashed != "", F.lit("dashed")).when(known, F.lit("plain"))
     )
+    return parts.select(
+        "source", F.when(known, F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss"))).alias("ts"),
+        F.when(level == "WARNING", F.lit("WARN")).otherwise(level).alias("level"),
+        F.when(known, message).otherwise(stamp).alias("message"), layout.alias("layout"))
 
 
 def level_counts(parsed: DataFrame) -> DataFrame:

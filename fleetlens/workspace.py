@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+T = TypeVar("T")
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -25,8 +30,7 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table once and read it back, which cuts its lineage."""
-    path = new_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def side_by_side(actions: Sequence[Callable[[], T]], jobs: int = 4) -> list[T]:
+    """Run several Spark actions at a time, so that small tables do not leave the cluster idle."""
+    with ThreadPoolExecutor(max_workers=jobs) as pool:
+        return list(pool.map(lambda action: action(), actions))
