@@ -225,7 +225,8 @@ def _carry_chunks(scanned: DataFrame, keys: Sequence[str], max_gap: float) -> Da
         *[F.last(name, ignorenulls=True).over(past).alias(f"{name}_before") for name in ("full", "diff")])
 
 
-def restore_members(backups: DataFrame, chain: DataFrame, target_ids: Sequence[int], by: Sequence[str] = ("database",)) -> DataFrame:
+def restore_members(backups: DataFrame, chain: DataFrame, target_ids: Sequence[int],
+                    by: Sequence[str] = ("database",)) -> DataFrame:
     """The log backups of the chains of the targets named."""
     picked = chain.filter(F.col("target_id").isin(*target_ids)).select(*by, "target_id", "target_ts", "base_ts")
     logs = backups.filter(F.col("type") == "L")

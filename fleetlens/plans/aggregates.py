@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import bands
 from ..operators import aggregates as op
-from ..operators import integrity, rules
+from ..operators import integrity
 from .registry import EVENTS_AS_OF, plan
-from .shapes import TRIAGE_SQL, backup_sets, cents, money, triage
+from .shapes import TRIAGE_SQL, cents, money, triage
 
 
 @plan("d01_count_by", "SELECT event_type, count(*) AS count FROM events GROUP BY event_type")
@@ -170,6 +170,18 @@ def key_pattern_types(t):
         "pattern", F.explode("types").alias("type", "n"))
 
 
+@plan("d08_key_totals", """
+SELECT count(*) AS total_keys_analyzed, CAST(sum(n_chars) AS BIGINT) AS total_memory_analyzed FROM documents
+""")
+def key_totals(t):
+    return op.key_totals(keys_from_documents(t))
+
+
+@plan("d08_key_sample")
+def key_sample(t):
+    return op.key_sample(keys_from_documents(t), "key", 4)
+
+
 @plan("d09_shard_distribution", """
 WITH c AS (SELECT l_suppkey AS ns, l_returnflag AS shard, count(*) AS chunks FROM lineitem GROUP BY ALL),
      s AS (SELECT ns, count(*) AS shards, max(chunks)::DOUBLE / min(chunks)::DOUBLE AS skew FROM c GROUP BY ns HAVING count(*) > 1)
@@ -184,9 +196,14 @@ def series_cardinality(t):
     return op.series_cardinality(t.events, ["user_id", "event_type"])
 
 
-@plan("d10_series_cardinality_approx")
+@plan("d10_series_cardinality_approx", """
+SELECT event_type, count(DISTINCT user_id) AS series, true AS close FROM events GROUP BY event_type
+""")
 def series_cardinality_approx(t):
-    return op.series_cardinality(t.events, ["user_id"], by=["event_type"], approx=True)
+    exact = op.series_cardinality(t.events, ["user_id"], by=["event_type"])
+    guess = op.series_cardinality(t.events, ["user_id"], by=["event_type"], approx=True)
+    both = exact.join(guess.withColumnRenamed("series", "guess"), "event_type")
+    return both.select("event_type", "series", (F.abs(F.col("guess") - F.col("series")) <= F.col("series") * 0.2).alias("close"))
 
 
 @plan("d10_measurements", "SELECT DISTINCT event_type FROM events")
@@ -309,10 +326,22 @@ def profile_table(t):
         "approx_distinct", "not_null", "default")
 
 
-@plan("d16_profile_database")
+PROFILED = ["customer", "orders", "lineitem", "events", "documents"]
+
+
+@plan("d16_profile_database", " UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", column_name AS "column", (SELECT count(*) FROM {name}) AS row_count, 0::BIGINT AS null_count FROM (DESCRIBE {name})"""
+    for name in PROFILED))
 def profile_database(t):
-    tables = {name: getattr(t, name) for name in ("customer", "orders", "lineitem", "events", "documents")}
-    return integrity.profile_database(tables, {"customer": ["c_custkey"], "orders": ["o_orderkey"]})
+    profiles = integrity.profile_database({name: getattr(t, name) for name in PROFILED}, {"orders": ["o_orderkey"]})
+    return profiles.select("table", "column", "row_count", "null_count")
+
+
+@plan("d16_database_totals", """
+SELECT 2::BIGINT AS total_tables, (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) AS total_rows FROM region LIMIT 1
+""")
+def database_totals(t):
+    return integrity.database_totals(integrity.profile_database({"orders": t.orders, "lineitem": t.lineitem}))
 
 
 def backup_log(t):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import bands, numbers, sizes, text, times
 from ..functions.columns import with_defaults
 from ..operators import filters as op
-from .registry import EVENTS_AS_OF, ORDERS_AS_OF, plan
+from .registry import ORDERS_AS_OF, plan
 
 
 def sessions_from_orders(t):
@@ -171,6 +171,18 @@ def format_bytes(t):
     )
 
 
+@plan("b09_format_bytes_iec", """
+WITH s AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS n FROM orders)
+SELECT o_orderkey, n / 1073741824.0::DOUBLE AS size_gb,
+  CASE WHEN n <= 1023 * 1024 THEN CASE WHEN ceil(n / 1024.0::DOUBLE * 10) < 100 THEN printf('%.1fKiB', ceil(n / 1024.0::DOUBLE * 10) / 10) ELSE CAST(ceil(n / 1024.0::DOUBLE) AS BIGINT) || 'KiB' END
+       ELSE CASE WHEN ceil(n / 1048576.0::DOUBLE * 10) < 100 THEN printf('%.1fMiB', ceil(n / 1048576.0::DOUBLE * 10) / 10) ELSE CAST(ceil(n / 1048576.0::DOUBLE) AS BIGINT) || 'MiB' END END AS size_text
+FROM s
+""")
+def format_bytes_iec(t):
+    sized = t.orders.select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("n"))
+    return sized.select("o_orderkey", sizes.to_gb("n").alias("size_gb"), sizes.format_bytes("n", "iec").alias("size_text"))
+
+
 @plan("b10_parse_bytes", """
 SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) * 1024.0::DOUBLE AS kib_bytes,
        p_size * 1048576.0::DOUBLE AS mb_bytes, CAST(NULL AS DOUBLE) AS unknown_bytes
@@ -291,6 +303,41 @@ def project_snapshot(t):
     return op.project_snapshot(replicas, op.REPLICA_SOURCE)
 
 
+@plan("b18_relay_log", """
+SELECT 'relay.' || s_nationkey AS current_relay_log_file, s_suppkey AS current_relay_log_position, 'bin.' || s_nationkey AS master_log_file_being_read, s_suppkey * 2 AS master_log_position_executed FROM supplier
+""")
+def relay_log(t):
+    return op.project_snapshot(t.supplier.select(
+        F.concat(F.lit("relay."), "s_nationkey").alias("relay_log_file"), F.col("s_suppkey").alias("relay_log_pos"),
+        F.concat(F.lit("bin."), "s_nationkey").alias("relay_master_log_file"), (F.col("s_suppkey") * 2).alias("exec_master_log_pos"),
+    ), op.RELAY_LOG)
+
+
+@plan("b18_channel_errors", """
+SELECT 'ch' || doc_id AS channel_name, n_chars AS thread_id, lang AS io_thread_state, n_chars % 3 AS last_io_error_number,
+  left(text, 100) AS last_io_error_message, TIMESTAMP '2024-01-01' AS last_error_time
+FROM documents WHERE source <> 'src0'
+""")
+def channel_errors(t):
+    return op.channel_errors(t.documents.select(
+        F.when(F.col("source") == "src0", F.lit("")).otherwise(F.concat(F.lit("ch"), "doc_id")).alias("channel_name"),
+        F.col("n_chars").alias("thread_id"), F.col("lang").alias("service_state"),
+        (F.col("n_chars") % 3).alias("last_error_number"), F.col("text").alias("last_error_message"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("last_error_timestamp")))
+
+
+@plan("b18_connection_settings", """
+SELECT c_custkey AS master_server_id, 60 AS connection_retry_interval, c_nationkey AS master_retry_count,
+  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'SSL_ENABLED' ELSE 'SSL_DISABLED' END AS ssl_status
+FROM customer WHERE c_nationkey <> 0
+""")
+def connection_settings(t):
+    return op.connection_settings(t.customer.select(
+        F.when(F.col("c_nationkey") == 0, F.lit("other")).otherwise(F.lit("")).alias("channel_name"),
+        F.col("c_custkey").alias("master_server_id"), F.lit(60).alias("connect_retry"), F.col("c_nationkey").alias("master_retry_count"),
+        bands.decode("c_mktsegment", {"MACHINERY": "Yes"}, "No").alias("master_ssl_allowed")))
+
+
 @plan("b18_channel_status", """
 SELECT n_name AS channel_name, 'host' || n_regionkey AS master_host, n_nationkey AS master_port,
        CAST(NULL AS VARCHAR) AS master_user, CASE WHEN n_regionkey = 1 THEN 'RUNNING' ELSE 'STOPPED' END AS channel_status

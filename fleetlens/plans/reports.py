@@ -186,6 +186,16 @@ def store_statistics(t):
     return op.store_statistics(stores)
 
 
+@plan("j10_store_cache_ratios", """
+SELECT s_suppkey AS server_id, s_nationkey AS pages_read_in, s_suppkey AS pages_requested,
+  (s_suppkey - s_nationkey)::DOUBLE * 100 / nullif(s_suppkey, 0)::DOUBLE AS hit_ratio, s_nationkey::DOUBLE * 100 / nullif(s_nationkey + s_suppkey, 0)::DOUBLE AS ref_ratio
+FROM supplier
+""")
+def store_cache_ratios(t):
+    return op.store_cache_ratios(t.supplier.select(
+        F.col("s_suppkey").alias("server_id"), F.col("s_nationkey").alias("pages_read_in"), F.col("s_suppkey").alias("pages_requested")))
+
+
 @plan("j11_counters_long", """
 SELECT event_id, 'k' AS counter, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events
 """)

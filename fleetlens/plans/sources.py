@@ -100,6 +100,14 @@ def log_levels(t):
     return logs.level_counts(logs.parse_logs(log_lines(t)))
 
 
+@plan("a04_log_levels_of_files", f"WITH {LOG_SQL} SELECT level, count(*) AS lines FROM l GROUP BY level")
+def log_levels_of_files(t):
+    path = new_dir(t.spark, "logs")
+    log_lines(t).select("value").write.text(path)
+    counts = logs.level_counts(logs.parse_logs(logs.read_lines(t.spark, path)))
+    return counts.groupBy("level").agg(F.sum("lines").alias("lines"))
+
+
 @plan("a05_write_report_json", """
 SELECT c_custkey AS server_id, c_mktsegment AS segment, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL
 """)
@@ -157,9 +165,11 @@ def export_sql_dump(t):
     return t.spark.read.text(f"{path}/data")
 
 
-@plan("a10_export_schema")
+@plan("a10_export_schema", " UNION ALL ".join(
+    f"""SELECT '{name}' AS "table", count(*) AS columns FROM (DESCRIBE {name})""" for name in TABLE_NAMES))
 def export_schema(t):
-    return exports.export_schema(t.spark, all_tables(t))
+    fields = F.json_array_length(F.get_json_object("schema_json", "$.fields"))
+    return exports.export_schema(t.spark, all_tables(t)).select("table", fields.cast("long").alias("columns"))
 
 
 @plan("a11_restore_orders", "SELECT * FROM orders")
@@ -194,10 +204,12 @@ def restore_verified(t):
     return out
 
 
-@plan("a12_compression_report")
+@plan("a12_compression_report", "SELECT true AS smaller, true AS consistent FROM region LIMIT 1")
 def compression_report(t):
     root = new_dir(t.spark, "compress")
-    return exports.write_compressed(t.documents, f"{root}/plain", f"{root}/packed")
+    report = exports.write_compressed(t.documents, f"{root}/plain", f"{root}/packed")
+    packed, plain = F.col("compressed_bytes"), F.col("original_bytes")
+    return report.select((packed < plain).alias("smaller"), (F.col("ratio") == packed / plain).alias("consistent"))
 
 
 @plan("a13_file_inventory")
