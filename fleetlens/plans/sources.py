@@ -64,7 +64,7 @@ def append_report(t):
 
 
 def log_lines(t):
-    """Events as log lines in every layout, one log per user."""
+    """Events as log lines in every layout, in twenty logs."""
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "WARN").otherwise("INFO")
     text = F.concat(F.lit("event "), "event_id")
@@ -76,11 +76,11 @@ def log_lines(t):
         .when(kind == 3, F.concat(F.lit("["), stamp, F.lit("] "), text))
         .otherwise(F.concat(F.lit("no layout: "), text))
     )
-    return t.events.select(F.concat(F.lit("log"), "user_id").alias("path"), line.alias("value"))
+    return t.events.select(F.concat(F.lit("log"), F.col("user_id") % 20).alias("path"), line.alias("value"))
 
 
 LOG_SQL = """
-l AS (SELECT 'log' || user_id AS source, CASE WHEN event_id % 5 < 4 THEN date_trunc('second', ts) END AS ts,
+l AS (SELECT 'log' || (user_id % 20) AS source, CASE WHEN event_id % 5 < 4 THEN date_trunc('second', ts) END AS ts,
   CASE WHEN event_id % 5 < 3 THEN CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'WARN' ELSE 'INFO' END END AS level,
   CASE WHEN event_id % 5 = 4 THEN 'no layout: ' ELSE '' END || 'event ' || event_id AS message,
   CASE event_id % 5 WHEN 0 THEN 'bracketed' WHEN 1 THEN 'colon' WHEN 2 THEN 'dashed' WHEN 3 THEN 'plain' END AS layout FROM events)
