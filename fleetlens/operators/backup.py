@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -14,7 +14,7 @@ from ..functions.text import qualified_name
 from ..sources.exports import MANIFEST_SCHEMA
 from ..sources.files import file_inventory, inventory_total
 from ..sources.logs import first_lines
-from .chunks import month_of
+from .chunks import time_chunks
 from .ordering import top_n
 
 
@@ -125,7 +125,7 @@ def verify_not_empty(spark: SparkSession, path: str) -> DataFrame:
 
 
 def restore_chain(backups: DataFrame, targets: DataFrame, by: Sequence[str] = ("database",),
-                  max_gap: float = 0.0, cut: Callable[[str], Column] = month_of) -> DataFrame:
+                  max_gap: float = 0.0, rows_per_chunk: int | None = None) -> DataFrame:
     """What each target instant needs: the latest full backup, a later differential, the logs after.
 
     Backups and targets are put on one time line per key and scanned once, in
@@ -135,7 +135,7 @@ def restore_chain(backups: DataFrame, targets: DataFrame, by: Sequence[str] = ("
     than ``max_gap`` seconds after the log before it finished.
     """
     keys = list(by)
-    line = _time_line(backups, targets, keys).withColumn("chunk", cut("at"))
+    line = time_chunks(_time_line(backups, targets, keys), keys, "at", rows_per_chunk, out="chunk")
     # Said here once, so that both uses of the scan below share one shuffle.
     line = line.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "chunk"]]))
     scanned = _scan_chunks(line, keys, max_gap)

@@ -1,12 +1,16 @@
 """Ordered scans per key that never gather one key into one task.
 
 A plain window over ``partitionBy(key).orderBy(ts)`` sorts all rows of a key in
-one task.  Here every key is cut into chunks along its order (a month, a range
-of sequence numbers).  The window runs per (key, chunk); what crosses a chunk
-border comes from a per-chunk summary, which is a map-side combined aggregate
-with one row per (key, chunk).  ``chunk`` must not decrease along ``order``.
+one task.  Here a key is cut into chunks along its order.  The window runs per
+(key, chunk); what crosses a chunk border comes from a per-chunk summary, which
+is a map-side combined aggregate with one row per (key, chunk).
 
-Rows whose key is NULL belong to no series and get no predecessor.
+The caller may say how to cut: any expression that does not decrease along the
+order.  Otherwise keys are cut by time, and only those that need it: a key with
+more than ``ROWS_PER_CHUNK`` rows gets the widest of a day, an hour, a minute
+or a second in which it stays below that number.
+
+Rows whose key is NULL belong to no series and get no neighbour and no total.
 """
 
 from __future__ import annotations
@@ -18,25 +22,58 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import names
 from ..functions.times import seconds
 
+ROWS_PER_CHUNK = 5_000_000
+# Rows without a key need no order; they are spread over this many chunks.
+KEYLESS_CHUNKS = 1024
+
 _CHUNK = "_chunk"
 _CARRY = "_carry"
 
 
-def month_of(ts: str) -> Column:
-    """Chunk by calendar month."""
-    return (F.year(ts) * 12 + F.month(ts)).cast("long")
-
-
-def day_of(ts: str) -> Column:
-    """Chunk by day."""
-    return F.floor(seconds(ts) / 86400).cast("long")
-
-
 def range_of(col: str, width: int) -> Column:
-    """Chunk by a range of numbers."""
+    """Chunk by a range of numbers; unique numbers make it hold at most ``width`` rows."""
     return F.floor(F.col(col) / F.lit(width)).cast("long")
 
 
+def time_chunks(df: DataFrame, by: Iterable[str] | str | None, ts: str, rows_per_chunk: int | None = None,
+                out: str = _CHUNK) -> DataFrame:
+    """Add a chunk number by time: 0 for ordinary keys, fine enough for busy ones.
+
+    Counting is lazy and combined on the map side: rows per key first, and
+    rows per second only for the busy keys. There are fewer of those than
+    ``rows / rows_per_chunk``, which bounds what is broadcast.
+    """
+    keys, limit = names(by), rows_per_chunk or ROWS_PER_CHUNK
+    at = seconds(ts)
+    if not keys:
+        keyed = df.withColumn("_all", F.lit(0))
+        return time_chunks(keyed, ["_all"], ts, limit, out).drop("_all")
+    slim = df.select(*keys, at.alias("_t")).filter(_has_keys(keys))
+    busy = slim.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
+    level = slim.join(F.broadcast(busy), keys, "left_semi").groupBy(*keys, "_t").agg(F.count("*").alias("_n"))
+    level = level.repartition(*keys)  # one shuffle of counts for all widths
+    peaks: list[str] = []
+    for width, step in ((1, 60), (60, 60), (3600, 24)):
+        peak = f"_peak{width}"
+        level = level.groupBy(*keys, F.floor(F.col("_t") / step).alias("_t")).agg(
+            F.sum("_n").alias("_n"), F.max("_n").alias(peak), *[F.max(name).alias(name) for name in peaks])
+        peaks.append(peak)
+    fits = level.groupBy(*keys).agg(F.max("_n").alias("_peak86400"), *[F.max(name).alias(name) for name in peaks])
+    width = F.when(F.col("_peak86400") <= limit, 86400).when(F.col("_peak3600") <= limit, 3600).when(
+        F.col("_peak60") <= limit, 60).otherwise(1)
+    widths = fits.select(*keys, width.alias("_width"))
+    cut = F.coalesce(F.floor(at / F.col("_width")), F.lit(0)).cast("long")
+    spread = F.pmod(F.xxhash64(ts), F.lit(KEYLESS_CHUNKS))
+    return df.join(F.broadcast(widths), keys, "left").withColumn(
+        out, F.when(_has_keys(keys), cut).otherwise(spread)).drop("_width")
+
+
+def _chunked(df: DataFrame, keys: Sequence[str], first: str, chunk: Column | None, rows_per_chunk: int | None) -> DataFrame:
+    if chunk is None:
+        return time_chunks(df, keys, first, rows_per_chunk)
+    return df.withColumn(_CHUNK, chunk)
+
+
 def _has_keys(keys: Sequence[str]) -> Column:
     known = F.lit(True)
     for key in keys:
@@ -45,9 +82,9 @@ def _has_keys(keys: Sequence[str]) -> Column:
 
 
 def _neighbour(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str], values: Sequence[str],
-               chunk: Column, out: str, step: int) -> DataFrame:
+               chunk: Column | None, out: str, step: int, rows_per_chunk: int | None) -> DataFrame:
     keys = names(by)
-    data = df.withColumn(_CHUNK, chunk)
+    data = _chunked(df, keys, order[0], chunk, rows_per_chunk)
     pack, rank = F.struct(*values), F.struct(*order)
     inner = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy(_CHUNK)
@@ -68,15 +105,15 @@ def _neighbour(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[st
 
 
 def with_previous(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str], values: Sequence[str],
-                  chunk: Column, out: str = "prev") -> DataFrame:
+                  chunk: Column | None = None, out: str = "prev", rows_per_chunk: int | None = None) -> DataFrame:
     """Add ``out``: a struct of ``values`` from the row before, per key."""
-    return _neighbour(df, by, order, values, chunk, out, -1)
+    return _neighbour(df, by, order, values, chunk, out, -1, rows_per_chunk)
 
 
 def with_next(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str], values: Sequence[str],
-              chunk: Column, out: str = "next") -> DataFrame:
+              chunk: Column | None = None, out: str = "next", rows_per_chunk: int | None = None) -> DataFrame:
     """Add ``out``: a struct of ``values`` from the row after, per key."""
-    return _neighbour(df, by, order, values, chunk, out, 1)
+    return _neighbour(df, by, order, values, chunk, out, 1, rows_per_chunk)
 
 
 def running(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str | Column], chunk: Column,
@@ -103,8 +140,8 @@ def running(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str |
         **{name: F.sum(f"_in_{name}").over(inner) for name in sums},
         **{name: F.max(f"_in_{name}").over(inner) for name in maxima},
     })
-    out = rows.join(carry, [*keys, _CHUNK], "left") if keys else rows.join(carry, [_CHUNK], "left")
-    zero = {name: F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_before_{name}"), F.lit(0)) for name in sums}
+    out = rows.join(carry, [*keys, _CHUNK], "left")
+    both = {name: F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_before_{name}"), F.lit(0)) for name in sums}
     best = {name: F.greatest(name, f"_before_{name}") for name in maxima}
-    return out.withColumns({**zero, **best}).drop(
-        _CHUNK, *inputs, *[f"_before_{name}" for name in {**sums, **maxima}])
+    known = {name: F.when(_has_keys(keys), col) for name, col in {**both, **best}.items()}
+    return out.withColumns(known).drop(_CHUNK, *inputs, *[f"_before_{name}" for name in known])

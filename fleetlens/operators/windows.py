@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import times
 from ..functions.columns import names
-from .chunks import month_of, range_of, running, with_next, with_previous
+from .chunks import range_of, running, with_next, with_previous
 
 
 def maintenance_plan(triage: DataFrame, budget: float, estimate: Column, by: Iterable[str] | None,
@@ -41,7 +41,7 @@ def counter_rate(df: DataFrame, by: Iterable[str], ts: str, counters: Sequence[s
     A counter that fell was reset: its change and rate are NULL and
     ``<counter>_reset`` is true.
     """
-    pairs = with_previous(df, by, [ts, *tie], [ts, *counters], chunk if chunk is not None else month_of(ts))
+    pairs = with_previous(df, by, [ts, *tie], [ts, *counters], chunk)
     gap = times.elapsed(F.col(f"prev.{ts}"), ts, "exact")
     out = pairs.withColumn("elapsed_seconds", gap)
     for name in counters:
@@ -57,7 +57,7 @@ def counter_rate(df: DataFrame, by: Iterable[str], ts: str, counters: Sequence[s
 def size_growth(df: DataFrame, by: Iterable[str], ts: str, sizes: Sequence[str], tie: Sequence[str] = (),
                 chunk: Column | None = None) -> DataFrame:
     """Growth of each size since the snapshot before and per day; sizes may shrink."""
-    pairs = with_previous(df, by, [ts, *tie], [ts, *sizes], chunk if chunk is not None else month_of(ts))
+    pairs = with_previous(df, by, [ts, *tie], [ts, *sizes], chunk)
     days = times.elapsed(F.col(f"prev.{ts}"), ts, "exact") / 86400.0
     out = pairs
     for name in sizes:
@@ -106,7 +106,7 @@ def sequence_gaps(df: DataFrame, by: Iterable[str], seq: str, width: int = 1_000
 def run_intervals(reports: DataFrame, by: Iterable[str], start: str = "start", end: str = "finish",
                   tie: Sequence[str] = (), chunk: Column | None = None) -> DataFrame:
     """Duration of each run and seconds since the start of the run before."""
-    pairs = with_previous(reports, by, [start, *tie], [start], chunk if chunk is not None else month_of(start))
+    pairs = with_previous(reports, by, [start, *tie], [start], chunk)
     return (
         pairs.withColumn("duration_seconds", times.elapsed(start, end))
         .withColumn("interval_seconds", times.elapsed(F.col(f"prev.{start}"), start)).drop("prev")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunks, windows as op
+from ..operators import windows as op
 from .registry import ORDERS_AS_OF, plan
 from .shapes import backup_sets, cents
 
@@ -50,7 +50,7 @@ FROM p
 """)
 def counter_rate(t):
     counters = t.events.select("user_id", "event_id", "ts", cents("value").alias("ops"))
-    return op.counter_rate(counters, ["user_id"], "ts", ["ops"], tie=["event_id"], chunk=chunks.day_of("ts")).drop("ts")
+    return op.counter_rate(counters, ["user_id"], "ts", ["ops"], tie=["event_id"]).drop("ts")
 
 
 @plan("e03_size_growth", """
@@ -97,4 +97,4 @@ def run_intervals(t):
     runs = t.orders.select(F.col("o_custkey").alias("database"), F.col("o_orderkey").alias("run_id"),
                            F.col("o_orderdate").alias("start"),
                            (F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("finish"))
-    return op.run_intervals(runs, ["database"], tie=["run_id"], chunk=F.year("start")).drop("start", "finish")
+    return op.run_intervals(runs, ["database"], tie=["run_id"]).drop("start", "finish")
