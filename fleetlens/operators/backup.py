@@ -136,16 +136,16 @@ def restore_chain(backups: DataFrame, targets: DataFrame, by: Sequence[str] = ("
     """
     keys = list(by)
     line = time_chunks(_time_line(backups, targets, keys), keys, "at", rows_per_chunk, out="chunk")
-    # Said here once, so that both uses of the scan below share one shuffle.
-    line = line.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "chunk"]]))
     scanned = _scan_chunks(line, keys, max_gap)
-    carried = _carry_chunks(scanned, keys, max_gap)
+    carried = _carry_chunks(scanned.filter(F.col("chunk").isNotNull()), keys, max_gap)
 
     def overall(spot: str) -> Column:
         """A base found in this chunk, counted from the start of the line, or the one carried in."""
         return F.coalesce(_from_start(F.col(spot)), F.col(f"{spot}_before"))
 
-    placed = scanned.filter(F.col("type") == "T").join(carried, [*keys, "chunk"]).select(
+    opened = scanned.filter(F.col("type") == "T").join(carried, [*keys, "chunk"], "left").fillna(
+        {"logs_before": 0, "bytes_before": 0, "gaps_before": 0, "opening_gap": False})
+    placed = opened.select(
         *keys, F.col("id").alias("target_id"), F.col("at").alias("target_ts"),
         _from_start(F.struct("at", "id", "logs", "log_bytes", "gaps", "has_log")).alias("now"),
         overall("full").alias("full"), overall("diff").alias("diff"))
@@ -170,7 +170,8 @@ def _time_line(backups: DataFrame, targets: DataFrame, keys: Sequence[str]) -> D
     wanted = targets.select(
         *keys, F.col("target_ts").alias("at"), F.lit(2).alias("rank"), F.col("target_id").alias("id"),
         F.lit("T").alias("type"), F.lit(0).cast("long").alias("bytes"), F.lit(None).cast(kind).alias("finished"))
-    return events.unionByName(wanted)
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "at"]])
+    return events.unionByName(wanted).filter(complete)
 
 
 def _scan_chunks(line: DataFrame, keys: Sequence[str], max_gap: float) -> DataFrame:

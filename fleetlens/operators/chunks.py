@@ -10,7 +10,8 @@ order.  Otherwise keys are cut by time, and only those that need it: a key with
 more than ``ROWS_PER_CHUNK`` rows gets the widest of a day, an hour, a minute
 or a second in which it stays below that number.
 
-Rows whose key is NULL belong to no series and get no neighbour and no total.
+Only keys in several chunks need a summary, so ordinary keys have the chunk
+NULL and take no part in it. Rows whose key is NULL belong to no series and get no neighbour and no total.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def range_of(col: str, width: int) -> Column:
 
 def time_chunks(df: DataFrame, by: Iterable[str] | str | None, ts: str, rows_per_chunk: int | None = None,
                 out: str = _CHUNK) -> DataFrame:
-    """Add a chunk number by time: 0 for ordinary keys, fine enough for busy ones.
+    """Add a chunk number by time: fine enough for busy keys, NULL for ordinary ones.
 
     Counting is lazy and combined on the map side: rows per key first, and
     rows per second only for the busy keys. There are fewer of those than
@@ -62,7 +63,7 @@ def time_chunks(df: DataFrame, by: Iterable[str] | str | None, ts: str, rows_per
     width = F.when(F.col("_peak86400") <= limit, 86400).when(F.col("_peak3600") <= limit, 3600).when(
         F.col("_peak60") <= limit, 60).otherwise(1)
     widths = fits.select(*keys, width.alias("_width"))
-    cut = F.coalesce(F.floor(at / F.col("_width")), F.lit(0)).cast("long")
+    cut = F.floor(at / F.col("_width")).cast("long")
     spread = F.pmod(F.xxhash64(ts), F.lit(KEYLESS_CHUNKS))
     return df.join(F.broadcast(widths), keys, "left").withColumn(
         out, F.when(_has_keys(keys), cut).otherwise(spread)).drop("_width")
@@ -92,7 +93,7 @@ def _neighbour(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[st
     edge = F.max_by(pack, rank) if step < 0 else F.min_by(pack, rank)
     hop = F.lag("_edge") if step < 0 else F.lead("_edge")
     carry = (
-        data.groupBy(*keys, _CHUNK).agg(edge.alias("_edge"))
+        data.filter(F.col(_CHUNK).isNotNull() & _has_keys(keys)).groupBy(*keys, _CHUNK).agg(edge.alias("_edge"))
         .select(*keys, _CHUNK, hop.over(outer).alias(_CARRY))
         .filter(F.col(_CARRY).isNotNull())
     )
