@@ -12,23 +12,24 @@ from .registry import EVENTS_AS_OF, plan
 
 
 def base_orders(t):
-    return t.orders.filter(F.col("o_orderkey") % 10 != 0)
+    """Orders as they were: before the urgent ones came."""
+    return t.orders.filter(F.col("o_orderpriority") != "1-URGENT")
 
 
 @plan("k08_table_diff", """
-SELECT CASE o_orderkey % 10 WHEN 0 THEN 'insert' WHEN 1 THEN 'delete' ELSE 'update' END AS change, o_orderkey,
-  CASE WHEN o_orderkey % 10 <> 1 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 10 <> 1 THEN o_orderstatus END AS o_orderstatus,
-  CASE o_orderkey % 10 WHEN 0 THEN o_totalprice WHEN 2 THEN o_totalprice + 1 END AS o_totalprice,
-  CASE WHEN o_orderkey % 10 <> 1 THEN o_orderdate END AS o_orderdate, CASE WHEN o_orderkey % 10 <> 1 THEN o_orderpriority END AS o_orderpriority
-FROM orders WHERE o_orderkey % 10 IN (0, 1, 2)
+WITH k AS (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'insert' WHEN '2-HIGH' THEN 'delete' WHEN '3-MEDIUM' THEN 'update' END AS change FROM orders)
+SELECT change, o_orderkey, CASE WHEN change <> 'delete' THEN o_custkey END AS o_custkey, CASE WHEN change <> 'delete' THEN o_orderstatus END AS o_orderstatus,
+  CASE change WHEN 'insert' THEN o_totalprice WHEN 'update' THEN o_totalprice + 1 END AS o_totalprice,
+  CASE WHEN change <> 'delete' THEN o_orderdate END AS o_orderdate, CASE WHEN change <> 'delete' THEN o_orderpriority END AS o_orderpriority
+FROM k WHERE change IS NOT NULL
 """)
 def table_diff(t):
     return op.table_diff(base_orders(t), altered_orders(t), ["o_orderkey"])
 
 
 @plan("k09_apply_changes", """
-SELECT o_orderkey, o_custkey, o_orderstatus, CASE o_orderkey % 10 WHEN 2 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority
-FROM orders WHERE o_orderkey % 10 <> 1
+SELECT o_orderkey, o_custkey, o_orderstatus, CASE o_orderpriority WHEN '3-MEDIUM' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority
+FROM orders WHERE o_orderpriority <> '2-HIGH'
 """)
 def apply_changes(t):
     """The diff as a log in which every change is preceded by a contrary one and followed by one too late."""
@@ -56,8 +57,8 @@ def reindex_content(t):
 
 
 def doubled_orders(t):
-    """Orders with an older version of some."""
-    old = t.orders.filter(F.col("o_orderkey") % 3 == 0).withColumns({"o_totalprice": F.lit(0.0), "version": F.lit(1)})
+    """Orders with an older version of the finished ones."""
+    old = t.orders.filter(F.col("o_orderstatus") == "F").withColumns({"o_totalprice": F.lit(0.0), "version": F.lit(1)})
     return t.orders.withColumn("version", F.lit(2)).unionByName(old)
 
 

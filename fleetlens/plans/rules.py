@@ -50,10 +50,10 @@ def cache_health(t):
 
 
 @plan("i02_cluster_health", """
-SELECT n_name AS cluster_name, CASE WHEN n_nationkey % 4 IN (0, 3) THEN 'CRITICAL' ELSE 'WARNING' END AS severity, 'Cluster Health' AS category,
-  CASE WHEN n_nationkey % 4 IN (0, 3) THEN 'Cluster status is RED - immediate attention required' ELSE 'Cluster status is YELLOW - some replicas are unassigned' END AS message,
-  CASE WHEN n_nationkey % 4 IN (0, 3) THEN 'Check for unassigned shards and node failures' ELSE 'Check shard allocation and node capacity' END AS recommendation
-FROM nation WHERE n_nationkey % 4 <> 2
+SELECT n_name AS cluster_name, CASE WHEN n_regionkey <> 1 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, 'Cluster Health' AS category,
+  CASE WHEN n_regionkey <> 1 THEN 'Cluster status is RED - immediate attention required' ELSE 'Cluster status is YELLOW - some replicas are unassigned' END AS message,
+  CASE WHEN n_regionkey <> 1 THEN 'Check for unassigned shards and node failures' ELSE 'Check shard allocation and node capacity' END AS recommendation
+FROM nation WHERE n_regionkey <> 2
 UNION ALL SELECT n_name, 'WARNING', 'Shard Allocation', n_regionkey || ' unassigned shards found', 'Check node capacity and allocation settings' FROM nation WHERE n_regionkey > 0
 UNION ALL SELECT 'c' || c_nationkey, 'INFO', 'Index Management', 'Large index detected: ' || c_name || ' (' || c_custkey || '.0 GB)', 'Consider index lifecycle management or archival'
 FROM customer WHERE c_custkey > 50 AND c_custkey < 1000
@@ -63,7 +63,7 @@ UNION ALL SELECT 'c' || c_nationkey, 'INFO', 'Index Management', 'Large index de
 FROM customer WHERE c_custkey >= 1000 AND c_custkey < 1024
 """)
 def cluster_health(t):
-    status = bands.decode(F.col("n_nationkey") % 4, {0: "red", 1: "yellow", 2: "green"})
+    status = bands.decode("n_regionkey", {0: "red", 1: "yellow", 2: "green"})
     clusters = t.nation.select(F.col("n_name").alias("cluster_name"), status.alias("status"),
                                F.col("n_regionkey").alias("unassigned_shards"))
     objects = t.customer.select(F.concat(F.lit("c"), "c_nationkey").alias("cluster_name"), F.col("c_name").alias("name"),
@@ -88,13 +88,13 @@ def collection_advice(t):
 
 @plan("i04_settings_advice", """
 SELECT c_custkey AS server_id, 'journal_mode=WAL' AS setting, 'WAL mode provides better concurrency and performance' AS reason FROM customer WHERE c_mktsegment <> 'MACHINERY'
-UNION ALL SELECT c_custkey, 'synchronous=NORMAL', 'NORMAL synchronous mode is faster while still safe' FROM customer WHERE c_nationkey % 3 = 2
+UNION ALL SELECT c_custkey, 'synchronous=NORMAL', 'NORMAL synchronous mode is faster while still safe' FROM customer WHERE c_nationkey = 2
 UNION ALL SELECT c_custkey, 'cache_size=-10000', 'Larger cache size (10MB) improves performance' FROM customer WHERE abs(floor(c_acctbal)) < 2000
 """)
 def settings_advice(t):
     settings = t.customer.select(
         F.col("c_custkey").alias("server_id"), bands.decode("c_mktsegment", {"MACHINERY": "WAL"}, "DELETE").alias("journal_mode"),
-        (F.col("c_nationkey") % 3).alias("synchronous"), (-F.floor("c_acctbal")).alias("cache_size"))
+        F.col("c_nationkey").alias("synchronous"), (-F.floor("c_acctbal")).alias("cache_size"))
     return op.settings_advice(settings)
 
 
@@ -140,7 +140,7 @@ def replica_rows(t):
     """Events as replica rows; some belong to a named channel, some lags are unknown."""
     return t.events.select(
         F.col("event_id").alias("server_id"),
-        F.when(F.col("user_id") % 10 == 0, F.lit("other")).otherwise(F.lit("")).alias("channel_name"),
+        F.when(F.col("value") < 5, F.lit("other")).otherwise(F.lit("")).alias("channel_name"),
         bands.decode("event_type", {"click": "Waiting for master to send event", "view": "Connecting to master", "error": ""},
                      "Queueing master event").alias("slave_io_state"),
         bands.decode("event_type", {"click": "Yes", "error": "No"}).alias("slave_io_running"),
@@ -148,13 +148,13 @@ def replica_rows(t):
         F.when(F.col("event_type") != "error", F.floor(F.col("value") * 10 - 5).cast("long")).alias("seconds_behind_master"),
         F.when(F.col("event_type") == "error", 2003).otherwise(0).alias("last_io_errno"),
         F.concat(F.lit("io "), "props").alias("last_io_error"),
-        F.when(F.col("user_id") % 7 == 0, 1062).otherwise(0).alias("last_sql_errno"),
+        F.when(F.col("value") > 100, 1062).otherwise(0).alias("last_sql_errno"),
         F.col("props").alias("last_sql_error"))
 
 
 @plan("i08_replica_thread_status", """
 WITH r AS (SELECT event_id AS server_id, CASE event_type WHEN 'click' THEN 'Waiting for master to send event' WHEN 'view' THEN 'Connecting to master' WHEN 'error' THEN '' ELSE 'Queueing master event' END AS st,
-  CASE event_type WHEN 'click' THEN 'Yes' WHEN 'error' THEN 'No' END AS io, CASE event_type WHEN 'click' THEN 'Yes' WHEN 'view' THEN 'Yes' WHEN 'error' THEN 'No' ELSE 'Connecting' END AS sq FROM events WHERE user_id % 10 <> 0)
+  CASE event_type WHEN 'click' THEN 'Yes' WHEN 'error' THEN 'No' END AS io, CASE event_type WHEN 'click' THEN 'Yes' WHEN 'view' THEN 'Yes' WHEN 'error' THEN 'No' ELSE 'Connecting' END AS sq FROM events WHERE value >= 5)
 SELECT server_id, 'Slave_IO_State' AS metric, CASE st WHEN 'Waiting for master to send event' THEN 'HEALTHY' WHEN 'Connecting to master' THEN 'CONNECTING' WHEN '' THEN 'STOPPED' ELSE 'CHECK_REQUIRED' END AS status, st AS details FROM r
 UNION ALL SELECT server_id, 'Slave_IO_Running', CASE io WHEN 'Yes' THEN 'HEALTHY' WHEN 'No' THEN 'CRITICAL' ELSE 'WARNING' END, io FROM r
 UNION ALL SELECT server_id, 'Slave_SQL_Running', CASE sq WHEN 'Yes' THEN 'HEALTHY' WHEN 'No' THEN 'CRITICAL' ELSE 'WARNING' END, sq FROM r
@@ -164,7 +164,7 @@ def replica_thread_status(t):
 
 
 @plan("i09_replication_lag", """
-WITH r AS (SELECT event_id AS server_id, CASE WHEN event_type <> 'error' THEN CAST(floor(value * 10 - 5) AS BIGINT) END AS s FROM events WHERE user_id % 10 <> 0)
+WITH r AS (SELECT event_id AS server_id, CASE WHEN event_type <> 'error' THEN CAST(floor(value * 10 - 5) AS BIGINT) END AS s FROM events WHERE value >= 5)
 SELECT server_id, 'Seconds_Behind_Master' AS metric, CASE WHEN s IS NULL THEN 'REPLICATION_STOPPED' WHEN s = 0 THEN 'SYNCHRONIZED' WHEN s < 60 THEN 'ACCEPTABLE' WHEN s < 300 THEN 'WARNING' ELSE 'CRITICAL' END AS status,
   coalesce(s, -1) AS lag_seconds, CASE WHEN s > 0 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm ' || (s % 60) || 's' ELSE 'N/A' END AS lag_formatted FROM r
 """)
@@ -173,10 +173,10 @@ def replication_lag(t):
 
 
 @plan("i10_replication_errors", """
-WITH r AS (SELECT * FROM events WHERE user_id % 10 <> 0)
+WITH r AS (SELECT * FROM events WHERE value >= 5)
 SELECT event_id AS server_id, 'Last_IO_Error' AS error_type, CASE WHEN event_type = 'error' THEN 'ERROR_PRESENT' ELSE 'NO_ERROR' END AS status,
   CASE WHEN event_type = 'error' THEN 2003 ELSE 0 END AS error_number, left('io ' || props, 200) AS error_message FROM r
-UNION ALL SELECT event_id, 'Last_SQL_Error', CASE WHEN user_id % 7 = 0 THEN 'ERROR_PRESENT' ELSE 'NO_ERROR' END, CASE WHEN user_id % 7 = 0 THEN 1062 ELSE 0 END, left(props, 200) FROM r
+UNION ALL SELECT event_id, 'Last_SQL_Error', CASE WHEN value > 100 THEN 'ERROR_PRESENT' ELSE 'NO_ERROR' END, CASE WHEN value > 100 THEN 1062 ELSE 0 END, left(props, 200) FROM r
 """)
 def replication_errors(t):
     return op.replication_errors(replica_rows(t), by=["server_id"])

@@ -64,26 +64,26 @@ def append_report(t):
 
 
 def log_lines(t):
-    """Events as log lines in every layout, in twenty logs."""
+    """Events as log lines, one log per day; the layout changes with the time of day."""
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "WARN").otherwise("INFO")
     text = F.concat(F.lit("event "), "event_id")
-    kind = F.col("event_id") % 5
+    hour = F.hour("ts")
     line = (
-        F.when(kind == 0, F.concat(F.lit("["), stamp, F.lit("] ["), level, F.lit("] "), text))
-        .when(kind == 1, F.concat(F.lit("\x1b[0;31m["), stamp, F.lit("] "), level, F.lit(": "), text, F.lit("\x1b[0m")))
-        .when(kind == 2, F.concat(stamp, F.lit(",123 - "), level, F.lit(" - "), text))
-        .when(kind == 3, F.concat(F.lit("["), stamp, F.lit("] "), text))
+        F.when(hour < 5, F.concat(F.lit("["), stamp, F.lit("] ["), level, F.lit("] "), text))
+        .when(hour < 10, F.concat(F.lit("\x1b[0;31m["), stamp, F.lit("] "), level, F.lit(": "), text, F.lit("\x1b[0m")))
+        .when(hour < 15, F.concat(stamp, F.lit(",123 - "), level, F.lit(" - "), text))
+        .when(hour < 20, F.concat(F.lit("["), stamp, F.lit("] "), text))
         .otherwise(F.concat(F.lit("no layout: "), text))
     )
-    return t.events.select(F.concat(F.lit("log"), F.col("user_id") % 20).alias("path"), line.alias("value"))
+    return t.events.select(F.concat(F.lit("day"), F.date_format("ts", "yyyyMMdd")).alias("path"), line.alias("value"))
 
 
 LOG_SQL = """
-l AS (SELECT 'log' || (user_id % 20) AS source, CASE WHEN event_id % 5 < 4 THEN date_trunc('second', ts) END AS ts,
-  CASE WHEN event_id % 5 < 3 THEN CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'WARN' ELSE 'INFO' END END AS level,
-  CASE WHEN event_id % 5 = 4 THEN 'no layout: ' ELSE '' END || 'event ' || event_id AS message,
-  CASE event_id % 5 WHEN 0 THEN 'bracketed' WHEN 1 THEN 'colon' WHEN 2 THEN 'dashed' WHEN 3 THEN 'plain' END AS layout FROM events)
+l AS (SELECT strftime(ts, 'day%Y%m%d') AS source, CASE WHEN hour(ts) < 20 THEN date_trunc('second', ts) END AS ts,
+  CASE WHEN hour(ts) < 15 THEN CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'WARN' ELSE 'INFO' END END AS level,
+  CASE WHEN hour(ts) >= 20 THEN 'no layout: ' ELSE '' END || 'event ' || event_id AS message,
+  CASE WHEN hour(ts) < 5 THEN 'bracketed' WHEN hour(ts) < 10 THEN 'colon' WHEN hour(ts) < 15 THEN 'dashed' WHEN hour(ts) < 20 THEN 'plain' END AS layout FROM events)
 """
 
 

@@ -74,9 +74,9 @@ def stream_job_status(t):
 
 
 @plan("s04_stream_log_errors", """
-SELECT 'log' || (user_id % 20) AS source, date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS errors
-FROM events WHERE event_type = 'error' AND event_id % 5 < 3 GROUP BY 1, 2, 3
-HAVING window_end <= (SELECT max(date_trunc('second', ts)) FROM events WHERE event_type = 'error' AND event_id % 5 < 3) - INTERVAL 1 HOUR
+SELECT strftime(ts, 'day%Y%m%d') AS source, date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS errors
+FROM events WHERE event_type = 'error' AND hour(ts) < 15 GROUP BY 1, 2, 3
+HAVING window_end <= (SELECT max(date_trunc('second', ts)) FROM events WHERE event_type = 'error' AND hour(ts) < 15) - INTERVAL 1 HOUR
 """)
 def stream_log_errors(t):
     path = new_dir(t.spark, "logs")
