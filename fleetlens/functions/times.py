@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .columns import as_col
 
@@ -18,6 +18,16 @@ def instant(value: Instant) -> Column:
     return F.lit(str(value)).cast("timestamp")
 
 
+def instant_like(df: DataFrame, col: str, value: Instant) -> Column:
+    """An instant in the type of a column, so that comparing the two can be pushed into the scan."""
+    return instant(value).cast(df.schema[col].dataType)
+
+
+def span(secs: float) -> Column:
+    """A number of seconds as an interval."""
+    return F.make_dt_interval(secs=F.lit(secs))
+
+
 def seconds(col: Column | str) -> Column:
     """Whole seconds since the epoch; also takes timestamps without a zone."""
     return F.unix_seconds(as_col(col).cast("timestamp"))

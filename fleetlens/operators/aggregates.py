@@ -11,7 +11,7 @@ from ..functions.columns import names
 from ..functions.numbers import pct, ratio, share_of
 from ..functions.sizes import format_bytes
 from ..functions.text import key_prefix
-from ..functions.times import Instant, instant
+from ..functions.times import Instant, instant_like, span
 from .ordering import latest_n
 
 
@@ -198,10 +198,8 @@ def hourly_points(df: DataFrame, keys: Iterable[str], ts: str = "ts", value: str
 def hourly_metrics(df: DataFrame, as_of: Instant, hours: int = 24, keys: Iterable[str] = ("metric",), ts: str = "ts",
                    value: str = "value", digits: int | None = 2) -> DataFrame:
     """Average and maximum of the hourly averages of the last hours; rounds half to even."""
-    end = instant(as_of)
-    start = end - F.make_dt_interval(hours=F.lit(hours))
-    when = F.col(ts).cast("timestamp")
-    recent = df.filter((when >= start) & (when < end))
+    end = instant_like(df, ts, as_of)
+    recent = df.filter((F.col(ts) >= end - span(hours * 3600)) & (F.col(ts) < end))
     out = hourly_points(recent, keys, ts, value).groupBy(*names(keys)).agg(
         _mean("average").alias("average"), F.max("average").alias("maximum"))
     if digits is None:

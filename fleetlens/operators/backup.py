@@ -245,7 +245,7 @@ def restore_points(points: DataFrame, by: Iterable[str] = ("database",)) -> Data
 
 def maintenance_history(log: DataFrame, since: times.Instant, n: int = 20) -> DataFrame:
     """Latest maintenance operations with their outcome."""
-    wanted = log.filter(F.col("execution_date").cast("timestamp") >= times.instant(since))
+    wanted = log.filter(F.col("execution_date") >= times.instant_like(log, "execution_date", since))
     return top_n(wanted, [F.desc("execution_date"), F.desc("log_id")], n).select(
         "log_id", "execution_date", qualified_name("schema_name", "table_name", "index_name").alias("object_name"),
         "operation", F.col("fragmentation_before").cast("decimal(5,2)").alias("frag_before"), "duration_seconds",

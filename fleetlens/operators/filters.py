@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import names
 from ..functions.text import snippet
-from ..functions.times import Instant, seconds_since
+from ..functions.times import Instant, instant_like, seconds_since, span
 
 ACTIVE = "active"
 
@@ -31,9 +31,9 @@ def active_sessions(sessions: DataFrame, as_of: Instant, self_pid: int | None =
 def long_running(df: DataFrame, start: str, as_of: Instant, threshold: float = 300.0,
                  inclusive: bool = False) -> DataFrame:
     """Rows running longer than ``threshold`` seconds (or at least that long)."""
-    aged = df.withColumn("elapsed_seconds", seconds_since(start, as_of))
-    age = F.col("elapsed_seconds")
-    return aged.filter(age >= threshold if inclusive else age > threshold)
+    latest = instant_like(df, start, as_of) - span(threshold)
+    old = F.col(start) <= latest if inclusive else F.col(start) < latest
+    return df.filter(old).withColumn("elapsed_seconds", seconds_since(start, as_of))
 
 
 def long_running_sessions(sessions: DataFrame, as_of: Instant, threshold: float = 300.0,

@@ -76,7 +76,7 @@ def table_diff(base: DataFrame, current: DataFrame, keys: Sequence[str]) -> Data
 def apply_changes(base: DataFrame, log: DataFrame, keys: Sequence[str], until: times.Instant | None = None,
                   ts: str = "ts", seq: str = "seq", op: str = "change") -> DataFrame:
     """Replay a change log up to an instant: the last change of a key wins, deletes drop it."""
-    changes = log if until is None else log.filter(F.col(ts).cast("timestamp") <= times.instant(until))
+    changes = log if until is None else log.filter(F.col(ts) <= times.instant_like(log, ts, until))
     last = latest_n(changes, keys, [F.desc(ts), F.desc(seq)], 1)
     kept = base.join(last.select(*keys), list(keys), "left_anti")
     upserts = last.filter(F.col(op) != "delete").select(*base.columns)

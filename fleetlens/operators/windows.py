@@ -76,7 +76,7 @@ def ltr_keep(backups: DataFrame, as_of: times.Instant, weeks: int = 12, months:
     keys = names(by)
     end = times.instant(as_of)
     when = F.col(ts).cast("timestamp")
-    cells = backups.filter(when <= end).groupBy(
+    cells = backups.filter(F.col(ts) <= times.instant_like(backups, ts, as_of)).groupBy(
         *keys, F.date_trunc("week", when).alias("week"), F.date_trunc("month", when).alias("month"),
     ).agg(F.min(F.struct(F.col(ts).alias("at"), F.col(key).alias("id"))).alias("first"))
     cells = cells.withColumn("year", F.date_trunc("year", "month"))

@@ -46,7 +46,7 @@ def export_ndjson(df: DataFrame, path: str, compression: str = "gzip") -> DataFr
     spark = df.sparkSession
     size = inventory_total(file_inventory(spark, path))
     documents = seen.get["documents"]
-    return size.select(F.lit(documents).alias("documents"), "files", "bytes",
+    return size.select(F.lit(documents).cast("long").alias("documents"), "files", "bytes",
                        ratio("bytes", F.lit(documents)).alias("avg_document_bytes"))
 
 
