@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from ..functions import times
 from ..functions.columns import names
 from ..functions.text import glob_regex
-from ..workspace import side_by_side
+from ..workspace import observed, side_by_side
 from ..sources.files import directory_sizes, file_inventory, inventory_total
 from .ordering import latest_n
 
@@ -89,8 +89,10 @@ def reindex(df: DataFrame, dest: str, where: Column | None = None, fmt: str = "p
     rows = df.observe(read, F.count("*").alias("n"))
     rows = rows if where is None else rows.filter(where)
     rows.observe(written, F.count("*").alias("n")).write.mode("overwrite").format(fmt).save(dest)
+    copied = observed(written).get("n", 0)
+    source = observed(read).get("n")
     return df.sparkSession.createDataFrame(
-        [("completed", read.get["n"], written.get["n"])], "status string, source_rows long, copied_rows long")
+        [("completed", df.count() if source is None else source, copied)], "status string, source_rows long, copied_rows long")
 
 
 def compacted(df: DataFrame, files: int, dedupe_keys: Sequence[str] = (), newest: Sequence[Column] = (),

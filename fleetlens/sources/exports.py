@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, Struct
 
 from ..functions.numbers import ratio
 from ..operators.movement import fingerprint_columns
-from ..workspace import side_by_side
+from ..workspace import observed, side_by_side
 from .files import file_inventory, inventory_total
 
 # How CSV exports spell values, so that a round trip loses nothing.
@@ -45,7 +45,7 @@ def export_ndjson(df: DataFrame, path: str, compression: str = "gzip") -> DataFr
     df.observe(seen, F.count("*").alias("documents")).write.mode("overwrite").json(path, compression=compression)
     spark = df.sparkSession
     size = inventory_total(file_inventory(spark, path))
-    documents = seen.get["documents"]
+    documents = observed(seen).get("documents", 0)
     return size.select(F.lit(documents).cast("long").alias("documents"), "files", "bytes",
                        ratio("bytes", F.lit(documents)).alias("avg_document_bytes"))
 

@@ -8,7 +8,8 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
-from pyspark.sql import SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Observation, SparkSession
 
 T = TypeVar("T")
 
@@ -30,6 +31,14 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def observed(metrics: Observation) -> dict[str, object]:
+    """Metrics counted by a finished write; none where the optimizer found the plan empty and dropped them."""
+    try:
+        return metrics.get
+    except Py4JJavaError:
+        return {}
+
+
 def side_by_side(actions: Sequence[Callable[[], T]], jobs: int = 4) -> list[T]:
     """Run several Spark actions at a time, so that small tables do not leave the cluster idle."""
     with ThreadPoolExecutor(max_workers=jobs) as pool:

@@ -120,6 +120,21 @@ def test_reindex_counts(spark, tmp_path):
     assert (got.status, got.source_rows, got.copied_rows) == ("completed", 10, 4)
 
 
+@pytest.mark.parametrize("where,copied", [("false", 0), ("id > 100", 0), (None, 10)])
+def test_reindex_counts_when_nothing_is_left(spark, tmp_path, where, copied):
+    condition = None if where is None else F.expr(where)
+    got = movement.reindex(spark.range(10).toDF("id"), str(tmp_path / "d"), condition).head()
+    assert (got.source_rows, got.copied_rows) == (10, copied)
+
+
+def test_exports_of_empty_plans(spark, tmp_path):
+    empty = spark.range(10).join(spark.range(100, 110), "id").groupBy("id").count()
+    assert exports.export_ndjson(empty, str(tmp_path / "n")).head().documents == 0
+    assert exports.export_ndjson(spark.range(0).toDF("id"), str(tmp_path / "m")).head().documents == 0
+    manifest = exports.export_database(spark, {"e": empty}, str(tmp_path / "x"), "b").head()
+    assert (manifest["rows"], manifest["error"]) == (0, None)
+
+
 def test_series_without_a_policy_are_kept(spark, rows):
     at = lambda d: dt.datetime(2024, 1, d)
     points = spark.createDataFrame([("a", at(1)), ("a", at(9)), ("b", at(1))], "measurement string, ts timestamp")
