@@ -85,7 +85,7 @@ SELECT c_mktsegment AS source, seq + 1 AS gap_from, after - 1 AS gap_to, after -
 def sequence_gaps(t):
     segments = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("source"))
     applied = t.orders.select("o_custkey", F.col("o_orderkey").alias("seq")).join(segments, "o_custkey")
-    return op.sequence_gaps(applied, ["source"], "seq", width=10_000)
+    return op.sequence_gaps(applied, ["source"], "seq")
 
 
 @plan("e06_run_intervals", """

@@ -196,8 +196,8 @@ def restore_database(spark: SparkSession, path: str, only: Sequence[str] | None
 def restore_into(spark: SparkSession, path: str, database: str) -> None:
     """Restore an export as managed tables of a database, under its own or another name."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
-    for name, df in restore_database(spark, path).items():
-        df.write.mode("overwrite").saveAsTable(f"`{database}`.`{name}`")
+    side_by_side([lambda df=df, name=name: df.write.mode("overwrite").saveAsTable(f"`{database}`.`{name}`")
+                  for name, df in restore_database(spark, path).items()])
 
 
 def sql_literal(col: Column, kind: str) -> Column:

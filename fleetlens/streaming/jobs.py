@@ -54,7 +54,7 @@ class JobTracker(StatefulProcessor):
                 if pd.notna(row.ended) and (ended is None or row.ended < ended):
                     ended, outcome = row.ended, row.outcome
         if first_seen is None or started < first_seen:
-            self.handle.registerTimer(int((pd.Timestamp(started) + self.limit).timestamp() * 1000))
+            self.handle.registerTimer(self._due(started))
         if not done and ended is not None:
             done = True
             yield self._row(key, started, ended, outcome)
@@ -64,7 +64,8 @@ class JobTracker(StatefulProcessor):
         if not self.job.exists():
             return
         started, ended, outcome, done = self.job.get()
-        # An earlier start moves the time-out forward; a timer set before that is stale.
+        if expiredTimerInfo.getExpiryTimeInMs() < self._due(started):
+            return  # set by an earlier run of this job
         self.job.clear()
         if not done:
             yield self._row(key, started, None, None)
@@ -72,6 +73,9 @@ class JobTracker(StatefulProcessor):
     def close(self) -> None:
         pass
 
+    def _due(self, started) -> int:
+        return int((pd.Timestamp(started) + self.limit).timestamp() * 1000)
+
     def _row(self, key, started, ended, outcome) -> pd.DataFrame:
         late = ended is None or pd.Timestamp(ended) - pd.Timestamp(started) > self.limit
         status = "timeout" if late else {"SUCCESS": "success", "FAILED": "failed"}[outcome]

@@ -126,6 +126,12 @@ def test_catalog_lists_strangers_as_unknown(spark, tmp_path):
     assert backup.backup_catalog(spark, root).collect()[-1].name == "odd"
 
 
+def test_catalog_without_any_manifest(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "backups" / "odd" / "data" / "t"))
+    got = backup.backup_catalog(spark, str(tmp_path / "backups")).collect()
+    assert [(r.name, r.status, r.has_schema, r.has_data) for r in got] == [("odd", "Unknown", False, True)]
+
+
 def test_header_check(spark, tmp_path):
     good, late = tmp_path / "d" / "good.sql", tmp_path / "d" / "late.sql"
     good.parent.mkdir()
