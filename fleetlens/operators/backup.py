@@ -198,7 +198,7 @@ def _is_gap(finish: Column, start: Column, max_gap: float) -> Column:
 
 
 def _from_start(spot: Column) -> Column:
-    """Counts of a spot within its chunk, lifted by what the months before add."""
+    """Counts of a spot within its chunk, lifted by what the chunks before add."""
     opening = F.when(spot["has_log"] & F.col("opening_gap"), 1).otherwise(0)
     return F.when(spot.isNotNull(), F.struct(
         spot["at"].alias("at"), spot["id"].alias("id"), (spot["logs"] + F.col("logs_before")).alias("logs"),

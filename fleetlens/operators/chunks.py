@@ -8,7 +8,8 @@ is a map-side combined aggregate with one row per (key, chunk).
 The caller may say how to cut: any expression that does not decrease along the
 order.  Otherwise keys are cut by time, and only those that need it: a key with
 more than ``ROWS_PER_CHUNK`` rows gets the widest of a day, an hour, a minute
-or a second in which it stays below that number.
+or a second in which it stays below that number. Rows of one second stay
+together.
 
 Only keys in several chunks need a summary, so ordinary keys have the chunk
 NULL and take no part in it. Rows whose key is NULL belong to no series and get no neighbour and no total.
