@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
-from . import rules
+from . import bpe, languages, licenses, quality, rules
+from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,3 +32,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op6_quality_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op1_compression_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    held_out = remainder("doc_id", 4) == 2
+    model = quality.learn(docs.filter(~held_out), labels.filter(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op4_language_mixtures")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = languages.learn(docs, use=remainder("doc_id", 5) != 0)
+    return languages.identify(docs, model).select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, blocks = licenses.license_scan(table(spark, sf_dir, "documents"))
+    base = F.col("phrase")
+    found = blocks.groupBy("row").agg(
+        F.count(F.when(base, 1)).alias("n_base"),
+        F.min(F.when(base, F.col("start"))).alias("first_word"), F.max(F.when(base, F.col("start"))).alias("last_word"),
+        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("containment").alias("score"))
+    return rows.join(found, "row", "left").select(
+        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
+        F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
+        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
+        F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+
+
+@query("op9_bpe")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode(docs, path, bpe.build_lexicon(docs, path))
+    return bpe.decode(encoded, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
