@@ -30,6 +30,11 @@ def land(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """Broadcast a landed table of a few short columns if it has at most ``rows`` rows; else leave the join to shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of whole rows with about ``limit`` bytes each, to bound a task's memory."""
     for batch in batches:
