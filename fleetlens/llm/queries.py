@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
-from . import bpe, languages, licenses, near, quality, rules
+from . import bpe, languages, licenses, lines, near, quality, rules
 from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_jaccard")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op8_fuzzy_lines")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    decisions = lines.line_decisions(docs)
+    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    return counted.join(decisions, "doc_id", "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
+        F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"))
