@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
-from . import bpe, languages, licenses, lines, near, quality, rules
+from ..workspace import new_dir
+from . import bpe, languages, leaks, licenses, lines, near, quality, rules, warc
 from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +91,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
         F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"))
+
+
+@query("op3_template_leaks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_warc")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_dir(spark, "warc")
+    index = warc.normalise(warc.write(table(spark, sf_dir, "pages"), f"{folder}/whole"), f"{folder}/members")
+    return warc.read(index, f"{folder}/members", payloads=False).drop("url")
