@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
 from ..workspace import new_dir
-from . import bpe, languages, leaks, licenses, lines, near, quality, rules, warc
+from . import bpe, languages, leaks, licenses, lines, lm, near, quality, rules, warc
 from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_dir(spark, "warc")
     index = warc.normalise(warc.write(table(spark, sf_dir, "pages"), f"{folder}/whole"), f"{folder}/members")
     return warc.read(index, f"{folder}/members", payloads=False).drop("url")
+
+
+@query("op7_log_bilinear")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return scored.withColumn("held_out", ~F.col("training")).drop("training")

@@ -50,11 +50,11 @@ def features(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
     split = base.select(
-        "doc_id", "lang", "text", F.array_remove(F.split("text", SPACE), "").alias("words"),
+        "doc_id", "lang", "text", F.xxhash64("text").alias("text_hash"), F.array_remove(F.split("text", SPACE), "").alias("words"),
         F.filter(F.split("text", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"))
     # Most of a text is plain letters and spaces; what is left without them is short and cheap to classify.
     counted = split.select(
-        "doc_id", "lang", "words", F.size("words").cast("long").alias("n_words"),
+        "doc_id", "lang", "text_hash", "words", F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_replace("text", PLAIN, "").alias("marks"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -64,9 +64,9 @@ def features(docs: DataFrame) -> DataFrame:
     windows = F.when(F.size("words") >= 3, F.sort_array(F.slice(
         F.arrays_zip(window_hashes.alias("h"), F.sequence(F.lit(0), F.size("words") - 1).alias("at")), 1, F.size("words") - 2)))
     counts = F.array(*[F.size("common") - F.size(F.array_remove("common", word)) for word in WORDS])
-    kept = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "classes"]
+    kept = ["doc_id", "lang", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "classes"]
     found = counted.select(
-        "doc_id", "lang", "n_words", "word_chars",
+        "doc_id", "lang", "text_hash", "n_words", "word_chars",
         F.length(F.regexp_replace("marks", SYMBOLS, "")).cast("long").alias("n_symbols"), "n_dup_lines",
         F.array(*[_count_of(F.col("marks"), chars) for chars in CHAR_CLASSES]).alias("classes"),
         counts.alias("shares"), windows.alias("sorted"))
@@ -97,16 +97,18 @@ def references(measured: DataFrame) -> DataFrame:
         sums("classes", len(CHAR_CLASSES) + 1).alias("classes"), sums("shares", len(WORDS) + 1).alias("shares"))
 
 
-def divergence(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of two histograms given as counts: 0 where they are alike, 1 where disjoint."""
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+def shares(counts: Column) -> Column:
+    """A histogram as shares; NULL if it is empty."""
+    total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
+    return F.when(total > 0, F.zip_with(counts, F.array_repeat(total, F.size(counts)), lambda n, all_: n / all_))
 
-    def term(p: Column, q: Column) -> Column:
-        return F.when((p > 0), p * F.log2(2 * p / (p + q))).otherwise(0.0)
-    size, ref_size = total(counts), total(reference)
-    parts = F.zip_with(counts, reference, lambda a, b: term(a / size, b / ref_size) + term(b / ref_size, a / size))
-    return F.when((size > 0) & (ref_size > 0), F.sqrt(F.greatest(F.lit(0.0), total(parts) / 2)))
+
+def divergence(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two histograms given as shares: 0 where they are alike, 1 where disjoint."""
+    def term(a: Column, b: Column) -> Column:
+        return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
+    parts = F.zip_with(p, q, lambda a, b: term(a, b) + term(b, a))
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / 2))
 
 
 def _nearest(counts: str) -> Column:
@@ -128,10 +130,17 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     means the nearest one; where no document has a language, only the base
     rules decide. Repeated rows give repeated rows. Other columns are ignored.
     """
+    return judge(docs, min_words, max_repeat_percent, guard_chars, guard_words, max_class_distance, max_word_distance).drop("text_hash")
+
+
+def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, guard_chars: int = 200,
+          guard_words: int = 100, max_class_distance: float = 0.3, max_word_distance: float = 0.4) -> DataFrame:
+    """As ``quality_rules``, with ``text_hash`` to tell texts under one id apart."""
     measured = land(features(docs), "rules-features")
     # One row per language, gathered into one array: bounded by the number of languages.
-    packed = references(measured).agg(F.collect_list(F.struct("lang", "classes", "shares"))).scalar()
-    rows = measured.withColumn("refs", packed)
+    known = references(measured).select("lang", shares(F.col("classes")).alias("classes"), shares(F.col("shares")).alias("shares"))
+    packed = known.agg(F.collect_list(F.struct("lang", "classes", "shares"))).scalar()
+    rows = measured.withColumns({"refs": packed, "classes": shares(F.col("classes")), "shares": shares(F.col("shares"))})
     own = F.filter("refs", lambda ref: ref["lang"] == F.col("lang"))
     rows = rows.withColumn("own", own).withColumn("refs", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("refs")))
     rows = rows.withColumn("class_distance", _nearest("classes")).withColumn("word_distance", _nearest("shares"))
@@ -139,6 +148,6 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     odd_classes = (F.col("word_chars") >= guard_chars) & (F.col("class_distance") > max_class_distance)
     odd_words = (F.col("n_words") >= guard_words) & (F.col("word_distance") > max_word_distance)
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
+        "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
         (~base_failed & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False))).alias("kept"),
         "class_distance", "word_distance")
