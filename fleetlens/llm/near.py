@@ -27,7 +27,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 CHUNK_BYTES = 8 << 20
-BLOCK = 64
+# Rows of a bucket that one task compares with as many others.
+BLOCK = 256
 MOST_HASHES = 128
 
 
