@@ -14,7 +14,7 @@ from ..functions.text import qualified_name
 from ..sources.exports import MANIFEST_SCHEMA
 from ..sources.files import file_inventory, inventory_total
 from ..sources.logs import first_lines
-from .chunks import time_chunks
+from .chunks import DAY, time_chunk
 from .ordering import top_n
 
 
@@ -127,19 +127,19 @@ def verify_not_empty(spark: SparkSession, path: str) -> DataFrame:
 
 
 def restore_chain(backups: DataFrame, targets: DataFrame, by: Sequence[str] = ("database",),
-                  max_gap: float = 0.0, rows_per_chunk: int | None = None) -> DataFrame:
+                  max_gap: float = 0.0, width: float = DAY) -> DataFrame:
     """What each target instant needs: the latest full backup, a later differential, the logs after.
 
     Backups and targets are put on one time line per key and scanned once, in
-    chunks of time, so neither a hot database nor many targets multiply the work. The
+    chunks of ``width`` seconds, so neither a hot database nor many targets multiply the work. The
     logs of a target are those that start after its base and not after it;
     they are given as count, bytes and gaps. A gap is a log that starts more
     than ``max_gap`` seconds after the log before it finished.
     """
     keys = list(by)
-    line = time_chunks(_time_line(backups, targets, keys), keys, "at", rows_per_chunk, out="chunk")
+    line = _time_line(backups, targets, keys).withColumn("chunk", time_chunk("at", width))
     scanned = _scan_chunks(line, keys, max_gap)
-    carried = _carry_chunks(scanned.filter(F.col("chunk").isNotNull()), keys, max_gap)
+    carried = _carry_chunks(scanned, keys, max_gap)
 
     def overall(spot: str) -> Column:
         """A base found in this chunk, counted from the start of the line, or the one carried in."""
@@ -245,10 +245,10 @@ def restore_points(points: DataFrame, by: Iterable[str] = ("database",)) -> Data
         F.count_if(F.col("type") == "GEO").alias("geo_backups"))
 
 
-def maintenance_history(log: DataFrame, since: times.Instant, n: int = 20) -> DataFrame:
-    """Latest maintenance operations with their outcome."""
+def maintenance_history(log: DataFrame, since: times.Instant, n: int = 20, by: Iterable[str] | None = None) -> DataFrame:
+    """Latest maintenance operations with their outcome, ``n`` per server where ``by`` names its keys."""
     wanted = log.filter(F.col("execution_date") >= times.instant_like(log, "execution_date", since))
-    return top_n(wanted, [F.desc("execution_date"), F.desc("log_id")], n).select(
-        "log_id", "execution_date", qualified_name("schema_name", "table_name", "index_name").alias("object_name"),
+    return top_n(wanted, [F.desc("execution_date"), F.desc("log_id")], n, by).select(
+        *names(by), "log_id", "execution_date", qualified_name("schema_name", "table_name", "index_name").alias("object_name"),
         "operation", F.col("fragmentation_before").cast("decimal(5,2)").alias("frag_before"), "duration_seconds",
         F.when(F.col("error_message").isNull(), F.lit("Success")).otherwise(F.lit("Failed")).alias("status"))

@@ -1,18 +1,17 @@
 """Ordered scans per key that never gather one key into one task.
 
 A plain window over ``partitionBy(key).orderBy(ts)`` sorts all rows of a key in
-one task.  Here a key is cut into chunks along its order.  The window runs per
-(key, chunk); what crosses a chunk border comes from a per-chunk summary, which
-is a map-side combined aggregate with one row per (key, chunk).
+one task.  Here every key is cut into chunks along its order.  The window runs
+per (key, chunk); what crosses a chunk border comes from a per-chunk summary,
+which is a map-side combined aggregate with one row per (key, chunk).
 
 The caller may say how to cut: any expression that does not decrease along the
-order.  Otherwise keys are cut by time, and only those that need it: a key with
-more than ``ROWS_PER_CHUNK`` rows gets the widest of a day, an hour, a minute
-or a second in which it stays below that number. Rows of one second stay
-together.
+order.  Otherwise keys are cut by time, into spans of ``width`` seconds, a day
+if nothing is said.  The width changes how work is split, never the answer:
+choose it so that one key's rows of one span fit in a task.  Rows without an
+instant are a chunk of their own, ahead of all others, as NULL sorts first.
 
-Only keys in several chunks need a summary, so ordinary keys have the chunk
-NULL and take no part in it. Rows whose key is NULL belong to no series and get no neighbour and no total.
+Rows whose key is NULL belong to no series and get no neighbour and no total.
 """
 
 from __future__ import annotations
@@ -24,9 +23,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import names
 from ..functions.times import seconds
 
-ROWS_PER_CHUNK = 5_000_000
-# Rows without a key need no order; they are spread over this many chunks.
-KEYLESS_CHUNKS = 1024
+DAY = 86400.0
+# The chunk of rows without an instant: before every other.
+UNDATED = -(1 << 63)
 
 _CHUNK = "_chunk"
 _CARRY = "_carry"
@@ -37,43 +36,9 @@ def range_of(col: str, width: int) -> Column:
     return F.floor(F.col(col) / F.lit(width)).cast("long")
 
 
-def time_chunks(df: DataFrame, by: Iterable[str] | str | None, ts: str, rows_per_chunk: int | None = None,
-                out: str = _CHUNK) -> DataFrame:
-    """Add a chunk number by time: fine enough for busy keys, NULL for ordinary ones.
-
-    Counting is lazy and combined on the map side: rows per key first, and
-    rows per second only for the busy keys. There are fewer of those than
-    ``rows / rows_per_chunk``, which bounds what is broadcast.
-    """
-    keys, limit = names(by), rows_per_chunk or ROWS_PER_CHUNK
-    at = seconds(ts)
-    if not keys:
-        keyed = df.withColumn("_all", F.lit(0))
-        return time_chunks(keyed, ["_all"], ts, limit, out).drop("_all")
-    slim = df.select(*keys, at.alias("_t")).filter(_has_keys(keys))
-    busy = slim.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
-    level = slim.join(F.broadcast(busy), keys, "left_semi").groupBy(*keys, "_t").agg(F.count("*").alias("_n"))
-    level = level.repartition(*keys)  # one shuffle of counts for all widths
-    peaks: list[str] = []
-    for width, step in ((1, 60), (60, 60), (3600, 24)):
-        peak = f"_peak{width}"
-        level = level.groupBy(*keys, F.floor(F.col("_t") / step).alias("_t")).agg(
-            F.sum("_n").alias("_n"), F.max("_n").alias(peak), *[F.max(name).alias(name) for name in peaks])
-        peaks.append(peak)
-    fits = level.groupBy(*keys).agg(F.max("_n").alias("_peak86400"), *[F.max(name).alias(name) for name in peaks])
-    width = F.when(F.col("_peak86400") <= limit, 86400).when(F.col("_peak3600") <= limit, 3600).when(
-        F.col("_peak60") <= limit, 60).otherwise(1)
-    widths = fits.select(*keys, width.alias("_width"))
-    cut = F.floor(at / F.col("_width")).cast("long")
-    spread = F.pmod(F.xxhash64(ts), F.lit(KEYLESS_CHUNKS))
-    return df.join(F.broadcast(widths), keys, "left").withColumn(
-        out, F.when(_has_keys(keys), cut).otherwise(spread)).drop("_width")
-
-
-def _chunked(df: DataFrame, keys: Sequence[str], first: str, chunk: Column | None, rows_per_chunk: int | None) -> DataFrame:
-    if chunk is None:
-        return time_chunks(df, keys, first, rows_per_chunk)
-    return df.withColumn(_CHUNK, chunk)
+def time_chunk(ts: str, width: float = DAY) -> Column:
+    """Chunk by spans of ``width`` seconds; NULL has its own chunk, the first."""
+    return F.coalesce(F.floor(seconds(ts) / F.lit(width)).cast("long"), F.lit(UNDATED))
 
 
 def _has_keys(keys: Sequence[str]) -> Column:
@@ -83,10 +48,18 @@ def _has_keys(keys: Sequence[str]) -> Column:
     return known
 
 
+def _spread(df: DataFrame, keys: Sequence[str], cut: Column) -> Column:
+    """The chunk of a row; rows without a key need no order and are dealt by a hash of all they hold."""
+    if not keys:
+        return cut
+    plain = [F.col(f"`{name}`") for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.when(_has_keys(keys), cut).otherwise(F.xxhash64(*plain))
+
+
 def _neighbour(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str], values: Sequence[str],
-               chunk: Column | None, out: str, step: int, rows_per_chunk: int | None) -> DataFrame:
+               chunk: Column | None, out: str, step: int, width: float) -> DataFrame:
     keys = names(by)
-    data = _chunked(df, keys, order[0], chunk, rows_per_chunk)
+    cut = time_chunk(order[0], width) if chunk is None else F.coalesce(chunk, F.lit(UNDATED))
     pack, rank = F.struct(*values), F.struct(*order)
     inner = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy(_CHUNK)
@@ -94,11 +67,11 @@ def _neighbour(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[st
     edge = F.max_by(pack, rank) if step < 0 else F.min_by(pack, rank)
     hop = F.lag("_edge") if step < 0 else F.lead("_edge")
     carry = (
-        data.filter(F.col(_CHUNK).isNotNull() & _has_keys(keys)).groupBy(*keys, _CHUNK).agg(edge.alias("_edge"))
+        df.filter(_has_keys(keys)).groupBy(*keys, cut.alias(_CHUNK)).agg(edge.alias("_edge"))
         .select(*keys, _CHUNK, hop.over(outer).alias(_CARRY))
         .filter(F.col(_CARRY).isNotNull())
     )
-    rows = data.withColumn(out, near.over(inner))
+    rows = df.withColumn(_CHUNK, _spread(df, keys, cut)).withColumn(out, near.over(inner))
     return (
         rows.join(carry, [*keys, _CHUNK], "left")
         .withColumn(out, F.when(_has_keys(keys), F.coalesce(out, _CARRY)))
@@ -107,29 +80,33 @@ def _neighbour(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[st
 
 
 def with_previous(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str], values: Sequence[str],
-                  chunk: Column | None = None, out: str = "prev", rows_per_chunk: int | None = None) -> DataFrame:
+                  chunk: Column | None = None, out: str = "prev", width: float = DAY) -> DataFrame:
     """Add ``out``: a struct of ``values`` from the row before, per key."""
-    return _neighbour(df, by, order, values, chunk, out, -1, rows_per_chunk)
+    return _neighbour(df, by, order, values, chunk, out, -1, width)
 
 
 def with_next(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str], values: Sequence[str],
-              chunk: Column | None = None, out: str = "next", rows_per_chunk: int | None = None) -> DataFrame:
+              chunk: Column | None = None, out: str = "next", width: float = DAY) -> DataFrame:
     """Add ``out``: a struct of ``values`` from the row after, per key."""
-    return _neighbour(df, by, order, values, chunk, out, 1, rows_per_chunk)
+    return _neighbour(df, by, order, values, chunk, out, 1, width)
 
 
 def running(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str | Column], chunk: Column,
             sums: Mapping[str, Column] | None = None, maxima: Mapping[str, Column] | None = None,
             before: bool = False) -> DataFrame:
-    """Add running sums and maxima per key, up to this row or only the rows before it."""
+    """Add running sums and maxima per key, up to this row or only the rows before it.
+
+    The chunk must be known for every row that has a key: a NULL chunk is an error.
+    """
     keys = names(by)
+    cut = F.coalesce(chunk.cast("long"), F.raise_error(F.lit("a chunk of a running total is NULL")).cast("long"))
     sums, maxima = dict(sums or {}), dict(maxima or {})
     inputs = {f"_in_{name}": col for name, col in {**sums, **maxima}.items()}
-    data = df.withColumns(inputs).withColumn(_CHUNK, chunk)
+    data = df.withColumns(inputs)
     last = -1 if before else Window.currentRow
     inner = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     outer = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    totals = data.groupBy(*keys, _CHUNK).agg(
+    totals = data.filter(_has_keys(keys)).groupBy(*keys, cut.alias(_CHUNK)).agg(
         *[F.sum(f"_in_{name}").alias(name) for name in sums],
         *[F.max(f"_in_{name}").alias(name) for name in maxima],
     )
@@ -138,7 +115,7 @@ def running(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str |
         *[F.sum(name).over(outer).alias(f"_before_{name}") for name in sums],
         *[F.max(name).over(outer).alias(f"_before_{name}") for name in maxima],
     )
-    rows = data.withColumns({
+    rows = data.withColumn(_CHUNK, _spread(data, keys, cut)).withColumns({
         **{name: F.sum(f"_in_{name}").over(inner) for name in sums},
         **{name: F.max(f"_in_{name}").over(inner) for name in maxima},
     })

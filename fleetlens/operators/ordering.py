@@ -11,9 +11,9 @@ from ..functions import bands
 from ..functions.columns import names
 
 
-def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """First rows of a stated order; every task keeps only ``n`` rows."""
-    return df.orderBy(*order).limit(n)
+def top_n(df: DataFrame, order: Sequence[Column], n: int, by: Iterable[str] | str | None = None) -> DataFrame:
+    """First rows of a stated order, of the whole table or per key; every task keeps only ``n`` rows (of a key)."""
+    return latest_n(df, by, order, n) if names(by) else df.orderBy(*order).limit(n)
 
 
 def order_by_list(df: DataFrame, col: str, values: Sequence[object]) -> DataFrame:
@@ -31,7 +31,7 @@ def preview(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 
 
-def latest_n(df: DataFrame, by: Iterable[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
+def latest_n(df: DataFrame, by: Iterable[str] | str, order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key; each map task passes on at most ``n`` rows of a key."""
     window = Window.partitionBy(*names(by)).orderBy(*order)
     position = rank or "_position"

@@ -25,9 +25,9 @@ def _sorted(df: DataFrame, order: Sequence[Column], ordered: bool) -> DataFrame:
 
 
 def table_sizes(tables: DataFrame, n: int = 20, by: Iterable[str] | None = None) -> DataFrame:
-    """Largest user tables with total, table and index size."""
+    """Largest user tables with total, table and index size, ``n`` per server where ``by`` names its keys."""
     user = exclude_system(tables, "schemaname", exact=SYSTEM_SCHEMAS)
-    largest = top_n(user, [F.desc_nulls_last("total_bytes"), F.asc("schemaname"), F.asc("tablename")], n)
+    largest = top_n(user, [F.desc_nulls_last("total_bytes"), F.asc("schemaname"), F.asc("tablename")], n, by)
     return index_bytes(largest).select(
         *names(by), "schemaname", "tablename", format_bytes("total_bytes").alias("total_size"),
         format_bytes("table_bytes").alias("table_size"), format_bytes("index_bytes").alias("index_size"),
@@ -66,11 +66,12 @@ def missing_index_candidates(tables: DataFrame, scans: int = 100, rows: int = 10
     return _sorted(out, [F.desc_nulls_last("seq_tup_read")], ordered)
 
 
-def top_queries(statements: DataFrame, by: str = "total_time", n: int = 10, tie: Sequence[str] = ()) -> DataFrame:
-    """Statements that took most time, or ran most often."""
-    best = top_n(statements, [F.desc_nulls_last(by), *[F.asc(c) for c in tie]], n)
+def top_queries(statements: DataFrame, by: str = "total_time", n: int = 10, tie: Sequence[str] = (),
+                per: Iterable[str] | None = None) -> DataFrame:
+    """Statements that took most time, or ran most often; ``n`` per server where ``per`` names its keys."""
+    best = top_n(statements, [F.desc_nulls_last(by), *[F.asc(c) for c in tie]], n, per)
     return best.select(
-        *tie, snippet("query", 100).alias("query_snippet"), "calls", "total_time", "mean_time", "rows",
+        *names(per), *tie, snippet("query", 100).alias("query_snippet"), "calls", "total_time", "mean_time", "rows",
         share_of("shared_blks_hit", "shared_blks_read").alias("hit_percent"))
 
 
@@ -91,20 +92,21 @@ def analyze_candidates(tables: DataFrame, modified: int = 1000, by: Iterable[str
     return _sorted(out, [F.desc_nulls_last("n_mod_since_analyze")], ordered)
 
 
-def slow_ops(profile: DataFrame, order_by: str = "recent", n: int = 10, tie: Sequence[str] = ()) -> DataFrame:
-    """Profiled operations, the latest or the slowest, with examined and returned counts."""
+def slow_ops(profile: DataFrame, order_by: str = "recent", n: int = 10, tie: Sequence[str] = (),
+             by: Iterable[str] | None = None) -> DataFrame:
+    """Profiled operations, the latest or the slowest, with examined and returned counts; ``n`` per key of ``by``."""
     column = {"recent": "ts", "slowest": "millis"}[order_by]
-    best = top_n(profile, [F.desc_nulls_last(column), *[F.desc(c) for c in tie]], n)
+    best = top_n(profile, [F.desc_nulls_last(column), *[F.desc(c) for c in tie]], n, by)
     return best.select(
-        *tie, "ts", "millis", "op", "ns", snippet("command", 100, ellipsis=True).alias("command"),
+        *names(by), *tie, "ts", "millis", "op", "ns", snippet("command", 100, ellipsis=True).alias("command"),
         F.coalesce("docsExamined", F.lit(0)).alias("docs_examined"),
         F.coalesce("nreturned", F.lit(0)).alias("docs_returned"))
 
 
-def slow_log(entries: DataFrame, n: int = 10) -> DataFrame:
-    """Latest entries of a cache server's slow log."""
-    return top_n(entries, [F.desc("id")], n).select(
-        "id", parse_when("start_time", "epoch").alias("timestamp"),
+def slow_log(entries: DataFrame, n: int = 10, by: Iterable[str] | None = None) -> DataFrame:
+    """Latest entries of a cache server's slow log, ``n`` per server where ``by`` names its keys."""
+    return top_n(entries, [F.desc("id")], n, by).select(
+        *names(by), "id", parse_when("start_time", "epoch").alias("timestamp"),
         F.col("duration").alias("duration_microseconds"),
         (F.col("duration") / F.lit(1000.0)).alias("duration_milliseconds"),
         joined_args("command").alias("command"),
@@ -113,10 +115,10 @@ def slow_log(entries: DataFrame, n: int = 10) -> DataFrame:
 
 
 def collection_stats(collections: DataFrame, n: int = 10, by: Iterable[str] | None = None) -> DataFrame:
-    """Largest collections with document counts and sizes."""
+    """Largest collections with document counts and sizes, ``n`` per server where ``by`` names its keys."""
     numbers = ["count", "size", "storageSize", "totalIndexSize"]
     filled = collections.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in numbers})
-    return top_n(filled, [F.desc("size"), F.asc("name")], n).select(
+    return top_n(filled, [F.desc("size"), F.asc("name")], n, by).select(
         *names(by), "name", "count", to_mb("size").alias("size_mb"), to_mb("storageSize").alias("storage_mb"),
         ratio("size", "count").alias("avg_doc_size"), to_mb("totalIndexSize").alias("index_mb"))
 

@@ -26,12 +26,14 @@ def _work_chunk() -> Column:
     """Chunk by priority and whole percent; rows at exactly that percent, often many, also by pages.
 
     Rises along the order of the plan: within a percent the exact rows come
-    last, and among them large indexes first.
+    last, and among them large indexes first. Unknown page counts and unknown
+    percents come last, an unknown priority first, as in the order.
     """
-    percent = F.floor("fragmentation_percent")
-    exact = F.col("fragmentation_percent") == percent
-    by_size = F.lit(64) - F.floor(F.log2(F.col("page_count") + 1))
-    return (F.col("priority") * 1_000_000 - percent * 1000 + F.when(exact, by_size).otherwise(0)).cast("long")
+    percent = F.coalesce(F.floor("fragmentation_percent"), F.lit(-100))
+    exact = F.coalesce(F.col("fragmentation_percent") == percent, F.lit(True))
+    by_size = F.coalesce(F.lit(64) - F.floor(F.log2(F.col("page_count") + 1)), F.lit(65))
+    priority = F.coalesce("priority", F.lit(-1000))
+    return (priority * 1_000_000 - percent * 1000 + F.when(exact, by_size).otherwise(0)).cast("long")
 
 
 def counter_rate(df: DataFrame, by: Iterable[str], ts: str, counters: Sequence[str], tie: Sequence[str] = (),
@@ -95,8 +97,13 @@ def ltr_keep(backups: DataFrame, as_of: times.Instant, weeks: int = 12, months:
 
 
 def sequence_gaps(df: DataFrame, by: Iterable[str], seq: str, width: int = 1_000_000) -> DataFrame:
-    """Missing runs of numbers per source: what was received but not applied."""
-    pairs = with_next(df.select(*names(by), seq), by, [seq], [seq], range_of(seq, width))
+    """Missing runs of numbers per source: what was received but not applied.
+
+    Repeated numbers count once and NULL is no number, so a range of ``width``
+    numbers is at most ``width`` rows.
+    """
+    numbers = df.select(*names(by), seq).filter(F.col(seq).isNotNull()).distinct()
+    pairs = with_next(numbers, by, [seq], [seq], range_of(seq, width))
     after = F.col(f"next.{seq}")
     return pairs.filter(after > F.col(seq) + 1).select(
         *names(by), (F.col(seq) + 1).alias("gap_from"), (after - 1).alias("gap_to"),

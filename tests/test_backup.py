@@ -69,8 +69,8 @@ def brute_chain(backups, database, target, max_gap):
     return (full["backup_id"], base["backup_id"] if diffs else None, len(picked), sum(b["bytes"] for b in picked), gaps)
 
 
-@pytest.mark.parametrize("limit", [5, 1000000])
-def test_restore_chain_matches_brute_force(spark, limit):
+@pytest.mark.parametrize("width", [3600.0, 86400.0, 1e10])
+def test_restore_chain_matches_brute_force(spark, width):
     rng = random.Random(11)
     backups, start = [], dt.datetime(2023, 1, 1)
     for i in range(1500):
@@ -83,7 +83,7 @@ def test_restore_chain_matches_brute_force(spark, limit):
     ddl = "database string, backup_id long, type string, created timestamp, finished timestamp, bytes long"
     table = spark.createDataFrame([tuple(b.values()) for b in backups], ddl)
     wanted = spark.createDataFrame(targets, "database string, target_id long, target_ts timestamp")
-    chain = backup.restore_chain(table, wanted, max_gap=3600.0, rows_per_chunk=limit).cache()
+    chain = backup.restore_chain(table, wanted, max_gap=3600.0, width=width).cache()
     got = {(r.database, r.target_id): r for r in chain.collect()}
     assert len(got) == len(targets)
     for database, target_id, at in targets:

@@ -35,24 +35,25 @@ def test_neighbours(series, rows, width):
     assert rows(ahead, "id", "next.id") == rows(series.select("id", F.lead("id").over(plain()).alias("n")))
 
 
-@pytest.mark.parametrize("limit", [3, 100, 100000])
-def test_chunks_fitted_to_the_data(spark, series, rows, limit):
-    timed = series.withColumn("ts", F.timestamp_seconds(F.col("t") * 700))
-    cut = chunks.time_chunks(timed, ["k"], "ts", limit)
-    sizes = cut.groupBy("k", "_chunk").count().groupBy("k").agg(F.max("count").alias("most"), F.count("*").alias("chunks")).collect()
-    alike = series.groupBy("k", "t").count().agg(F.max("count")).head()[0]  # rows of one instant cannot be parted
-    assert all(r.most <= max(limit, alike) for r in sizes)
-    totals = {r.k: r["count"] for r in series.groupBy("k").count().collect()}
-    assert all((r.chunks == 1) for r in sizes if totals[r.k] <= limit)
-    back = chunks.with_previous(timed, ["k"], ["ts", "id"], ["id"], rows_per_chunk=limit)
-    assert rows(back, "id", "prev.id") == rows(series.select("id", F.lag("id").over(plain()).alias("p")))
-    whole = chunks.with_previous(timed, [], ["ts", "id"], ["id"], rows_per_chunk=limit)
-    assert rows(whole, "id", "prev.id") == rows(series.select("id", F.lag("id").over(plain([])).alias("p")))
+@pytest.mark.parametrize("width", [1, 7, 1000, chunks.DAY, 1e9])
+def test_any_width_of_time_gives_the_same_answer(series, rows, width):
+    timed = series.withColumn("ts", F.when(F.col("id") % 10 > 0, F.timestamp_seconds(F.col("t") * 700)))
+    order = Window.orderBy("ts", "id")
+    for keys, window in ((["k"], Window.partitionBy("k").orderBy("ts", "id")), ([], order)):
+        back = chunks.with_previous(timed, keys, ["ts", "id"], ["id"], width=width)
+        assert rows(back, "id", "prev.id") == rows(timed.select("id", F.lag("id").over(window).alias("p")))
 
 
 def test_rows_without_a_key_are_spread(spark):
-    df = spark.range(5000).select(F.lit(None).cast("string").alias("k"), F.timestamp_seconds("id").alias("ts"))
-    assert chunks.time_chunks(df, ["k"], "ts", 10).select("_chunk").distinct().count() > 500
+    df = spark.range(5000).select(F.lit(None).cast("string").alias("k"), F.lit(7).alias("ts"), "id")
+    dealt = df.select(chunks._spread(df, ["k"], chunks.time_chunk("ts")).alias("chunk"))
+    assert dealt.distinct().count() > 4000
+
+
+def test_running_refuses_an_unknown_chunk(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None)], "k string, t long")
+    with pytest.raises(Exception, match="chunk"):
+        chunks.running(df, ["k"], ["t"], chunks.range_of("t", 10), {"s": F.lit(1)}).collect()
 
 
 @pytest.mark.parametrize("before", [False, True])
