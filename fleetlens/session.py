@@ -13,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Texts may be long: a batch for Python is bounded by its bytes, not only by its rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     # Merge the sessions of a busy client before they are shuffled.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Keep streaming state on disk, not on the heap.
