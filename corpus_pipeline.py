@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: rules, lines, near copies, leaks, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
-kept; ``run`` writes each stage's result and reads it back for the next.
+kept; ``run`` writes each stage's result and reads it back for the next. A stage
+may also be called alone, so each applies the session settings itself.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the rules keep, as they are. Rows that repeat an id are judged each by its own text."""
+    tune(spark)
     rejected = land(rules.judge(docs).filter("not kept").select(
         F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "pipeline-rejected")
     own = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
@@ -26,6 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of every group of lines stays; documents with no line left go."""
+    tune(spark)
     return lines.without_lines(docs, land(lines.line_decisions(docs), "pipeline-lines"))
 
 
@@ -34,6 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without an id cannot be named and stay.
     """
+    tune(spark)
     repeated = land(docs.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).filter("n > 1 and _again is not null")
                     .select("_again"), "pipeline-repeated")
     if not repeated.isEmpty():
@@ -46,6 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of a benchmark item; those without an id stay."""
+    tune(spark)
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
     leaked = land(leaks.leaked_passages(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "pipeline-leaks")
     return docs.join(small(leaked), docs["doc_id"] == F.col("_leaked"), "left_anti")
@@ -53,8 +58,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows (doc_id, n_tokens, ids, round_trip): token ids as little-endian 32-bit integers, checked by decoding them."""
+    tune(spark)
     path = public_tokenizers.path(VOCABULARY)
-    decoded = bpe.decode(bpe.encode(docs, path, bpe.build_lexicon(docs, path)), path)
+    # Written in between, so that no task runs an encoder and a decoder side by side.
+    encoded = land(bpe.encode(docs, path, bpe.build_lexicon(docs, path)), "pipeline-encoded")
+    decoded = bpe.decode(encoded, path)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
@@ -72,7 +80,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder before the next."""
-    docs = tune(spark).read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         docs = land(stage(spark, docs, sf_dir), f"pipeline-{number}")
     return docs

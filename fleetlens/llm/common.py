@@ -36,8 +36,12 @@ def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into runs of whole rows with about ``limit`` bytes each, to bound a task's memory."""
+    """Cut Arrow batches into runs of whole rows with about ``limit`` bytes each, to bound a task's memory.
+
+    What earlier batches took is handed back, as workers live on between tasks.
+    """
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         start, size, step = 0, 0, max(1, batch.num_rows and batch.nbytes // batch.num_rows)
         rows = max(1, limit // step)
         if batch.nbytes <= limit:
