@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..functions import times
 from ..functions.columns import names
@@ -15,23 +17,39 @@ from ..sources.files import directory_sizes, file_inventory, inventory_total
 from .ordering import latest_n
 
 
-def row_hash(df: DataFrame, cols: Sequence[str]) -> Column:
-    """Hash of some columns; maps are hashed as sorted entries."""
-    kinds = dict(df.dtypes)
+def quoted(name: str) -> str:
+    """A column name as an expression reads it, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
 
-    def hashable(name: str) -> Column:
-        col = F.col(f"`{name}`")
-        return F.array_sort(F.map_entries(col)) if kinds[name].startswith("map") else col
 
-    return F.xxhash64(*[hashable(name) for name in cols])
+def _hash_inputs(col: Column, kind: DataType) -> list[Column]:
+    """A value as hash inputs that tell its place: a NULL flag before it, its size before nested values.
+
+    A hash skips NULL and runs nested values together, so bare values could
+    move to a neighbouring column unseen.
+    """
+    if isinstance(kind, StructType):
+        return [col.isNull(), *[part for f in kind.fields for part in _hash_inputs(col.getField(f.name), f.dataType)]]
+    if isinstance(kind, ArrayType):
+        return [col.isNull(), F.size(col), F.transform(col, lambda x: F.xxhash64(*_hash_inputs(x, kind.elementType)))]
+    if isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(col), lambda e: F.xxhash64(
+            *_hash_inputs(e["key"], kind.keyType), *_hash_inputs(e["value"], kind.valueType)))
+        return [col.isNull(), F.size(col), F.array_sort(entries)]
+    return [col.isNull(), col]
+
+
+def row_hash(df: DataFrame, cols: Sequence[str], seed: int = 0) -> Column:
+    """Hash of some columns that sees where a value or a NULL stands; each seed gives another hash."""
+    parts = [part for name in cols for part in _hash_inputs(F.col(quoted(name)), df.schema[name].dataType)]
+    return F.xxhash64(F.lit(seed), *parts)
 
 
 def fingerprint_columns(df: DataFrame) -> list[Column]:
-    """Rows and order-free checksums: xor alone would cancel duplicates, so there is a sum too."""
-    row = row_hash(df, df.columns)
+    """Rows and order-free checksums of two hashes: xor alone would cancel duplicates, so there is a sum too."""
     return [
-        F.count("*").alias("rows"), F.bit_xor(row).alias("checksum_xor"),
-        F.sum(row.cast("decimal(20,0)")).alias("checksum_sum"),
+        F.count("*").alias("rows"), F.bit_xor(row_hash(df, df.columns)).alias("checksum_xor"),
+        F.sum(row_hash(df, df.columns, 1).cast("decimal(20,0)")).alias("checksum_sum"),
     ]
 
 
@@ -43,7 +61,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
 def verify_copy(source: DataFrame, copy: DataFrame, table: str) -> DataFrame:
     """Whether a copy holds the same rows as its source."""
     both = fingerprint(source).withColumn("_side", F.lit("source")).unionByName(
-        fingerprint(copy.select(*source.columns)).withColumn("_side", F.lit("copy")))
+        fingerprint(copy.select(*map(quoted, source.columns))).withColumn("_side", F.lit("copy")))
 
     def of(side: str, col: str) -> Column:
         return F.max(F.when(F.col("_side") == side, F.col(col)))
@@ -57,30 +75,52 @@ def verify_copy(source: DataFrame, copy: DataFrame, table: str) -> DataFrame:
 
 
 def table_diff(base: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows inserted, updated or deleted since a base; keys are unique on both sides.
+    """Rows inserted, updated or deleted since a base; keys are unique on both sides, NULL is a key like others.
 
-    The base travels as key and row hash only. A deleted row shows its key and
-    NULL elsewhere.
+    The base travels as key and two row hashes only. A deleted row shows its
+    key and NULL elsewhere.
     """
     rest = [c for c in current.columns if c not in keys]
-    old = base.select(*keys, row_hash(base, rest).alias("_old"), F.lit(True).alias("_was"))
-    new = current.select("*", row_hash(current, rest).alias("_new"), F.lit(True).alias("_is"))
+    old = base.select(*_old_keys(keys), *_hashes(base, rest, "_old"), F.lit(True).alias("_was"))
+    new = current.select("*", *_hashes(current, rest, "_new"), F.lit(True).alias("_is"))
     change = (
         F.when(F.col("_was").isNull(), F.lit("insert")).when(F.col("_is").isNull(), F.lit("delete"))
-        .when(F.col("_old") != F.col("_new"), F.lit("update"))
+        .when((F.col("_old0") != F.col("_new0")) | (F.col("_old1") != F.col("_new1")), F.lit("update"))
     )
-    joined = new.join(old, list(keys), "full").withColumn("change", change)
-    return joined.filter(F.col("change").isNotNull()).select("change", *keys, *rest)
+    joined = new.join(old, _same_keys(keys), "full").withColumn("change", change)
+    return joined.filter(F.col("change").isNotNull()).select("change", *_either_key(keys), *map(quoted, rest))
+
+
+def _hashes(df: DataFrame, cols: Sequence[str], name: str) -> list[Column]:
+    return [row_hash(df, cols, seed).alias(f"{name}{seed}") for seed in (0, 1)]
+
+
+def _old_keys(keys: Sequence[str]) -> list[Column]:
+    return [F.col(quoted(key)).alias(f"_key{i}") for i, key in enumerate(keys)]
+
+
+def _same_keys(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(quoted(key)).eqNullSafe(F.col(f"_key{i}")) for i, key in enumerate(keys)])
+
+
+def _either_key(keys: Sequence[str]) -> list[Column]:
+    return [F.coalesce(quoted(key), f"_key{i}").alias(key) for i, key in enumerate(keys)]
 
 
 def apply_changes(base: DataFrame, log: DataFrame, keys: Sequence[str], until: times.Instant | None = None,
                   ts: str = "ts", seq: str = "seq", op: str = "change") -> DataFrame:
-    """Replay a change log up to an instant: the last change of a key wins, deletes drop it."""
+    """Replay a change log up to an instant: the last change of a key wins, deletes drop it.
+
+    The log is reduced to its last change per key, combined on the map side,
+    and joined once. NULL is a key like others; a change of no kind drops its row.
+    """
     changes = log if until is None else log.filter(F.col(ts) <= times.instant_like(log, ts, until))
-    last = latest_n(changes, keys, [F.desc(ts), F.desc(seq)], 1)
-    kept = base.join(last.select(*keys), list(keys), "left_anti")
-    upserts = last.filter(F.col(op) != "delete").select(*base.columns)
-    return kept.unionByName(upserts)
+    whole = F.struct(*[F.col(quoted(c)) for c in base.columns], F.col(quoted(op)).alias("_op"))
+    last = changes.groupBy(*_old_keys(keys)).agg(F.max_by(whole, F.struct(ts, seq)).alias("_last"))
+    joined = base.withColumn("_is", F.lit(True)).join(last, _same_keys(keys), "full")
+    changed = F.col("_last").isNotNull()
+    return joined.filter(~changed | (F.col("_last._op") != "delete")).select(*[
+        F.when(changed, F.col("_last").getField(c)).otherwise(F.col(quoted(c))).alias(c) for c in base.columns])
 
 
 def reindex(df: DataFrame, dest: str, where: Column | None = None, fmt: str = "parquet") -> DataFrame:
