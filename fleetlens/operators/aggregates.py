@@ -12,7 +12,7 @@ from ..functions.numbers import pct, ratio, share_of
 from ..functions.sizes import format_bytes
 from ..functions.text import key_prefix
 from ..functions.times import Instant, instant_like, span
-from .ordering import latest_n
+from .ordering import latest_n, top_n
 
 
 def count_by(df: DataFrame, keys: str | Iterable[str], out: str = "count") -> DataFrame:
@@ -102,49 +102,63 @@ def size_rollup(df: DataFrame, keys: Sequence[str], size: str = "bytes", out: st
         F.sum("_size").alias(out), F.sum("_objects").alias("objects"), F.grouping_id().alias("level"))
 
 
-def database_inventory(tables: DataFrame, by: Iterable[str] = ("database",), top: int | None = None) -> DataFrame:
-    """Tables, rows and bytes per database, largest first."""
+def database_inventory(tables: DataFrame, by: Iterable[str] = ("database",), top: int | None = None,
+                       per: Iterable[str] | None = None) -> DataFrame:
+    """Tables, rows and bytes per database, largest first; ``top`` of them, of each server where ``per`` names its keys."""
     keys = names(by)
     out = tables.groupBy(*keys).agg(
         F.count("*").alias("tables"), F.sum(F.coalesce("total_rows", F.lit(0))).alias("rows"),
         F.sum(F.coalesce("total_bytes", F.lit(0))).alias("bytes"),
-    ).orderBy(F.desc("bytes"), *keys)
-    return out if top is None else out.limit(top)
+    )
+    order = [F.desc("bytes"), *[F.asc(key) for key in keys]]
+    return out.orderBy(*order) if top is None else top_n(out, order, top, per)
 
 
-def ranked_tables(tables: DataFrame, top: int = 20, by: Iterable[str] = ("database",)) -> DataFrame:
-    """Largest tables with rows, bytes and size as text."""
+def ranked_tables(tables: DataFrame, top: int = 20, by: Iterable[str] = ("database",),
+                  per: Iterable[str] | None = None) -> DataFrame:
+    """Largest tables with rows, bytes and size as text, ``top`` per server where ``per`` names its keys."""
     keys = names(by)
-    best = tables.orderBy(F.desc_nulls_last("total_bytes"), *keys, "name").limit(top)
+    best = top_n(tables, [F.desc_nulls_last("total_bytes"), *[F.asc(key) for key in keys], F.asc("name")], top, per)
     return best.select(*keys, "name", "total_rows", "total_bytes", format_bytes("total_bytes").alias("size_human"))
 
 
-def key_patterns(df: DataFrame, key: str = "key", kind: str = "type", size: str = "bytes", samples: int = 5,
-                 top: int = 10, sample_keys: bool = True) -> DataFrame:
-    """Key-space profile: most frequent key prefixes with sizes, types and sample keys.
+def _keyed(df: DataFrame, key: str, kind: str, size: str) -> DataFrame:
+    return df.select(F.col(key).alias("key"), F.col(kind).alias("type"),
+                     F.coalesce(F.col(size), F.lit(0)).alias("bytes"), key_prefix(key).alias("pattern"))
 
-    Counts run in two levels (prefix and type, then prefix), so a prefix
-    gathers one row per type. Samples are the first keys in order of the
-    prefixes that made the list.
-    """
-    keyed = df.select(F.col(key).alias("key"), F.col(kind).alias("type"),
-                      F.coalesce(F.col(size), F.lit(0)).alias("bytes"), key_prefix(key).alias("pattern"))
-    per_type = keyed.groupBy("pattern", "type").agg(
+
+def key_pattern_types(df: DataFrame, key: str = "key", kind: str = "type", size: str = "bytes") -> DataFrame:
+    """Keys and bytes per prefix and type, one row each."""
+    return _keyed(df, key, kind, size).groupBy("pattern", "type").agg(
         F.count("*").alias("n"), F.sum("bytes").alias("total"), F.max("bytes").alias("largest"))
-    best = (
-        per_type.groupBy("pattern").agg(
-            F.sum("n").alias("count"), F.sum("total").alias("total_size"), F.max("largest").alias("max_size"),
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("types"))
-        .withColumn("avg_size", ratio("total_size", "count"))
-        .orderBy(F.desc("count"), "pattern").limit(top)
-    )
-    if not sample_keys:
-        return best
-    # `best` has at most `top` rows, so it is small by construction.
-    listed = keyed.select("pattern", "key").join(F.broadcast(best.select("pattern")), "pattern")
-    firsts = latest_n(listed, ["pattern"], [F.asc("key")], samples)
+
+
+def _per_pattern(per_type: DataFrame) -> DataFrame:
+    return per_type.groupBy("pattern").agg(
+        F.sum("n").alias("count"), F.sum("total").alias("total_size"), F.max("largest").alias("max_size"),
+    ).withColumn("avg_size", ratio("total_size", "count"))
+
+
+def key_patterns(df: DataFrame, key: str = "key", kind: str = "type", size: str = "bytes") -> DataFrame:
+    """Key-space profile: number and sizes of the keys of every prefix; their types are in :func:`key_pattern_types`."""
+    return _per_pattern(key_pattern_types(df, key, kind, size))
+
+
+def top_patterns(df: DataFrame, key: str = "key", kind: str = "type", size: str = "bytes", samples: int = 5,
+                 top: int = 10) -> DataFrame:
+    """The ``top`` most frequent key prefixes with sizes, types and their first keys in order.
+
+    Types and keys are gathered for the listed prefixes only.
+    """
+    per_type = key_pattern_types(df, key, kind, size)
+    best = _per_pattern(per_type).orderBy(F.desc("count"), "pattern").limit(top)
+    listed = best.select("pattern")
+    types = per_type.join(listed, "pattern", "left_semi").groupBy("pattern").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("types"))
+    keys = _keyed(df, key, kind, size).select("pattern", "key").join(listed, "pattern", "left_semi")
+    firsts = latest_n(keys, ["pattern"], [F.asc("key")], samples)
     lists = firsts.groupBy("pattern").agg(F.sort_array(F.collect_list("key")).alias("sample_keys"))
-    return best.join(lists, "pattern", "left")
+    return best.join(types, "pattern", "left").join(lists, "pattern", "left")
 
 
 def key_totals(df: DataFrame, size: str = "bytes") -> DataFrame:
@@ -155,7 +169,8 @@ def key_totals(df: DataFrame, size: str = "bytes") -> DataFrame:
 
 def key_sample(df: DataFrame, key: str, one_in: int) -> DataFrame:
     """Repeatable sample by hash: about one key in ``one_in``."""
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(one_in)) == 0)
+    drawn = F.conv(F.substring(F.md5(F.col(key).cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.filter(drawn % one_in == 0)
 
 
 def shard_distribution(chunks: DataFrame, by: Iterable[str] | None = None) -> DataFrame:

@@ -145,29 +145,64 @@ def ranked_tables(t):
     return op.ranked_tables(tables).drop("size_human")
 
 
+@plan("d07_ranked_tables_per_server", """
+SELECT server_id, database, name, total_rows, total_bytes FROM (
+  SELECT n_regionkey AS server_id, n_name AS database, c_name AS name, c_custkey AS total_rows, CAST(round(c_acctbal * 100) AS BIGINT) AS total_bytes
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)
+QUALIFY row_number() OVER (PARTITION BY server_id ORDER BY total_bytes DESC, server_id, database, name) <= 20
+""")
+def ranked_tables_per_server(t):
+    tables = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_regionkey").alias("server_id"), F.col("n_name").alias("database"), F.col("c_name").alias("name"),
+        F.col("c_custkey").alias("total_rows"), cents("c_acctbal").alias("total_bytes"))
+    return op.ranked_tables(tables, by=["server_id", "database"], per=["server_id"]).drop("size_human")
+
+
 def keys_from_documents(t):
     return t.documents.select(F.concat("source", F.lit("_"), "lang", F.lit(":"), F.col("doc_id")).alias("key"),
                               F.col("lang").alias("type"), F.col("n_chars").alias("bytes"))
 
 
-@plan("d08_key_patterns", """
-WITH p AS (SELECT source AS pattern, count(*) AS count, CAST(sum(n_chars) AS BIGINT) AS total_size, max(n_chars) AS max_size,
-                  sum(n_chars)::DOUBLE / count(*)::DOUBLE AS avg_size FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 10),
+PATTERN_SQL = """
+SELECT source AS pattern, count(*) AS count, CAST(sum(n_chars) AS BIGINT) AS total_size, max(n_chars) AS max_size,
+       sum(n_chars)::DOUBLE / count(*)::DOUBLE AS avg_size FROM documents GROUP BY source
+"""
+
+
+@plan("d08_key_patterns", PATTERN_SQL)
+def key_patterns(t):
+    return op.key_patterns(keys_from_documents(t))
+
+
+@plan("d08_many_key_patterns", """
+SELECT 'h' || o_custkey AS pattern, count(*) AS count, CAST(sum(o_orderkey) AS BIGINT) AS total_size, max(o_orderkey) AS max_size,
+       sum(o_orderkey)::DOUBLE / count(*)::DOUBLE AS avg_size FROM orders GROUP BY o_custkey
+""")
+def many_key_patterns(t):
+    return op.key_patterns(t.orders.select(
+        F.concat(F.lit("h"), "o_custkey", F.lit(":"), "o_orderkey").alias("key"), F.col("o_orderstatus").alias("type"),
+        F.col("o_orderkey").alias("bytes")))
+
+
+@plan("d08_top_patterns", f"""
+WITH p AS ({PATTERN_SQL} ORDER BY count(*) DESC, source LIMIT 10),
      s AS (SELECT source AS pattern, source || '_' || lang || ':' || doc_id AS k,
-                  row_number() OVER (PARTITION BY source ORDER BY source || '_' || lang || ':' || doc_id) AS n FROM documents)
-SELECT p.*, (SELECT string_agg(k, ' ' ORDER BY k) FROM s WHERE s.pattern = p.pattern AND n <= 5) AS sample_keys FROM p
+                  row_number() OVER (PARTITION BY source ORDER BY source || '_' || lang || ':' || doc_id) AS n FROM documents),
+     y AS (SELECT source AS pattern, lang, count(*) AS n FROM documents GROUP BY ALL)
+SELECT p.*, (SELECT string_agg(k, ' ' ORDER BY k) FROM s WHERE s.pattern = p.pattern AND n <= 5) AS sample_keys,
+  (SELECT string_agg(lang || '=' || n, ' ' ORDER BY lang) FROM y WHERE y.pattern = p.pattern) AS types FROM p
 """)
-def key_patterns(t):
-    return op.key_patterns(keys_from_documents(t)).drop("types").withColumn("sample_keys", F.array_join("sample_keys", " "))
+def top_patterns(t):
+    entries = F.transform(F.array_sort(F.map_entries("types")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return op.top_patterns(keys_from_documents(t)).withColumns(
+        {"sample_keys": F.array_join("sample_keys", " "), "types": F.array_join(entries, " ")})
 
 
 @plan("d08_key_pattern_types", """
-WITH p AS (SELECT source FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 10)
-SELECT source AS pattern, lang AS type, count(*) AS n FROM documents WHERE source IN (SELECT source FROM p) GROUP BY ALL
+SELECT source AS pattern, lang AS type, count(*) AS n FROM documents GROUP BY ALL
 """)
 def key_pattern_types(t):
-    return op.key_patterns(keys_from_documents(t), sample_keys=False).select(
-        "pattern", F.explode("types").alias("type", "n"))
+    return op.key_pattern_types(keys_from_documents(t)).select("pattern", "type", "n")
 
 
 @plan("d08_key_totals", """
@@ -177,7 +212,10 @@ def key_totals(t):
     return op.key_totals(keys_from_documents(t))
 
 
-@plan("d08_key_sample")
+@plan("d08_key_sample", """
+SELECT source || '_' || lang || ':' || doc_id AS key, lang AS type, n_chars AS bytes FROM documents
+WHERE ('0x' || left(md5(source || '_' || lang || ':' || doc_id), 8))::BIGINT % 4 = 0
+""")
 def key_sample(t):
     return op.key_sample(keys_from_documents(t), "key", 4)
 

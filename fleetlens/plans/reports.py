@@ -31,6 +31,19 @@ def table_sizes(t):
     return op.table_sizes(tables_from_lines(t)).select("schemaname", "tablename", "size_bytes")
 
 
+@plan("j01_table_sizes_per_server", """
+SELECT server_id, 'public' AS schemaname, tablename, size_bytes FROM (
+  SELECT l_suppkey AS server_id, l_partkey::VARCHAR AS tablename, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS size_bytes
+  FROM lineitem GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY server_id ORDER BY size_bytes DESC, tablename) <= 3
+""")
+def table_sizes_per_server(t):
+    tables = t.lineitem.groupBy(F.col("l_suppkey").alias("server_id"), F.col("l_partkey").cast("string").alias("tablename")).agg(
+        F.sum(cents("l_extendedprice")).alias("total_bytes"), F.count("*").alias("table_bytes"))
+    return op.table_sizes(tables.withColumn("schemaname", F.lit("public")), n=3, by=["server_id"]).select(
+        "server_id", "schemaname", "tablename", "size_bytes")
+
+
 @plan("j02_database_sizes", """
 SELECT c_mktsegment AS database_name, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS size_bytes
 FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'MACHINERY' GROUP BY c_mktsegment
@@ -104,6 +117,15 @@ def top_queries_by_calls(t):
     return op.top_queries(statements(t), "calls", tie=["doc_id"])
 
 
+@plan("j06_top_queries_per_server", f"""
+SELECT s.* , source AS server_id FROM ({STATEMENT_SQL}) s JOIN (SELECT doc_id, source FROM documents) USING (doc_id)
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY total_time DESC, doc_id) <= 10
+""")
+def top_queries_per_server(t):
+    servers = statements(t).join(t.documents.select("doc_id", F.col("source").alias("server_id")), "doc_id")
+    return op.top_queries(servers, "total_time", tie=["doc_id"], per=["server_id"])
+
+
 @plan("j07_vacuum_candidates", """
 SELECT 'public' AS schemaname, l_partkey::VARCHAR AS tablename, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) FILTER (l_linestatus = 'F'), 0) AS BIGINT) AS n_dead_tup,
   CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) FILTER (l_linestatus = 'O'), 0) AS BIGINT) AS n_live_tup,
@@ -149,6 +171,15 @@ def slow_ops_slowest(t):
     return op.slow_ops(profile(t), "slowest", tie=["event_id"])
 
 
+@plan("j09_slow_ops_per_server", f"""
+SELECT p.*, user_id AS server_id FROM ({PROFILE_SQL}) p JOIN (SELECT event_id, user_id FROM events) USING (event_id)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY millis DESC, event_id DESC) <= 2
+""")
+def slow_ops_per_server(t):
+    servers = profile(t).join(t.events.select("event_id", F.col("user_id").alias("server_id")), "event_id")
+    return op.slow_ops(servers, "slowest", n=2, tie=["event_id"], by=["server_id"])
+
+
 @plan("j09_slow_log", """
 SELECT event_id AS id, date_trunc('second', ts) AS timestamp, CAST(floor(value) AS BIGINT) AS duration_microseconds,
   CAST(floor(value) AS BIGINT) / 1000.0::DOUBLE AS duration_milliseconds, event_type || ' ' || user_id AS command, 'Unknown' AS client_address, 'Unknown' AS client_name
@@ -174,6 +205,18 @@ def collection_stats(t):
     return op.collection_stats(collections)
 
 
+@plan("j10_collection_stats_per_server", """
+SELECT server_id, name, count, size / 1048576.0::DOUBLE AS size_mb FROM (
+  SELECT lang AS server_id, source AS name, count(*) AS count, sum(n_chars) AS size FROM documents GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY server_id ORDER BY size DESC, name) <= 2
+""")
+def collection_stats_per_server(t):
+    collections = t.documents.groupBy(F.col("lang").alias("server_id"), F.col("source").alias("name")).agg(
+        F.count("*").alias("count"), F.sum("n_chars").alias("size"), F.sum("doc_id").alias("storageSize"),
+        F.lit(None).cast("long").alias("totalIndexSize"))
+    return op.collection_stats(collections, n=2, by=["server_id"]).select("server_id", "name", "count", "size_mb")
+
+
 @plan("j10_store_statistics", """
 SELECT lang AS name, sum(n_chars) / 1048576.0::DOUBLE AS size_mb, sum(n_chars) / 1048576.0::DOUBLE AS storage_mb, count(DISTINCT source) AS collections, 0::BIGINT AS indexes, count(*) AS objects
 FROM documents GROUP BY lang

@@ -121,14 +121,63 @@ def write_report_json(t):
         "server_id", "info.segment", F.coalesce("totals.orders", F.lit(0)).alias("orders"))
 
 
+# Events with instants to the microsecond inside a struct and an array, a line break, an empty text and a NULL.
+NESTED_SQL = """
+SELECT event_id, ts, ts + INTERVAL 1 MICROSECOND AS inner_ts, ts + INTERVAL 2 MICROSECOND AS listed_ts,
+  CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN event_type || chr(10) || props WHEN 2 THEN '%0A"' || event_type END AS note FROM events
+"""
+
+
+def nested_events(t):
+    ts, turn = F.col("ts"), F.col("event_id") % 4
+    return t.events.select(
+        "event_id", "ts", F.struct((ts + F.expr("INTERVAL '0.000001' SECOND")).alias("at")).alias("inner"),
+        F.array(ts + F.expr("INTERVAL '0.000002' SECOND")).alias("listed"),
+        F.when(turn == 0, F.lit("")).when(turn == 1, F.concat("event_type", F.lit("\n"), "props"))
+        .when(turn == 2, F.concat(F.lit('%0A"'), "event_type")).alias("note"))
+
+
+def flat_events(df):
+    return df.select("event_id", "ts", F.col("inner.at").alias("inner_ts"), F.col("listed")[0].alias("listed_ts"), "note")
+
+
+@plan("a05_write_report_json_nested", NESTED_SQL)
+def write_report_json_nested(t):
+    path, df = new_dir(t.spark, "json-report"), nested_events(t)
+    exports.write_report_json(df, path)
+    return flat_events(t.spark.read.schema(df.schema).json(path))
+
+
 @plan("a06_write_report_csv", """
-SELECT event_type AS metric, max(value) AS maximum, count(*) AS points FROM events GROUP BY event_type
+SELECT event_type AS metric, max(value) AS maximum, count(*) AS points, max(ts) AS latest FROM events GROUP BY event_type
 """)
 def write_report_csv(t):
     path = new_dir(t.spark, "csv-report")
-    exports.write_report_csv(t.events.groupBy(F.col("event_type").alias("metric")).agg(
-        F.max("value").alias("maximum"), F.count("*").alias("points")), path)
-    return t.spark.read.schema("metric string, maximum double, points long").csv(path, header=True)
+    report = t.events.groupBy(F.col("event_type").alias("metric")).agg(
+        F.max("value").alias("maximum"), F.count("*").alias("points"), F.max("ts").alias("latest"))
+    exports.write_report_csv(report, path)
+    return exports.read_table(t.spark, path, report.schema)
+
+
+@plan("a06_write_report_csv_texts", NESTED_SQL)
+def write_report_csv_texts(t):
+    path, df = new_dir(t.spark, "csv-report"), nested_events(t)
+    exports.write_report_csv(df, path)
+    return flat_events(exports.read_table(t.spark, path, df.schema))
+
+
+@plan("a07_export_ndjson_nested", NESTED_SQL)
+def export_ndjson_nested(t):
+    path, df = new_dir(t.spark, "ndjson"), nested_events(t)
+    exports.export_ndjson(df, path)
+    return flat_events(t.spark.read.schema(df.schema).json(path))
+
+
+@plan("a08_export_nested", NESTED_SQL)
+def export_nested(t):
+    path = new_dir(t.spark, "export")
+    exports.export_database(t.spark, {"events": nested_events(t)}, path, "nightly")
+    return flat_events(exports.restore_database(t.spark, path)["events"])
 
 
 @plan("a07_export_ndjson", "SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -138,9 +187,12 @@ def export_ndjson(t):
     return t.spark.read.schema(t.documents.schema).json(path)
 
 
-@plan("a07_export_ndjson_stats", "SELECT count(*) AS documents FROM documents")
+@plan("a07_export_ndjson_stats", "SELECT count(*) AS documents, true AS written, true AS averaged FROM documents")
 def export_ndjson_stats(t):
-    return exports.export_ndjson(t.documents, new_dir(t.spark, "ndjson")).select("documents")
+    size = exports.export_ndjson(t.documents, new_dir(t.spark, "ndjson"))
+    mean = F.col("bytes") / F.col("documents")
+    return size.select("documents", ((F.col("files") > 0) & (F.col("bytes") > 0)).alias("written"),
+                       (F.abs(F.col("avg_document_bytes") - mean) < 1e-6).alias("averaged"))
 
 
 def all_tables(t):
@@ -165,11 +217,25 @@ def export_sql_dump(t):
     return t.spark.read.text(f"{path}/data")
 
 
-@plan("a10_export_schema", " UNION ALL ".join(
-    f"""SELECT '{name}' AS "table", count(*) AS columns FROM (DESCRIBE {name})""" for name in TABLE_NAMES))
+@plan("a09_sql_dump_values", """
+SELECT 'INSERT INTO "d 1" VALUES(' || doc_id || ',' || q || replace(text, q, q || q) || q || ',X' || q || hex(encode(source)) || q || ',' || q || '["' || lang || '",null]' || q || ','
+  || CASE doc_id % 4 WHEN 0 THEN q || 'NaN' || q WHEN 1 THEN q || 'Infinity' || q WHEN 2 THEN '0.5' ELSE 'NULL' END || ');' AS value
+FROM (SELECT *, chr(39) AS q FROM documents) WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL
+""")
+def sql_dump_values(t):
+    turn = F.col("doc_id") % 4
+    known = t.documents.filter("text is not null and source is not null and lang is not null")
+    return exports.insert_statements(known.select(
+        "doc_id", "text", F.col("source").cast("binary").alias("b"), F.array("lang", F.lit(None)).alias("list"),
+        F.when(turn == 0, float("nan")).when(turn == 1, float("inf")).when(turn == 2, 0.5).alias("number")), 'd 1')
+
+
+@plan("a10_export_schema", "SELECT * FROM orders")
 def export_schema(t):
-    fields = F.json_array_length(F.get_json_object("schema_json", "$.fields"))
-    return exports.export_schema(t.spark, all_tables(t)).select("table", fields.cast("long").alias("columns"))
+    """The rows of a table recreated from the exported schema alone."""
+    path = new_dir(t.spark, "schema")
+    exports.export_schema(t.spark, all_tables(t)).write.json(f"{path}/schema")
+    return t.spark.read.schema(exports.read_schemas(t.spark, path)["orders"]).parquet(t.path("orders"))
 
 
 @plan("a11_restore_orders", "SELECT * FROM orders")
@@ -212,6 +278,13 @@ def compression_report(t):
     return report.select((packed < plain).alias("smaller"), (F.col("ratio") == packed / plain).alias("consistent"))
 
 
-@plan("a13_file_inventory")
+@plan("a13_file_inventory", """
+SELECT 'event_type=' || event_type AS folder, CAST(sum(length(event_id::VARCHAR) + 1) AS BIGINT) AS bytes, true AS dated FROM events GROUP BY event_type
+""")
 def file_inventory(t):
-    return files.directory_sizes(files.file_inventory(t.spark, t.root))
+    """Bytes by folder of an export of events, one folder for each type."""
+    path = new_dir(t.spark, "inventory")
+    t.events.select("event_type", F.col("event_id").cast("string").alias("value")).write.partitionBy("event_type").text(path)
+    sizes = files.directory_sizes(files.file_inventory(t.spark, path))
+    return sizes.select(F.regexp_extract("directory", "[^/]*$", 0).alias("folder"), "bytes",
+                        ((F.col("files") > 0) & F.col("modified").isNotNull()).alias("dated"))

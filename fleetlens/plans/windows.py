@@ -29,6 +29,27 @@ def maintenance_plan(t):
         "server_id", "object_id", "l_partkey", "l_linenumber", "estimated", "elapsed_before")
 
 
+@plan("e01_maintenance_plan_unknown_pages", """
+WITH w AS (SELECT l_suppkey AS server_id, l_orderkey AS object_id, l_partkey, l_linenumber, CAST(l_quantity AS BIGINT) AS estimated,
+                  CASE l_returnflag WHEN 'R' THEN 1 ELSE 2 END AS priority, CASE WHEN l_partkey % 5 <> 0 THEN l_discount * 100 END AS fragmentation_percent,
+                  CASE WHEN l_orderkey % 3 <> 0 THEN CAST(l_quantity AS BIGINT) END AS page_count
+           FROM lineitem WHERE l_returnflag <> 'N'),
+     r AS (SELECT *, coalesce(sum(estimated) OVER (PARTITION BY server_id ORDER BY priority, fragmentation_percent DESC NULLS LAST, page_count DESC NULLS LAST, object_id, l_partkey, l_linenumber
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS elapsed_before FROM w)
+SELECT server_id, object_id, l_partkey, l_linenumber, estimated, elapsed_before FROM r WHERE elapsed_before < 2400
+""")
+def maintenance_plan_unknown_pages(t):
+    work = t.lineitem.select(
+        F.col("l_suppkey").alias("server_id"), F.col("l_orderkey").alias("object_id"), "l_partkey", "l_linenumber",
+        F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(3).alias("priority"),
+        F.when(F.col("l_returnflag") == "N", "NONE").otherwise("REBUILD").alias("operation"), F.col("l_quantity").cast("long").alias("minutes"),
+        F.when(F.col("l_partkey") % 5 != 0, F.col("l_discount") * 100).alias("fragmentation_percent"),
+        F.when(F.col("l_orderkey") % 3 != 0, F.col("l_quantity").cast("long")).alias("page_count"))
+    return op.maintenance_plan(work, 2400, F.col("minutes"), by=["server_id"],
+                               tie=["object_id", "l_partkey", "l_linenumber"]).select(
+        "server_id", "object_id", "l_partkey", "l_linenumber", "estimated", "elapsed_before")
+
+
 @plan("e02_latest_n", """
 SELECT o_custkey, o_orderkey, o_orderdate FROM
 (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 3
@@ -53,6 +74,26 @@ def counter_rate(t):
     return op.counter_rate(counters, ["user_id"], "ts", ["ops"], tie=["event_id"]).drop("ts")
 
 
+@plan("e03_counter_rate_undated", """
+WITH v AS (SELECT CASE WHEN user_id % 3 = 0 THEN 0 WHEN user_id % 11 <> 1 THEN user_id END AS server, event_id,
+                  CAST(round(value * 100) AS BIGINT) AS ops, CASE WHEN event_id % 7 <> 0 THEN ts END AS ts FROM events),
+     p AS (SELECT server, event_id, ops, CASE WHEN server IS NOT NULL THEN lag(ops) OVER w END AS before,
+                  CASE WHEN server IS NOT NULL THEN lag(ts) OVER w END AS ts0, ts
+           FROM v WINDOW w AS (PARTITION BY server ORDER BY ts NULLS FIRST, event_id))
+SELECT server, event_id, ops, (epoch_us(ts) - epoch_us(ts0)) / 1e6::DOUBLE AS elapsed_seconds, coalesce(ops < before, false) AS ops_reset,
+       CASE WHEN ops >= before THEN ops - before END AS ops_delta,
+       CASE WHEN ops >= before THEN (ops - before)::DOUBLE / nullif((epoch_us(ts) - epoch_us(ts0)) / 1e6::DOUBLE, 0) END AS ops_rate
+FROM p
+""")
+def counter_rate_undated(t):
+    """A third of the rows on one key, rows without an instant and rows without a key."""
+    user = F.col("user_id")
+    counters = t.events.select(
+        F.when(user % 3 == 0, 0).when(user % 11 != 1, user).alias("server"), "event_id",
+        F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"), cents("value").alias("ops"))
+    return op.counter_rate(counters, ["server"], "ts", ["ops"], tie=["event_id"]).drop("ts")
+
+
 @plan("e03_size_growth", """
 SELECT o_custkey AS database, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS bytes,
   CAST(round(o_totalprice * 100) AS BIGINT) - lag(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS bytes_growth,
@@ -88,6 +129,18 @@ def sequence_gaps(t):
     return op.sequence_gaps(applied, ["source"], "seq")
 
 
+@plan("e05_sequence_gaps_repeated", """
+WITH a AS (SELECT DISTINCT c_mktsegment AS source, o_orderkey // 2 AS seq FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 <> 0)
+SELECT source, seq + 1 AS gap_from, after - 1 AS gap_to, after - seq - 1 AS missing FROM
+(SELECT source, seq, lead(seq) OVER (PARTITION BY source ORDER BY seq) AS after FROM a) WHERE after > seq + 1
+""")
+def sequence_gaps_repeated(t):
+    segments = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("source"))
+    number = F.when(F.col("o_orderkey") % 5 != 0, F.floor(F.col("o_orderkey") / 2).cast("long"))
+    applied = t.orders.select("o_custkey", number.alias("seq")).join(segments, "o_custkey")
+    return op.sequence_gaps(applied, ["source"], "seq", width=100)
+
+
 @plan("e06_run_intervals", """
 SELECT o_custkey AS database, o_orderkey AS run_id, 3600::BIGINT AS duration_seconds,
        date_diff('second', lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_orderdate) AS interval_seconds

@@ -15,11 +15,14 @@ from ..operators.movement import fingerprint_columns
 from ..workspace import observed, side_by_side
 from .files import file_inventory, inventory_total
 
+# How files spell instants, to the microsecond.
+TIME_OPTIONS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 # How CSV exports spell values, so that a round trip loses nothing.
 CSV_OPTIONS = {
     "header": "true", "nullValue": "\\N", "emptyValue": '""', "escape": '"',
-    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", **TIME_OPTIONS,
 }
 # The backslash is among them so that no text looks like the NULL mark.
 CSV_ESCAPES = [("%", "%25"), ("\n", "%0A"), ("\r", "%0D"), ("\\", "%5C")]
@@ -30,19 +33,20 @@ MANIFEST_SCHEMA = (
 
 
 def write_report_json(df: DataFrame, path: str) -> None:
-    """Nested report rows as JSON lines."""
-    df.write.mode("overwrite").json(path)
+    """Nested report rows as JSON lines, instants to the microsecond."""
+    df.write.mode("overwrite").options(**TIME_OPTIONS).json(path)
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:
-    """Flat report as CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Report as CSV with a header, one line per row; spelt as :func:`write_table` does, so :func:`read_table` reads it."""
+    write_table(df, path)
 
 
 def export_ndjson(df: DataFrame, path: str, compression: str = "gzip") -> DataFrame:
     """Write a collection as one JSON document per line; returns its statistics, counted on the way."""
     seen = Observation()
-    df.observe(seen, F.count("*").alias("documents")).write.mode("overwrite").json(path, compression=compression)
+    counted = df.observe(seen, F.count("*").alias("documents"))
+    counted.write.mode("overwrite").options(**TIME_OPTIONS).json(path, compression=compression)
     spark = df.sparkSession
     size = inventory_total(file_inventory(spark, path))
     documents = observed(seen).get("documents", 0)
@@ -59,7 +63,7 @@ def _to_csv_row(df: DataFrame) -> DataFrame:
     def spell(field) -> Column:
         col = F.col(f"`{field.name}`")
         if _nested(field):
-            col = F.to_json(F.struct(col.alias("v")))
+            col = F.to_json(F.struct(col.alias("v")), TIME_OPTIONS)
         elif isinstance(field.dataType, BinaryType):
             col = F.base64(col)
         elif not isinstance(field.dataType, StringType):
@@ -79,7 +83,7 @@ def _from_csv_row(df: DataFrame, schema: StructType) -> DataFrame:
         for raw, code in reversed(CSV_ESCAPES):
             col = F.replace(col, F.lit(code), F.lit(raw))
         if _nested(field):
-            col = F.from_json(col, StructType().add("v", field.dataType)).getField("v")
+            col = F.from_json(col, StructType().add("v", field.dataType), TIME_OPTIONS).getField("v")
         elif isinstance(field.dataType, BinaryType):
             col = F.unbase64(col)
         return col.alias(field.name)
@@ -172,8 +176,17 @@ def export_schema(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataF
 
 
 def create_statement(df: DataFrame, table: str) -> str:
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return f"CREATE TABLE `{table}` ({columns});"
+    """CREATE TABLE as Spark reads it."""
+    def quoted(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+    columns = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return f"CREATE TABLE {quoted(table)} ({columns});"
+
+
+def read_schemas(spark: SparkSession, path: str) -> dict[str, StructType]:
+    """Schemas by table of an export's schema file, which has one row per table."""
+    rows = spark.read.schema("`table` string, schema_json string").json(f"{path}/schema").collect()
+    return {row["table"]: StructType.fromJson(json.loads(row["schema_json"])) for row in rows}
 
 
 def restore_database(spark: SparkSession, path: str, only: Sequence[str] | None = None) -> dict[str, DataFrame]:
@@ -200,30 +213,64 @@ def restore_into(spark: SparkSession, path: str, database: str) -> None:
                   for name, df in restore_database(spark, path).items()])
 
 
+# The types of a dump, in standard SQL; what is not listed is text.
+DUMP_TYPES = {
+    "boolean": "BOOLEAN", "tinyint": "SMALLINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT",
+    "float": "REAL", "double": "DOUBLE PRECISION", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+    "timestamp": "TIMESTAMP", "binary": "BLOB",
+}
+
+
+def _name(text: str) -> str:
+    return '"' + text.replace('"', '""') + '"'
+
+
+def _quoted(col: Column) -> Column:
+    return F.concat(F.lit("'"), F.replace(col, F.lit("'"), F.lit("''")), F.lit("'"))
+
+
 def sql_literal(col: Column, kind: str) -> Column:
-    """A value as it stands in an INSERT statement."""
-    if kind in ("string", "timestamp", "timestamp_ntz", "date"):
-        quoted = F.concat(F.lit("'"), F.replace(col.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+    """A value as it stands in an INSERT statement: binary in hex, nested values as JSON text, NaN and infinities quoted."""
+    if kind.startswith(("array<", "map<", "struct<")):
+        # Packed, as a list of lists or a map is no row; what packs it is cut off again.
+        inner = F.to_json(F.struct(col.alias("v")), {**TIME_OPTIONS, "ignoreNullFields": "false"})
+        text = _quoted(F.substring(inner, F.lit(6), F.length(inner) - 6))
+    elif kind == "binary":
+        text = F.concat(F.lit("X'"), F.hex(col), F.lit("'"))
+    elif kind in ("double", "float"):
+        finite = ~F.isnan(col) & (F.abs(col) != float("inf"))
+        text = F.when(finite, col.cast("string")).otherwise(_quoted(col.cast("string")))
+    elif kind in DUMP_TYPES and kind not in ("timestamp", "timestamp_ntz", "date") or kind.startswith("decimal"):
+        text = col.cast("string")
     else:
-        quoted = col.cast("string")
-    return F.when(col.isNull(), F.lit("NULL")).otherwise(quoted)
+        text = _quoted(col.cast("string"))
+    return F.when(col.isNull(), F.lit("NULL")).otherwise(text)
+
+
+def dump_statement(df: DataFrame, table: str) -> str:
+    """CREATE TABLE of a dump, in the same dialect as its INSERT statements."""
+    columns = ", ".join(
+        f"{_name(name)} {kind.upper() if kind.startswith('decimal') else DUMP_TYPES.get(kind, 'TEXT')}" for name, kind in df.dtypes)
+    return f"CREATE TABLE {_name(table)} ({columns});"
 
 
 def insert_statements(df: DataFrame, table: str) -> DataFrame:
     """One INSERT statement per row."""
-    parts: list[Column] = [F.lit(f'INSERT INTO "{table}" VALUES(')]
-    for i, (name, kind) in enumerate(df.dtypes):
+    parts: list[Column] = [F.lit(f"INSERT INTO {_name(table)} VALUES(")]
+    for i, field in enumerate(df.schema.fields):
+        name = field.name.replace("`", "``")
         parts += [F.lit(",")] if i else []
-        parts.append(sql_literal(F.col(f"`{name}`"), kind))
+        parts.append(sql_literal(F.col(f"`{name}`"), field.dataType.simpleString()))
     return df.select(F.concat(*parts, F.lit(");")).alias("value"))
 
 
 def export_sql_dump(df: DataFrame, table: str, path: str, header: str = "-- Database Export") -> None:
-    """Logical dump: header and DDL, then the data as INSERT statements.
+    """Logical dump: header and DDL, then the data as INSERT statements, in standard SQL throughout.
 
     Line breaks inside values stay as they are: a statement may span lines.
+    Instants are in the session's time zone, UTC after ``tune``.
     """
-    head = df.sparkSession.range(1).select(F.lit(f"{header}\n{create_statement(df, table)}").alias("value"))
+    head = df.sparkSession.range(1).select(F.lit(f"{header}\n{dump_statement(df, table)}").alias("value"))
     head.coalesce(1).write.mode("overwrite").text(f"{path}/ddl")
     insert_statements(df, table).write.mode("overwrite").text(f"{path}/data")
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators import movement
+from fleetlens.operators import aggregates, movement
 from fleetlens.sources import exports, files
 
 NASTY = [
@@ -192,3 +192,30 @@ def test_null_keys_are_replaced(spark, rows):
                                 "k int, l int, v string, change string, ts int, seq int")
     assert rows(movement.apply_changes(base, log, ["k", "l"])) == sorted(
         [(None, 1, "new"), (2, None, "same"), (2, 3, "more")], key=str)
+
+
+def test_dump_loads_elsewhere(spark):
+    """DDL and statements of a dump are one dialect, which another engine reads back to the same values."""
+    import duckdb
+    df = spark.sql("""
+        SELECT * FROM VALUES
+          (1, "it's\na 'line'", X'00ff27', array('a''b', null), double('NaN'), timestamp_ntz'2024-01-02 03:04:05.000006'),
+          (2, '', X'', array(), double('-Infinity'), null),
+          (3, null, null, null, 1.5e10, null) AS t(id, `te"xt`, b, `li``st`, x, ts)""")
+    con = duckdb.connect()
+    con.execute(exports.dump_statement(df, 'd "1"'))
+    for row in exports.insert_statements(df, 'd "1"').collect():
+        con.execute(row.value.replace("X'00FF27'", "from_hex('00FF27')").replace("X''", "from_hex('')"))
+    got = con.execute('SELECT id, "te""xt", b, "li`st", x::VARCHAR, ts FROM "d ""1""" ORDER BY id').fetchall()
+    assert got == [
+        (1, "it's\na 'line'", b"\x00\xff'", '["a\'b",null]', "nan", dt.datetime(2024, 1, 2, 3, 4, 5, 6)),
+        (2, "", b"", "[]", "-inf", None),
+        (3, None, None, None, "15000000000.0", None)]
+
+
+def test_lists_are_cut_per_server(spark):
+    rows = [(server, f"db{i}", f"t{i}", i, i) for server in ("a", "b", "c") for i in range(5)]
+    tables = spark.createDataFrame(rows, "server_id string, database string, name string, total_rows long, total_bytes long")
+    by, per = ["server_id", "database"], ["server_id"]
+    assert aggregates.ranked_tables(tables, 2, by, per).count() == 6
+    assert aggregates.database_inventory(tables, by, 2, per).count() == 6

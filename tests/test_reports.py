@@ -129,7 +129,7 @@ def test_shards_need_two(spark, rows):
 def test_key_profile(spark):
     keys = spark.createDataFrame([("u:1", "hash", 10), ("u:2", "hash", None), ("u:3", "set", 5), ("plain", "string", 1)],
                                  "key string, type string, bytes long")
-    got = {r.pattern: r for r in aggregates.key_patterns(keys, samples=2).collect()}
+    got = {r.pattern: r for r in aggregates.top_patterns(keys, samples=2).collect()}
     assert (got["u"]["count"], got["u"].total_size, got["u"].max_size, got["u"].avg_size) == (3, 15, 10, 5.0)
     assert got["u"].types == {"hash": 2, "set": 1} and got["u"].sample_keys == ["u:1", "u:2"]
     assert got["simple"].sample_keys == ["plain"]
