@@ -103,9 +103,9 @@ def describe_metrics(df: DataFrame, descriptions: Mapping[str, str], name: str =
 Field = tuple[str, str, str]
 
 
-def project_snapshot(df: DataFrame, fields: Sequence[Field]) -> DataFrame:
-    """Typed selection ``(output, input, type)`` of a status view."""
-    return df.select(*[F.col(source).cast(kind).alias(out) for out, source, kind in fields])
+def project_snapshot(df: DataFrame, fields: Sequence[Field], by: Iterable[str] | None = None) -> DataFrame:
+    """Typed selection ``(output, input, type)`` of a status view, with the fleet keys ``by``."""
+    return df.select(*names(by), *[F.col(source).cast(kind).alias(out) for out, source, kind in fields])
 
 
 def _same_names(**fields: str) -> list[Field]:

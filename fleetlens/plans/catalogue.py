@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = [
     "sources", "filters", "joins", "aggregates", "windows", "ordering",
-    "scalars", "rules", "reports", "backup", "movement", "streams",
+    "scalars", "rules", "reports", "backup", "movement", "streams", "status",
 ]
 
 
