@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.movement import TERMINAL
 
-PARTIAL = "job_id long, started timestamp, last_seen timestamp, ended timestamp, outcome string"
-OUTPUT = "job_id long, started timestamp, ended timestamp, status string"
+PARTIAL = "started timestamp, last_seen timestamp, ended timestamp, outcome string"
+OUTPUT = "started timestamp, ended timestamp, status string"
 STATE = "started timestamp, ended timestamp, outcome string, done boolean"
 
 
@@ -33,10 +33,15 @@ def combine_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class JobTracker(StatefulProcessor):
-    """Emits each job once: with its first terminal state, or as timed out."""
+    """Emits each job once: with its first terminal state, or as timed out.
 
-    def __init__(self, timeout_seconds: float):
+    A job whose time is up stays known as closed for ``remember_seconds`` more,
+    so that events that come after do not start it anew.
+    """
+
+    def __init__(self, timeout_seconds: float, remember_seconds: float):
         self.limit = pd.Timedelta(seconds=timeout_seconds)
+        self.remember = int(remember_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -64,9 +69,14 @@ class JobTracker(StatefulProcessor):
         if not self.job.exists():
             return
         started, ended, outcome, done = self.job.get()
-        if expiredTimerInfo.getExpiryTimeInMs() < self._due(started):
+        expiry, forget = expiredTimerInfo.getExpiryTimeInMs(), self._due(started) + self.remember
+        if expiry < self._due(started):
             return  # set by an earlier run of this job
-        self.job.clear()
+        if expiry >= forget:
+            self.job.clear()
+            return
+        self.handle.registerTimer(forget)
+        self.job.update((started, ended, outcome, True))
         if not done:
             yield self._row(key, started, None, None)
 
@@ -84,9 +94,15 @@ class JobTracker(StatefulProcessor):
             "ended": pd.Series([None if late else pd.Timestamp(ended)], dtype="datetime64[ns]"), "status": [status]})
 
 
-def stream_job_status(stream: DataFrame, timeout_seconds: float, watermark: str) -> DataFrame:
-    """Outcome of every job (``job_id, ts, state``) once it is known or its time is up."""
+def stream_job_status(stream: DataFrame, timeout_seconds: float, watermark: str, remember_seconds: float = 7 * 86400.0) -> DataFrame:
+    """Outcome of every job (``job_id, ts, state``) once it is known or its time is up.
+
+    One row per job, however its events fall into batches. ``job_id`` may be of
+    any type that can be a key. An event more than ``remember_seconds`` after
+    the time-out counts as a new job; state is kept that long.
+    """
+    kind = stream.schema["job_id"].dataType.simpleString()
     slim = stream.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "state")
-    partial = slim.mapInPandas(combine_batches, PARTIAL).withWatermark("last_seen", watermark)
+    partial = slim.mapInPandas(combine_batches, f"job_id {kind}, {PARTIAL}").withWatermark("last_seen", watermark)
     return partial.groupBy("job_id").transformWithStateInPandas(
-        JobTracker(timeout_seconds), OUTPUT, "Append", "EventTime")
+        JobTracker(timeout_seconds, remember_seconds), f"job_id {kind}, {OUTPUT}", "Append", "EventTime")

@@ -76,3 +76,12 @@ def test_jobs_end_once_or_time_out(feed, rows):
     assert rows(got, "job_id", "started", "ended", "status") == [
         (1, at(0), at(10), "success"), (2, at(0), at(12), "failed"), (3, at(0), None, "timeout"),
         (4, at(0), None, "timeout"), (9, at(300), at(301), "success")]
+
+
+@pytest.mark.parametrize("cut", [1, 3, 4])
+def test_job_is_sent_once_however_it_is_batched(feed, rows, cut):
+    events = [("late", at(0), "RUNNING"), ("other", at(209), "SUCCESS"), ("late", at(210), "RUNNING"), ("late", at(215), "SUCCESS")]
+    batches = [events[i:i + cut] for i in range(0, len(events), cut)] + [[("clock", at(n), "SUCCESS")] for n in (400, 500)]
+    got = feed("job_id string, ts timestamp, state string", batches, lambda s: jobs.stream_job_status(s, 3600, "1 minute"))
+    assert rows(got.filter("job_id in ('late', 'other')"), "job_id", "started", "status") == [
+        ("late", at(0), "timeout"), ("other", at(209), "success")]
