@@ -372,6 +372,21 @@ def test_lines_in_a_large_group(make):
     assert {row.doc_id: row.dropped for row in lines.line_decisions(docs).collect()} == lost
 
 
+def test_lines_by_edit_similarity_alone(make):
+    rng = random.Random(8)
+    rows = []
+    for i in range(80):
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(rng.choice([10, 20, 50, 120]))]
+        at = rng.randrange(len(own))
+        copy = [*own[:at], own[at][::-1] + "q", *own[at + 1:]]
+        rows += [(i, " ".join(own)), (100 + i, " ".join(copy))]
+    near = {100 + i for i in range(80) if lines.similar(rows[2 * i][1], rows[2 * i + 1][1], 0.9)}
+    assert len(near) > 60
+    found = {row.doc_id: (row.dropped, row.kept_in) for row in lines.line_decisions(make(rows, "doc_id long, text string")).collect()}
+    assert found.keys() <= near and len(found) >= 0.98 * len(near)
+    assert all(found[i] == ([0], [i - 100]) for i in found)
+
+
 def test_lines_odd(odd_documents, no_documents):
     decisions = lines.line_decisions(odd_documents)
     assert {row.doc_id: row.dropped for row in decisions.collect()} == {6: [0]}
