@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.columns import names
 
@@ -45,21 +45,128 @@ def fk_violations(child: DataFrame, parent: DataFrame, child_cols: Sequence[str]
 
 
 def fk_check_all(tables: Mapping[str, DataFrame], constraints: Sequence[ForeignKey], samples: int = 5) -> DataFrame:
-    """Per constraint: violating rows and keys, and the first few missing keys."""
-    return reduce(DataFrame.unionByName, [_fk_summary(tables, fk, samples) for fk in constraints])
+    """Per constraint: violating rows and keys, and the first few missing keys as JSON in one text.
 
+    Every table is read once and no table is joined: see ``_key_stream``. Each
+    map task of the second shuffle sends sums, and at most ``samples`` keys a
+    constraint.
+    """
+    checks = [_Check("foreign_key", fk.name, fk.child, fk.child_cols, fk) for fk in constraints]
+    stream, shapes = _key_stream(tables, checks)
+    missing = stream.filter("rows > 0 and parents = 0").drop("parents")
+    lanes = [c for c in missing.columns if c not in ("check", "rows")]
+    first = missing.withColumn("place", F.row_number().over(Window.partitionBy("check").orderBy(*lanes))).filter(F.col("place") <= samples)
+    shown = F.coalesce(*[F.when(F.col("check") == i, shape.json(check.cols)) for i, (check, shape) in enumerate(zip(checks, shapes))])
+    parts = missing.select("check", "rows", F.lit(1).cast("long").alias("keys")).unionByName(
+        first.select("check", F.struct("place", shown.alias("key")).alias("sample")), allowMissingColumns=True).unionByName(
+        _numbers(stream.sparkSession, len(checks)), allowMissingColumns=True)
+    texts = F.transform(F.sort_array(F.collect_list("sample")), lambda sample: sample["key"])
+    return parts.groupBy("check").agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("violating_rows"), F.coalesce(F.sum("keys"), F.lit(0)).alias("violating_keys"),
+        F.array_join(texts, ";").alias("sample_keys"),
+    ).select(_named(checks, "subject").alias("constraint"), "violating_rows", "violating_keys", "sample_keys")
+
+
+@dataclass(frozen=True)
+class _Check:
+    """One thing to check about ``cols`` of ``table``."""
+
+    kind: str
+    subject: str
+    table: str
+    cols: tuple[str, ...]
+    fk: ForeignKey | None = None
+
+
+@dataclass(frozen=True)
+class _Shape:
+    """The types of a key, and the lanes its parts travel in: i for whole numbers and instants, f for fractions, s for texts.
+
+    Lanes give keys of all constraints common columns in which equal keys are
+    equal and keys sort as their types do.
+    """
+
+    types: tuple[T.DataType, ...]
+
+    def lanes(self, cols: Sequence[str]) -> dict[str, Column]:
+        return {f"{lane}{i}": col for i, (name, kind) in enumerate(zip(cols, self.types))
+                for lane, col in _lanes(F.col(f"`{name}`").cast(kind), kind).items()}
+
+    def json(self, cols: Sequence[str]) -> Column:
+        return F.to_json(F.struct(*[_from_lanes(i, kind).alias(name) for i, (name, kind) in enumerate(zip(cols, self.types))]))
+
+
+def _lanes(col: Column, kind: T.DataType) -> dict[str, Column]:
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return {"i": col.cast("long")}
+    if isinstance(kind, T.DateType):
+        return {"i": F.unix_date(col).cast("long")}
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return {"i": F.unix_micros(col.cast("timestamp"))}
+    if isinstance(kind, T.FractionalType):
+        # A decimal sorts by its value and is told apart by its digits.
+        return {"f": col.cast("double")} | ({"s": col.cast("string")} if isinstance(kind, T.DecimalType) else {})
+    return {"s": F.hex(col) if isinstance(kind, T.BinaryType) else col.cast("string")}
 
-def _fk_summary(tables: Mapping[str, DataFrame], fk: ForeignKey, samples: int) -> DataFrame:
-    missing = fk_check(tables[fk.child], tables[fk.parent], fk.child_cols, fk.parent_cols).select(
-        F.struct(*fk.child_cols).alias("key"), "rows")
-    totals = missing.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("violating_rows"),
-                         F.count("*").alias("violating_keys"))
-    first = missing.orderBy("key").limit(samples).select("key")
-    shown = F.transform(F.sort_array(F.collect_list("key")), lambda key: F.to_json(key))
-    return totals.unionByName(first, allowMissingColumns=True).agg(
-        F.max("violating_rows").alias("violating_rows"), F.max("violating_keys").alias("violating_keys"),
-        F.array_join(shown, ";").alias("sample_keys"),
-    ).select(F.lit(fk.name).alias("constraint"), "violating_rows", "violating_keys", "sample_keys")
+
+def _from_lanes(i: int, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DateType):
+        return F.date_from_unix_date(F.col(f"i{i}").cast("int"))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.timestamp_micros(F.col(f"i{i}")).cast(kind)
+    if isinstance(kind, T.BinaryType):
+        return F.unhex(F.col(f"s{i}"))
+    lane = "i" if isinstance(kind, (T.IntegralType, T.BooleanType)) else "f" if isinstance(kind, (T.FloatType, T.DoubleType)) else "s"
+    return F.col(f"{lane}{i}").cast(kind)
+
+
+def _key_stream(tables: Mapping[str, DataFrame], checks: Sequence[_Check]) -> tuple[DataFrame, list[_Shape]]:
+    """Rows (check, lanes, rows, parents) per key of each check, and the shapes of the keys.
+
+    Every row of a table goes through one scan and yields its keys, each tagged
+    with the check and the side it stands on. One aggregate over all of them,
+    combined before its shuffle, tells how many rows a key has and whether it
+    has a parent; a key that holds a third of all rows is one row a map task. A
+    NULL part of a foreign key passes. A missing value is a key without parts.
+    """
+    shapes = []
+    for check in checks:
+        own = tables[check.table].select(*[F.col(f"`{c}`") for c in check.cols])
+        both = own.union(tables[check.fk.parent].select(*[F.col(f"`{c}`") for c in check.fk.parent_cols])) if check.fk else own
+        shapes.append(_Shape(tuple(field.dataType for field in both.schema.fields) if check.kind != "not_null" else ()))
+    used = sorted({(name, str(col_type)) for shape in shapes for name, col_type in _lane_types(shape)})
+
+    def tagged(number: int, cols: Sequence[str], parent: bool, when: Column) -> Column:
+        lanes = shapes[number].lanes(cols)
+        return F.when(when, F.struct(
+            F.lit(number).alias("check"), *[lanes.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in used],
+            F.lit(int(not parent)).cast("long").alias("rows"), F.lit(int(parent)).cast("long").alias("parents")))
+
+    found: dict[str, list[Column]] = {}
+    for number, check in enumerate(checks):
+        every = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in check.cols])
+        when = {"foreign_key": every, "unique": F.lit(True), "not_null": ~every}[check.kind]
+        found.setdefault(check.table, []).append(tagged(number, check.cols, False, when))
+        if check.fk:
+            found.setdefault(check.fk.parent, []).append(tagged(number, check.fk.parent_cols, True, F.lit(True)))
+    streams = [tables[name].select(F.inline(F.array(*keys))).filter("check is not null") for name, keys in found.items()]
+    stream = reduce(DataFrame.unionByName, streams).groupBy("check", *[name for name, _ in used]).agg(
+        F.sum("rows").alias("rows"), F.sum("parents").alias("parents"))
+    return stream, shapes
+
+
+def _lane_types(shape: _Shape) -> list[tuple[str, str]]:
+    kinds = {"i": "long", "f": "double", "s": "string"}
+    return [(f"{lane}{i}", kinds[lane]) for i, kind in enumerate(shape.types) for lane in _lanes(F.lit(None).cast(kind), kind)]
+
+
+def _numbers(spark: SparkSession, n: int) -> DataFrame:
+    """The numbers of all checks, so that one without a finding has a row too."""
+    return spark.range(n).select(F.col("id").cast("int").alias("check"))
+
+
+def _named(checks: Sequence[_Check], field: str) -> Column:
+    return F.element_at(F.array(*[F.lit(getattr(check, field)) for check in checks]), F.col("check") + 1)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,21 +188,22 @@ def _long(row: DataFrame, cols: Sequence[str], name: str, value: str) -> DataFra
 def integrity_findings(tables: Mapping[str, DataFrame], foreign_keys: Sequence[ForeignKey] = (),
                        unique: Mapping[str, Sequence[str]] | None = None,
                        not_null: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """One row per check: kind, subject, number of violations."""
-    parts = []
-    for fk in foreign_keys:
-        missing = fk_check(tables[fk.child], tables[fk.parent], fk.child_cols, fk.parent_cols)
-        parts.append(missing.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("violations"))
-                     .select(F.lit("foreign_key").alias("check"), F.lit(fk.name).alias("subject"), "violations"))
-    for table, keys in (unique or {}).items():
-        parts.append(duplicate_keys(tables[table], keys).agg(F.count("*").alias("violations"))
-                     .select(F.lit("unique").alias("check"), F.lit(f"{table}({','.join(keys)})").alias("subject"),
-                             "violations"))
-    for table, cols in (not_null or {}).items():
-        parts.append(null_counts(tables[table], cols)
-                     .select(F.lit("not_null").alias("check"), F.concat(F.lit(f"{table}."), "column").alias("subject"),
-                             F.col("nulls").alias("violations")))
-    return reduce(DataFrame.unionByName, parts)
+    """One row per check: kind, subject, number of violations.
+
+    Foreign keys, unique keys and missing values go through one aggregate: every
+    table is read once, nothing is joined.
+    """
+    checks = [_Check("foreign_key", fk.name, fk.child, fk.child_cols, fk) for fk in foreign_keys]
+    checks += [_Check("unique", f"{table}({','.join(keys)})", table, tuple(keys)) for table, keys in (unique or {}).items()]
+    checks += [_Check("not_null", f"{table}.{col}", table, (col,)) for table, cols in (not_null or {}).items() for col in cols]
+    stream, _ = _key_stream(tables, checks)
+    kind = _named(checks, "kind")
+    found = (F.when(kind == "foreign_key", F.when(F.col("parents") == 0, F.col("rows")))
+             .when(kind == "unique", F.when(F.col("rows") > 1, 1)).otherwise(F.col("rows")))
+    counted = stream.select("check", found.cast("long").alias("violations")).unionByName(
+        _numbers(stream.sparkSession, len(checks)), allowMissingColumns=True)
+    return counted.groupBy("check").agg(F.coalesce(F.sum("violations"), F.lit(0)).alias("violations")).select(
+        kind.alias("check"), _named(checks, "subject").alias("subject"), "violations")
 
 
 # Verdicts.
