@@ -1,15 +1,21 @@
 """Ordered scans per key that never gather one key into one task.
 
 A plain window over ``partitionBy(key).orderBy(ts)`` sorts all rows of a key in
-one task.  Here every key is cut into chunks along its order.  The window runs
+one task.  Here busy keys are cut into chunks along their order.  The window runs
 per (key, chunk); what crosses a chunk border comes from a per-chunk summary,
 which is a map-side combined aggregate with one row per (key, chunk).
 
-The caller may say how to cut: any expression that does not decrease along the
-order.  Otherwise keys are cut by time, into spans of ``width`` seconds, a day
-if nothing is said.  The width changes how work is split, never the answer:
-choose it so that one key's rows of one span fit in a task.  Rows without an
-instant are a chunk of their own, ahead of all others, as NULL sorts first.
+Where a chunk ends is learnt from the data: the busiest keys are found by a
+count, a sample of their rows sorted, and every so manieth place of it is a
+splitter.  A splitter is a place in the whole order, ties included, so neither a
+busy second nor a million rows with one value end up in one chunk; rows that tie
+in the whole order are told apart by a hash of all they hold.  The sample is
+drawn by hashes, so a lost task that runs again cuts alike, and the splitters
+change how work is split, never the answer.  All other keys are one chunk each.
+
+The caller may also say how to cut: by an expression that does not decrease
+along the order, or by time into spans of ``width`` seconds.  Rows without an
+instant are then a chunk of their own, ahead of all others, as NULL sorts first.
 
 Rows whose key is NULL belong to no series and get no neighbour and no total.
 """
@@ -27,8 +33,17 @@ DAY = 86400.0
 # The chunk of rows without an instant: before every other.
 UNDATED = -(1 << 63)
 
+# Keys with more rows than this are cut, but no more chunks are made than may be broadcast.
+CHUNK_ROWS = 250_000
+MAX_CHUNKS = 1 << 15
+# Rows sampled for every chunk.
+SAMPLED = 16
+
 _CHUNK = "_chunk"
 _CARRY = "_carry"
+_SPLITS = "_splits"
+_HASH = "_hash"
+_ALL = "_all"
 
 
 def range_of(col: str, width: int) -> Column:
@@ -52,61 +67,142 @@ def _spread(df: DataFrame, keys: Sequence[str], cut: Column) -> Column:
     """The chunk of a row; rows without a key need no order and are dealt by a hash of all they hold."""
     if not keys:
         return cut
+    return F.when(_has_keys(keys), cut).otherwise(_row_hash(df))
+
+
+def _row_hash(df: DataFrame) -> Column:
     plain = [F.col(f"`{name}`") for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
-    return F.when(_has_keys(keys), cut).otherwise(F.xxhash64(*plain))
+    return F.xxhash64(*plain)
+
+
+def _sorted(order: Sequence[str | Column]) -> list[Column]:
+    """Sort expressions; a name after a minus sign sorts downwards, NULL last."""
+    return [col if isinstance(col, Column) else F.desc(col[1:]) if col.startswith("-") else F.asc(col) for col in order]
+
+
+def _place(df: DataFrame, order: Sequence[str | Column]) -> Column:
+    """A value that never decreases along the order. It stops before a column that sorts downwards and is no number."""
+    kinds, parts = dict(df.dtypes), []
+    for col in order:
+        if isinstance(col, Column):
+            raise ValueError("an order to be cut by itself is given as names")
+        if not col.startswith("-"):
+            parts.append(F.col(col))
+            continue
+        name = col[1:]
+        if kinds[name] not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not kinds[name].startswith("decimal"):
+            break
+        value = F.col(name).cast("double")
+        parts += [F.col(name).isNull(), F.when(F.isnan(value), F.lit(float("-inf"))).otherwise(-value)]
+    else:
+        parts.append(F.col(_HASH))
+    return F.struct(*[part.alias(f"c{i}") for i, part in enumerate(parts)])
+
+
+def splitters(df: DataFrame, keys: Sequence[str], place: Column, rows: int = CHUNK_ROWS, most: int = MAX_CHUNKS) -> DataFrame:
+    """Rows (keys, _splits) of the busiest keys: ascending places that cut a key into chunks of about ``rows`` rows.
+
+    At most ``most`` keys with more than ``rows`` rows, and about ``most``
+    splitters in all; beyond that chunks grow. Keys that are not among the
+    busiest hold less than one part in ``most`` of all rows.
+    """
+    known = df.filter(_has_keys(keys))
+    # A heap of the busiest keys, not a sort of all.
+    busy = known.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > rows).orderBy(F.desc("_n"), *keys).limit(most)
+    total = Window.partitionBy(F.lit(0))
+    chunks = F.ceil(F.col("_n") / F.greatest(F.lit(float(rows)), F.sum("_n").over(total) / F.lit(float(most))))
+    wanted = busy.select(*keys, (chunks * SAMPLED / F.col("_n")).alias("_rate"))
+    drawn = F.pmod(F.xxhash64(place, F.lit("splitters")), F.lit(1 << 30)) < F.col("_rate") * F.lit(1 << 30)
+    sample = known.join(F.broadcast(wanted), list(keys)).filter(drawn).groupBy(*keys).agg(F.sort_array(F.collect_list(place)).alias("_sample"))
+    return sample.select(*keys, F.filter("_sample", lambda _, i: i % SAMPLED == SAMPLED - 1).alias(_SPLITS))
+
+
+def _search(place: Column, most: int = MAX_CHUNKS) -> Column:
+    """How many splitters a place has reached, by halving."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range((2 * most).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(_SPLITS, at + step - 1) <= place, at + step).otherwise(at)).cast("long")
+
+
+def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rows: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the chunk of each row, and the rows of busy keys alone, which are the only ones with borders."""
+    place = _place(df, order)
+    splits = F.broadcast(splitters(df, keys, place, rows))
+    chunk = F.when(F.col(_SPLITS).isNull(), F.lit(0)).otherwise(_search(place))
+    spread = chunk if keys == [_ALL] else F.when(_has_keys(keys), chunk).otherwise(F.col(_HASH))
+    whole = df.join(splits, list(keys), "left").withColumn(_CHUNK, spread).drop(_SPLITS)
+    return whole, df.join(splits, list(keys)).withColumn(_CHUNK, chunk).drop(_SPLITS)
+
+
+def _prepared(df: DataFrame, by: Iterable[str] | str | None) -> tuple[DataFrame, list[str]]:
+    keys = names(by)
+    hashed = df.withColumn(_HASH, _row_hash(df))
+    return (hashed, list(keys)) if keys else (hashed.withColumn(_ALL, F.lit(0)), [_ALL])
 
 
 def _neighbour(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str], values: Sequence[str],
-               chunk: Column | None, out: str, step: int, width: float) -> DataFrame:
-    keys = names(by)
-    cut = time_chunk(order[0], width) if chunk is None else F.coalesce(chunk, F.lit(UNDATED))
-    pack, rank = F.struct(*values), F.struct(*order)
+               chunk: Column | None, out: str, step: int, width: float | None, rows: int) -> DataFrame:
+    pack = F.struct(*values)
+    near, hop = (F.lag, F.lag) if step < 0 else (F.lead, F.lead)
+    sampled = chunk is None and width is None
+    if sampled:
+        data, keys = _prepared(df, by)
+        order = [*order, _HASH]
+        whole, bordered = _cut(data, keys, order[:-1], rows)
+    else:
+        keys = names(by)
+        cut = time_chunk(order[0], width) if chunk is None else F.coalesce(chunk, F.lit(UNDATED))
+        whole = df.withColumn(_CHUNK, _spread(df, keys, cut))
+        bordered = df.filter(_has_keys(keys)).withColumn(_CHUNK, cut)
+    rank = F.struct(*order)
     inner = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy(_CHUNK)
-    near = F.lag(pack) if step < 0 else F.lead(pack)
     edge = F.max_by(pack, rank) if step < 0 else F.min_by(pack, rank)
-    hop = F.lag("_edge") if step < 0 else F.lead("_edge")
     carry = (
-        df.filter(_has_keys(keys)).groupBy(*keys, cut.alias(_CHUNK)).agg(edge.alias("_edge"))
-        .select(*keys, _CHUNK, hop.over(outer).alias(_CARRY))
+        bordered.groupBy(*keys, _CHUNK).agg(edge.alias("_edge"))
+        .select(*keys, _CHUNK, hop("_edge").over(outer).alias(_CARRY))
         .filter(F.col(_CARRY).isNotNull())
     )
-    rows = df.withColumn(_CHUNK, _spread(df, keys, cut)).withColumn(out, near.over(inner))
-    return (
-        rows.join(carry, [*keys, _CHUNK], "left")
-        .withColumn(out, F.when(_has_keys(keys), F.coalesce(out, _CARRY)))
-        .drop(_CHUNK, _CARRY)
-    )
+    found = whole.withColumn(out, near(pack).over(inner)).join(carry, [*keys, _CHUNK], "left")
+    return found.withColumn(out, F.when(_has_keys(keys), F.coalesce(out, _CARRY))).drop(_CHUNK, _CARRY, _HASH, _ALL)
 
 
 def with_previous(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str], values: Sequence[str],
-                  chunk: Column | None = None, out: str = "prev", width: float = DAY) -> DataFrame:
-    """Add ``out``: a struct of ``values`` from the row before, per key."""
-    return _neighbour(df, by, order, values, chunk, out, -1, width)
+                  chunk: Column | None = None, out: str = "prev", width: float | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``out``: a struct of ``values`` from the row before, per key; keys with more than ``rows`` rows are cut."""
+    return _neighbour(df, by, order, values, chunk, out, -1, width, rows)
 
 
 def with_next(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str], values: Sequence[str],
-              chunk: Column | None = None, out: str = "next", width: float = DAY) -> DataFrame:
-    """Add ``out``: a struct of ``values`` from the row after, per key."""
-    return _neighbour(df, by, order, values, chunk, out, 1, width)
+              chunk: Column | None = None, out: str = "next", width: float | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``out``: a struct of ``values`` from the row after, per key; keys with more than ``rows`` rows are cut."""
+    return _neighbour(df, by, order, values, chunk, out, 1, width, rows)
 
 
-def running(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str | Column], chunk: Column,
+def running(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str | Column], chunk: Column | None = None,
             sums: Mapping[str, Column] | None = None, maxima: Mapping[str, Column] | None = None,
-            before: bool = False) -> DataFrame:
+            before: bool = False, rows: int = CHUNK_ROWS) -> DataFrame:
     """Add running sums and maxima per key, up to this row or only the rows before it.
 
-    The chunk must be known for every row that has a key: a NULL chunk is an error.
+    ``order`` holds names, with a minus sign in front where they sort downwards
+    (NULL last). A chunk that is given must be known for every row that has a
+    key: a NULL chunk is an error.
     """
-    keys = names(by)
-    cut = F.coalesce(chunk.cast("long"), F.raise_error(F.lit("a chunk of a running total is NULL")).cast("long"))
     sums, maxima = dict(sums or {}), dict(maxima or {})
     inputs = {f"_in_{name}": col for name, col in {**sums, **maxima}.items()}
-    data = df.withColumns(inputs)
+    sampled = chunk is None
+    if sampled:
+        data, keys = _prepared(df.withColumns(inputs), by)
+        whole, bordered = _cut(data, keys, order, rows)
+        order = [*order, _HASH]
+    else:
+        data, keys = df.withColumns(inputs), names(by)
+        cut = F.coalesce(chunk.cast("long"), F.raise_error(F.lit("a chunk of a running total is NULL")).cast("long"))
+        whole = data.withColumn(_CHUNK, _spread(data, keys, cut))
+        bordered = data.filter(_has_keys(keys)).withColumn(_CHUNK, cut)
     last = -1 if before else Window.currentRow
-    inner = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    inner = Window.partitionBy(*keys, _CHUNK).orderBy(*_sorted(order)).rowsBetween(Window.unboundedPreceding, last)
     outer = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    totals = data.filter(_has_keys(keys)).groupBy(*keys, cut.alias(_CHUNK)).agg(
+    totals = bordered.groupBy(*keys, _CHUNK).agg(
         *[F.sum(f"_in_{name}").alias(name) for name in sums],
         *[F.max(f"_in_{name}").alias(name) for name in maxima],
     )
@@ -115,12 +211,12 @@ def running(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str |
         *[F.sum(name).over(outer).alias(f"_before_{name}") for name in sums],
         *[F.max(name).over(outer).alias(f"_before_{name}") for name in maxima],
     )
-    rows = data.withColumn(_CHUNK, _spread(data, keys, cut)).withColumns({
+    summed = whole.withColumns({
         **{name: F.sum(f"_in_{name}").over(inner) for name in sums},
         **{name: F.max(f"_in_{name}").over(inner) for name in maxima},
     })
-    out = rows.join(carry, [*keys, _CHUNK], "left")
+    out = summed.join(carry, [*keys, _CHUNK], "left")
     both = {name: F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_before_{name}"), F.lit(0)) for name in sums}
     best = {name: F.greatest(name, f"_before_{name}") for name in maxima}
     known = {name: F.when(_has_keys(keys), col) for name, col in {**both, **best}.items()}
-    return out.withColumns(known).drop(_CHUNK, *inputs, *[f"_before_{name}" for name in known])
+    return out.withColumns(known).drop(_CHUNK, _HASH, _ALL, *inputs, *[f"_before_{name}" for name in known])

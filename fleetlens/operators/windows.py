@@ -8,42 +8,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import times
 from ..functions.columns import names
-from .chunks import range_of, running, with_next, with_previous
+from .chunks import CHUNK_ROWS, range_of, running, with_next, with_previous
 
 
 def maintenance_plan(triage: DataFrame, budget: float, estimate: Column, by: Iterable[str] | None,
-                     tie: Sequence[str] = (), chunk: Column | None = None) -> DataFrame:
-    """Items in order of priority that start while the time used before them is below the budget."""
-    if chunk is None:
-        chunk = _work_chunk()
-    work = triage.filter(F.col("operation") != "NONE").withColumn("estimated", estimate)
-    order = [F.asc("priority"), F.desc("fragmentation_percent"), F.desc("page_count"), *[F.asc(c) for c in tie]]
-    timed = running(work, by, order, chunk, sums={"elapsed_before": F.col("estimated")}, before=True)
-    return timed.filter(F.col("elapsed_before") < budget)
-
+                     tie: Sequence[str] = (), chunk: Column | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Items in order of priority that start while the time used before them is below the budget.
 
-def _work_chunk() -> Column:
-    """Chunk by priority and whole percent; rows at exactly that percent, often many, also by pages.
-
-    Rises along the order of the plan: within a percent the exact rows come
-    last, and among them large indexes first. Unknown page counts and unknown
-    percents come last, an unknown priority first, as in the order.
+    A server with more than ``rows`` items is cut along the whole order, ``tie`` included.
     """
-    percent = F.coalesce(F.floor("fragmentation_percent"), F.lit(-100))
-    exact = F.coalesce(F.col("fragmentation_percent") == percent, F.lit(True))
-    by_size = F.coalesce(F.lit(64) - F.floor(F.log2(F.col("page_count") + 1)), F.lit(65))
-    priority = F.coalesce("priority", F.lit(-1000))
-    return (priority * 1_000_000 - percent * 1000 + F.when(exact, by_size).otherwise(0)).cast("long")
+    work = triage.filter(F.col("operation") != "NONE").withColumn("estimated", estimate)
+    order = ["priority", "-fragmentation_percent", "-page_count", *tie]
+    timed = running(work, by, order, chunk, sums={"elapsed_before": F.col("estimated")}, before=True, rows=rows)
+    return timed.filter(F.col("elapsed_before") < budget)
 
 
 def counter_rate(df: DataFrame, by: Iterable[str], ts: str, counters: Sequence[str], tie: Sequence[str] = (),
-                 chunk: Column | None = None) -> DataFrame:
+                 chunk: Column | None = None, width: float | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
     """Change and rate per second of each counter since the snapshot before.
 
     A counter that fell was reset: its change and rate are NULL and
     ``<counter>_reset`` is true.
     """
-    pairs = with_previous(df, by, [ts, *tie], [ts, *counters], chunk)
+    pairs = with_previous(df, by, [ts, *tie], [ts, *counters], chunk, width=width, rows=rows)
     gap = times.elapsed(F.col(f"prev.{ts}"), ts, "exact")
     out = pairs.withColumn("elapsed_seconds", gap)
     for name in counters:
@@ -57,9 +44,9 @@ def counter_rate(df: DataFrame, by: Iterable[str], ts: str, counters: Sequence[s
 
 
 def size_growth(df: DataFrame, by: Iterable[str], ts: str, sizes: Sequence[str], tie: Sequence[str] = (),
-                chunk: Column | None = None) -> DataFrame:
+                chunk: Column | None = None, width: float | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
     """Growth of each size since the snapshot before and per day; sizes may shrink."""
-    pairs = with_previous(df, by, [ts, *tie], [ts, *sizes], chunk)
+    pairs = with_previous(df, by, [ts, *tie], [ts, *sizes], chunk, width=width, rows=rows)
     days = times.elapsed(F.col(f"prev.{ts}"), ts, "exact") / 86400.0
     out = pairs
     for name in sizes:
@@ -111,9 +98,10 @@ def sequence_gaps(df: DataFrame, by: Iterable[str], seq: str, width: int = 1_000
 
 
 def run_intervals(reports: DataFrame, by: Iterable[str], start: str = "start", end: str = "finish",
-                  tie: Sequence[str] = (), chunk: Column | None = None) -> DataFrame:
+                  tie: Sequence[str] = (), chunk: Column | None = None, width: float | None = None,
+                  rows: int = CHUNK_ROWS) -> DataFrame:
     """Duration of each run and seconds since the start of the run before."""
-    pairs = with_previous(reports, by, [start, *tie], [start], chunk)
+    pairs = with_previous(reports, by, [start, *tie], [start], chunk, width=width, rows=rows)
     return (
         pairs.withColumn("duration_seconds", times.elapsed(start, end))
         .withColumn("interval_seconds", times.elapsed(F.col(f"prev.{start}"), start)).drop("prev")

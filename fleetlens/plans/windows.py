@@ -94,6 +94,55 @@ def counter_rate_undated(t):
     return op.counter_rate(counters, ["server"], "ts", ["ops"], tie=["event_id"]).drop("ts")
 
 
+HOT_SQL = """
+h AS (SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS server, event_id, CAST(round(value * 100) AS BIGINT) AS ops,
+             CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-15 12:00:00' + INTERVAL 1 MICROSECOND * (event_id % 1000000) ELSE ts END AS ts FROM events)
+"""
+
+
+def hot_events(t):
+    """A third of all rows on one server, within one second."""
+    hot = F.col("event_id") % 3 == 0
+    second = F.timestamp_micros(F.unix_micros(F.lit("2024-01-15 12:00:00").cast("timestamp")) + F.col("event_id") % 1_000_000)
+    return t.events.select(F.when(hot, -1).otherwise(F.col("user_id")).alias("server"), "event_id", cents("value").alias("ops"),
+                           F.when(hot, second.cast("timestamp_ntz")).otherwise(F.col("ts")).alias("ts"))
+
+
+@plan("e03_counter_rate_hot_second", f"""
+WITH {HOT_SQL}, p AS (SELECT *, lag(ops) OVER w AS before, lag(ts) OVER w AS ts0 FROM h WINDOW w AS (PARTITION BY server ORDER BY ts, event_id))
+SELECT server, event_id, ops, (epoch_us(ts) - epoch_us(ts0)) / 1e6::DOUBLE AS elapsed_seconds, coalesce(ops < before, false) AS ops_reset,
+       CASE WHEN ops >= before THEN ops - before END AS ops_delta,
+       CASE WHEN ops >= before THEN (ops - before)::DOUBLE / nullif((epoch_us(ts) - epoch_us(ts0)) / 1e6::DOUBLE, 0) END AS ops_rate
+FROM p
+""")
+def counter_rate_hot_second(t):
+    return op.counter_rate(hot_events(t), ["server"], "ts", ["ops"], tie=["event_id"], rows=2000).drop("ts")
+
+
+@plan("e06_run_intervals_hot_second", f"""
+WITH {HOT_SQL}
+SELECT server, event_id, ops, 3600::BIGINT AS duration_seconds,
+       date_diff('second', lag(ts) OVER (PARTITION BY server ORDER BY ts, event_id), ts) AS interval_seconds FROM h
+""")
+def run_intervals_hot_second(t):
+    runs = hot_events(t).withColumnRenamed("ts", "start").withColumn("finish", F.col("start") + F.expr("INTERVAL 1 HOUR"))
+    return op.run_intervals(runs, ["server"], tie=["event_id"], rows=2000).drop("start", "finish")
+
+
+@plan("e01_maintenance_plan_one_value", """
+WITH w AS (SELECT l_orderkey AS object_id, l_partkey, l_linenumber, CAST(l_quantity AS BIGINT) AS estimated FROM lineitem),
+     r AS (SELECT *, CAST(coalesce(sum(estimated) OVER (ORDER BY object_id, l_partkey, l_linenumber, estimated ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS elapsed_before FROM w)
+SELECT object_id, l_partkey, l_linenumber, estimated, elapsed_before FROM r WHERE elapsed_before < (SELECT sum(estimated) FROM w) / 2
+""")
+def maintenance_plan_one_value(t):
+    """One server, all of whose items tie in priority, percent and pages; half of the whole work fits."""
+    work = t.lineitem.select(F.col("l_orderkey").alias("object_id"), "l_partkey", "l_linenumber", F.lit(1).alias("priority"), F.lit("REBUILD").alias("operation"),
+                             F.lit(50.0).alias("fragmentation_percent"), F.lit(1000).alias("page_count"), F.col("l_quantity").cast("long").alias("minutes"))
+    budget = work.agg(F.sum("minutes") / 2).scalar()
+    return op.maintenance_plan(work, budget, F.col("minutes"), by=None, tie=["object_id", "l_partkey", "l_linenumber", "minutes"], rows=4000).select(
+        "object_id", "l_partkey", "l_linenumber", "estimated", "elapsed_before")
+
+
 @plan("e03_size_growth", """
 SELECT o_custkey AS database, o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS bytes,
   CAST(round(o_totalprice * 100) AS BIGINT) - lag(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS bytes_growth,

@@ -71,3 +71,60 @@ def test_null_key_has_no_predecessor(spark):
     got = chunks.with_previous(df, ["k"], ["t"], ["t"], chunks.range_of("t", 10))
     assert {(r.k, r.t, r.prev.t if r.prev else None) for r in got.collect()} == {
         (None, 1, None), (None, 2, None), ("a", 1, None), ("a", 2, 1)}
+
+
+def hot(spark, n=30_000):
+    """Half of all rows on one key and one instant, told apart by their ids alone."""
+    ident = F.col("id")
+    return spark.range(n).select(F.when(ident % 2 == 0, 0).when(ident % 50 == 1, None).otherwise(ident % 37 + 1).alias("k"),
+                                 F.when(ident % 2 == 0, F.lit("2024-01-01").cast("timestamp"))
+                                 .when(ident % 11 != 0, F.timestamp_seconds(ident * 7919 % 10_007)).alias("ts"), "id", (ident * 31 % 101).alias("v"))
+
+
+@pytest.mark.parametrize("limit", [50, 700, 1_000_000])
+def test_sampled_cuts_equal_a_plain_window(spark, rows, limit):
+    df = hot(spark, 8000)
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    known = F.col("k").isNotNull()
+    plain = df.select("*", F.when(known, F.lag("id").over(w)).alias("p"), F.when(known, F.lead("v").over(w)).alias("n"),
+                      F.when(known, F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1))).alias("s"))
+    back = chunks.with_previous(df, ["k"], ["ts", "id"], ["id"], rows=limit)
+    ahead = chunks.with_next(df, ["k"], ["ts", "id"], ["v"], rows=limit)
+    total = chunks.running(df, ["k"], ["ts", "id"], sums={"s": F.col("v")}, before=True, rows=limit)
+    assert rows(back.select("id", "prev.id")) == rows(plain, "id", "p")
+    assert rows(ahead.select("id", "next.v")) == rows(plain, "id", "n")
+    assert rows(total.select("id", "s")) == rows(plain.select("id", F.when(known, F.coalesce("s", F.lit(0)))))
+
+
+def test_sampled_cuts_downwards_and_over_all_rows(spark, rows):
+    df = hot(spark, 6000).withColumn("x", F.when(F.col("id") % 13 == 0, float("nan")).when(F.col("id") % 7 != 0, (F.col("v") / 3).cast("double")))
+    w = Window.orderBy(F.desc("x"), F.asc("ts"), F.desc("id"))
+    plain = df.select("id", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.max("v").over(
+        w.rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
+    got = chunks.running(df, None, ["-x", "ts", "-id"], sums={"s": F.col("v")}, maxima={"m": F.col("v")}, rows=300)
+    assert rows(got, "id", "s", "m") == rows(plain)
+
+
+def test_a_busy_second_is_cut_evenly(spark):
+    """No chunk of a key with half of all rows, all at one instant, is much larger than the others."""
+    data, keys = chunks._prepared(hot(spark), ["k"])
+    whole, bordered = chunks._cut(data, keys, ["ts", "id"], 500)
+    sizes = sorted(r["count"] for r in bordered.filter("k = 0").groupBy(chunks._CHUNK).count().collect())
+    assert len(sizes) >= 20 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    assert whole.count() == 30_000
+
+
+def test_rows_that_tie_in_all_that_orders_them_are_cut_too(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("k"), F.lit(5).alias("t"), "id")
+    data, keys = chunks._prepared(df, ["k"])
+    _, bordered = chunks._cut(data, keys, ["t"], 1000)
+    sizes = sorted(r["count"] for r in bordered.groupBy(chunks._CHUNK).count().collect())
+    assert len(sizes) >= 15 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    back = chunks.with_previous(df, ["k"], ["t"], ["id"], rows=1000)
+    assert back.filter("prev is null").count() == 1 and back.select("prev.id").distinct().count() == 20_000
+
+
+def test_splitters_are_bounded(spark):
+    data, keys = chunks._prepared(spark.range(40_000).select((F.col("id") % 400).alias("k"), "id"), ["k"])
+    found = chunks.splitters(data, keys, F.struct("id"), rows=10, most=16).collect()
+    assert len(found) <= 16 and sum(len(r._splits) for r in found) <= 64
