@@ -12,9 +12,8 @@ from ..functions import times
 from ..functions.columns import names
 from ..functions.text import qualified_name
 from ..sources.exports import MANIFEST_SCHEMA
-from ..sources.files import file_inventory, inventory_total
-from ..sources.logs import first_lines
-from .chunks import DAY, time_chunk
+from ..sources.files import file_heads, file_inventory, inventory_total
+from .chunks import DAY, running, time_chunk
 from .ordering import top_n
 
 
@@ -114,11 +113,10 @@ def _tail(root: str) -> str:
 
 
 def verify_header(spark: SparkSession, path: str, patterns: Sequence[str], lines: int = 5) -> DataFrame:
-    """Whether a dump marker stands in the first lines of each file. Text has no index, so files are read through."""
-    found = F.lit(False)
-    for pattern in patterns:
-        found = found | F.col("value").contains(pattern)
-    return first_lines(spark, path, lines).groupBy("path").agg(F.bool_or(found).alias("valid"))
+    """Whether a dump marker stands in the first lines of each file; only the heads of files are read."""
+    def marked(line: Column) -> Column:
+        return reduce(lambda a, b: a | b, [line.contains(pattern) for pattern in patterns], F.lit(False))
+    return file_heads(spark, path, lines).select("path", F.exists("lines", marked).alias("valid"), "bytes", "read_bytes")
 
 
 def verify_not_empty(spark: SparkSession, path: str) -> DataFrame:
@@ -228,14 +226,64 @@ def _carry_chunks(scanned: DataFrame, keys: Sequence[str], max_gap: float) -> Da
         *[F.last(name, ignorenulls=True).over(past).alias(f"{name}_before") for name in ("full", "diff")])
 
 
-def restore_members(backups: DataFrame, chain: DataFrame, target_ids: Sequence[int],
-                    by: Sequence[str] = ("database",)) -> DataFrame:
-    """The log backups of the chains of the targets named."""
-    picked = chain.filter(F.col("target_id").isin(*target_ids)).select(*by, "target_id", "target_ts", "base_ts")
-    logs = backups.filter(F.col("type") == "L")
-    return logs.join(picked, list(by)).filter(
+def restore_members(backups: DataFrame, chain: DataFrame, target_ids: Sequence[int] | None = None,
+                    by: Sequence[str] = ("database",), width: float = DAY) -> DataFrame:
+    """The log backups a restore needs, in a row each, for all targets of ``chain`` or those named.
+
+    An interval join by spans of ``width`` seconds: a target stands in every
+    span its chain reaches into, a log in one, and they meet in that span of
+    their database only. So a busy database is shared out by time, and the work
+    grows with the logs listed, not with logs times targets.
+    """
+    keys = list(by)
+    wanted = chain if target_ids is None else chain.filter(F.col("target_id").isin(*target_ids))
+    return _spanned(wanted, keys, width).join(_logs(backups, keys, width), [*keys, "span"]).filter(
         (F.col("created") > F.col("base_ts")) & (F.col("created") <= F.col("target_ts"))
-    ).select(*by, "target_id", "backup_id", "created")
+    ).select(*keys, "target_id", "backup_id", "created")
+
+
+def restore_member_counts(backups: DataFrame, chain: DataFrame, by: Sequence[str] = ("database",), width: float = DAY) -> DataFrame:
+    """Logs and bytes each target needs of every span of ``width`` seconds: rows (by, target_id, span_start, logs, log_bytes).
+
+    Logs are counted per span, and the spans summed up along time. The sums at a
+    target's base and instant come from one scan of logs, bases and targets in
+    order. A span then holds the difference of two sums, cut off at the base and
+    the instant, so no log is set against a target, however many overlap.
+    """
+    keys = list(by)
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "base_ts"]])
+    targets = chain.filter(complete).select(*keys, "target_id", "base_ts", "target_ts")
+    logs = _logs(backups, keys, width)
+    ends = targets.select(*keys, "target_id", F.inline(F.array(
+        F.struct(F.lit("base").alias("end"), F.col("base_ts").alias("at")), F.struct(F.lit("goal").alias("end"), F.col("target_ts").alias("at")))))
+    # At one instant logs come before the ends, as a log that starts at an end belongs before it.
+    line = logs.select(*keys, F.col("created").alias("at"), F.lit(0).alias("rank"), F.lit(1).cast("long").alias("one"), "bytes").unionByName(
+        ends.withColumns({"rank": F.lit(1), "one": F.lit(0).cast("long"), "bytes": F.lit(0).cast("long")}), allowMissingColumns=True)
+    placed = running(line, keys, ["at", "rank"], sums={"logs": F.col("one"), "log_bytes": F.coalesce("bytes", F.lit(0))})
+
+    def at(end: str, name: str) -> Column:
+        return F.max(F.when(F.col("end") == end, F.col(name))).alias(f"{end}_{name}")
+    sums = placed.filter("rank = 1").groupBy(*keys, "target_id").agg(*[at(end, name) for end in ("base", "goal") for name in ("logs", "log_bytes", "at")])
+    counted = logs.groupBy(*keys, "span").agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"))
+    spans = running(counted, keys, ["span"], sums={"n_end": F.col("n"), "size_end": F.col("size")})
+    met = _spanned(sums.withColumnsRenamed({"base_at": "base_ts", "goal_at": "target_ts"}), keys, width).join(spans, [*keys, "span"])
+
+    def within(end: Column, own: str, name: str) -> Column:
+        return F.least(end, F.col(f"goal_{name}")) - F.greatest(end - F.col(own), F.col(f"base_{name}"))
+    return met.select(
+        *keys, "target_id", F.timestamp_seconds(F.col("span") * width).cast(backups.schema["created"].dataType).alias("span_start"),
+        within(F.col("n_end"), "n", "logs").alias("logs"), within(F.col("size_end"), "size", "log_bytes").alias("log_bytes")).filter("logs > 0")
+
+
+def _logs(backups: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
+    logs = backups.filter((F.col("type") == "L") & F.col("created").isNotNull())
+    return logs.select(*keys, "backup_id", "created", F.col("bytes").cast("long").alias("bytes"), time_chunk("created", width).alias("span"))
+
+
+def _spanned(targets: DataFrame, keys: Sequence[str], width: float) -> DataFrame:
+    """Targets with a base, once for every span between it and their instant."""
+    known = targets.filter(F.col("base_ts").isNotNull() & (F.col("target_ts") >= F.col("base_ts")))
+    return known.withColumn("span", F.explode(F.sequence(time_chunk("base_ts", width), time_chunk("target_ts", width))))
 
 
 def restore_points(points: DataFrame, by: Iterable[str] = ("database",)) -> DataFrame:

@@ -124,6 +124,47 @@ def verify_header(t):
     return checked.groupBy(F.regexp_extract("path", "/(ddl|data)/", 1).alias("part")).agg(F.bool_or("valid").alias("valid"))
 
 
+@plan("k06_header_bytes", """
+SELECT o_orderstatus AS status, true AS marked, true AS bounded FROM orders GROUP BY o_orderstatus
+""")
+def header_bytes(t):
+    """Dumps of all orders, one per status: however long they are, at most 64 KiB of a file are read."""
+    path = new_dir(t.spark, "dumps")
+    head = t.orders.select("o_orderstatus").distinct().withColumns({"n": F.lit(-1).cast("long"), "line": F.lit("-- Database Export")})
+    lines = t.orders.select("o_orderstatus", F.col("o_orderkey").cast("long").alias("n"), F.to_json(F.struct("*")).alias("line"))
+    head.unionByName(lines).repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "n").select("o_orderstatus", "line").write.partitionBy(
+        "o_orderstatus").text(path)
+    checked = op.verify_header(t.spark, path, ["Database Export"])
+    return checked.groupBy(F.regexp_extract("path", "/o_orderstatus=([^/]+)/", 1).alias("status")).agg(
+        F.bool_or("valid").alias("marked"), F.bool_and(F.col("read_bytes") <= 64 << 10).alias("bounded"))
+
+
+@plan("k06_locate_difference", """
+WITH c AS (SELECT o_orderkey, o_orderkey // 256 AS node, o_custkey % 97 = 5 AS gone, o_orderkey % 1999 < 2 AS changed FROM orders)
+SELECT CAST(node * 256 AS BIGINT) AS range_from, CAST(node * 256 + 256 AS BIGINT) AS range_to, count(*) AS source_rows, count(*) FILTER (NOT gone) AS copy_rows
+FROM c GROUP BY node HAVING bool_or(gone OR changed)
+""")
+def locate_difference(t):
+    return movement.locate_difference(t.orders, scratched_orders(t), ["o_orderkey"], width=256, fan=16)
+
+
+@plan("k08_ranged_diff", """
+SELECT CASE WHEN o_custkey % 97 = 5 THEN 'delete' ELSE 'update' END AS change, o_orderkey, CASE WHEN o_custkey % 97 <> 5 THEN o_custkey END AS o_custkey,
+  CASE WHEN o_custkey % 97 <> 5 THEN o_totalprice + 1 END AS o_totalprice
+FROM orders WHERE o_custkey % 97 = 5 OR o_orderkey % 1999 < 2
+""")
+def ranged_diff(t):
+    return movement.ranged_diff(t.orders, scratched_orders(t), ["o_orderkey"], width=256, fan=16).select(
+        "change", "o_orderkey", "o_custkey", "o_totalprice")
+
+
+def scratched_orders(t):
+    """A copy of the orders without some customers' and with some prices changed."""
+    changed = F.col("o_orderkey") % 1999 < 2
+    return t.orders.filter(F.col("o_custkey") % 97 != 5).withColumn(
+        "o_totalprice", F.when(changed, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+
+
 @plan("k06_verify_not_empty", "SELECT true AS not_empty FROM region LIMIT 1")
 def verify_not_empty(t):
     path = new_dir(t.spark, "copy")
@@ -131,23 +172,58 @@ def verify_not_empty(t):
     return op.verify_not_empty(t.spark, path).select("not_empty")
 
 
-@plan("k07_restore_chain", """
-WITH b AS (SELECT o_custkey AS database, o_orderkey AS id, o_orderdate AS st, CAST(round(o_totalprice * 100) AS BIGINT) AS bytes,
+CHAIN_SQL = """
+b AS (SELECT o_custkey AS database, o_orderkey AS id, o_orderdate AS st, CAST(round(o_totalprice * 100) AS BIGINT) AS bytes,
              CASE o_orderpriority WHEN '1-URGENT' THEN 'D' WHEN '2-HIGH' THEN 'I' ELSE 'L' END AS type FROM orders),
  logs AS (SELECT *, date_diff('second', lag(st + INTERVAL 1 HOUR) OVER (PARTITION BY database ORDER BY st, id), st) > 200 * 86400 AS gap FROM b WHERE type = 'L'),
  tg AS (SELECT c_custkey AS database, 1 AS target_id, TIMESTAMP '1998-01-01' AS target_ts FROM customer UNION ALL SELECT c_custkey, 2, TIMESTAMP '2001-08-01' FROM customer),
  f AS (SELECT tg.*, max(struct_pack(st := b.st, id := b.id)) AS fb FROM tg LEFT JOIN b ON b.database = tg.database AND b.type = 'D' AND b.st <= tg.target_ts GROUP BY tg.database, tg.target_id, tg.target_ts),
  d AS (SELECT f.database, f.target_id, f.target_ts, f.fb, max(struct_pack(st := b.st, id := b.id)) AS db FROM f LEFT JOIN b ON b.database = f.database AND b.type = 'I' AND b.st <= f.target_ts AND b.st > f.fb.st GROUP BY ALL),
  s AS (SELECT *, coalesce(db.st, fb.st) AS base_ts FROM d)
+"""
+CHAIN_END = """
 SELECT s.database, s.target_id::BIGINT AS target_id, s.target_ts, fb.id AS full_id, db.id AS differential_id, base_ts,
   CASE WHEN base_ts IS NOT NULL THEN count(l.id) END AS logs, CASE WHEN base_ts IS NOT NULL THEN CAST(coalesce(sum(l.bytes), 0) AS BIGINT) END AS log_bytes,
   CASE WHEN base_ts IS NOT NULL THEN count(l.id) FILTER (l.gap) END AS gaps, base_ts IS NOT NULL AS restorable,
   base_ts IS NOT NULL AND count(l.id) FILTER (l.gap) = 0 AS continuous
 FROM s LEFT JOIN logs l ON l.database = s.database AND l.st > base_ts AND l.st <= target_ts
 GROUP BY s.database, s.target_id, s.target_ts, fb, db, base_ts
+"""
+CHAINS = f"chains AS (WITH {CHAIN_SQL} SELECT * FROM s WHERE base_ts IS NOT NULL)"
+
+
+def logged_backups(t):
+    return backup_sets(t).withColumn("finished", F.col("created") + F.expr("INTERVAL 1 HOUR"))
+
+
+@plan("k07_restore_members", f"""
+WITH {CHAINS}, l AS (SELECT o_custkey AS database, o_orderkey AS backup_id, o_orderdate AS created FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')),
+     m AS (SELECT c.database, c.target_id, backup_id, created FROM chains c JOIN l ON l.database = c.database AND created > base_ts AND created <= target_ts)
+SELECT database, CAST(target_id AS BIGINT) AS target_id, backup_id, created FROM m
+WHERE (database, target_id) IN (SELECT (database, target_id) FROM m GROUP BY database, target_id HAVING count(*) >= 3)
+""")
+def restore_members(t):
+    """The logs of every target that needs three or more."""
+    chain = restore_chain(t)
+    return op.restore_members(logged_backups(t), chain.filter(F.col("logs") >= 3), width=30 * 86400.0)
+
+
+@plan("k07_restore_member_counts", f"""
+WITH {CHAINS}
+SELECT c.database, CAST(target_id AS BIGINT) AS target_id, TIMESTAMP '1970-01-01' + INTERVAL 1 DAY * (epoch_us(o_orderdate) // (7 * 86400000000) * 7) AS span_start,
+       count(*) AS logs, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS log_bytes
+FROM chains c JOIN orders ON o_custkey = c.database AND o_orderdate > base_ts AND o_orderdate <= target_ts AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH')
+GROUP BY ALL
+""")
+def restore_member_counts(t):
+    return op.restore_member_counts(logged_backups(t), restore_chain(t), width=7 * 86400.0)
+
+
+@plan("k07_restore_chain", f"""
+WITH {CHAIN_SQL} {CHAIN_END}
 """)
 def restore_chain(t):
-    backups = backup_sets(t).withColumn("finished", F.col("created") + F.expr("INTERVAL 1 HOUR"))
+    backups = logged_backups(t)
     wanted = F.array(*[F.struct(F.lit(i).cast("long").alias("target_id"), F.lit(at).cast("timestamp_ntz").alias("target_ts"))
                        for i, at in ((1, "1998-01-01"), (2, "2001-08-01"))])
     targets = t.customer.select(F.col("c_custkey").alias("database"), F.inline(wanted))
