@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import bands
 from ..functions.columns import names
@@ -12,6 +12,7 @@ from ..functions.numbers import pct, ratio, share_of
 from ..functions.sizes import format_bytes
 from ..functions.text import key_prefix
 from ..functions.times import Instant, instant_like, span
+from .movement import row_hash
 from .ordering import latest_n, top_n
 
 
@@ -161,6 +162,33 @@ def top_patterns(df: DataFrame, key: str = "key", kind: str = "type", size: str
     return best.join(types, "pattern", "left").join(lists, "pattern", "left")
 
 
+def frequent_patterns(df: DataFrame, key: str = "key", size: str = "bytes", top: int = 10, tracked: int = 10_000) -> DataFrame:
+    """The ``top`` most frequent key prefixes as in :func:`key_patterns`, with memory and shuffle bounded by ``tracked``.
+
+    A first pass keeps a mergeable summary of ``tracked`` prefixes per task and
+    merges them. It holds every prefix with more than ``error_bound`` keys, so
+    a second pass counts those alone, exactly; at most ``tracked`` of them are
+    broadcast. ``certain``: the list is full and its last prefix has more keys
+    than that, or nothing can be missing, so none outside the summary belongs in
+    the list. Prefixes of equal count
+    come by name; NULL is a prefix.
+    """
+    keyed = df.select(key_prefix(key).alias("pattern"), F.coalesce(F.col(size), F.lit(0)).alias("bytes"))
+    summary = keyed.agg(F.expr(f"approx_top_k_accumulate(pattern, {tracked})").alias("state"), F.count("*").alias("keys"))
+    # The summary's map has a power of two of slots, three quarters of them in use.
+    slots = 1 << (-(-tracked * 4 // 3) - 1).bit_length()
+    bound = summary.select((F.col("keys") * F.lit(3.5 / slots)).alias("error_bound"))
+    found = summary.select(F.explode(F.expr(f"approx_top_k_estimate(state, {tracked})")).alias("one")).select(F.col("one.item").alias("_pattern"))
+    listed = F.broadcast(found.unionByName(df.sparkSession.range(1).select(F.lit(None).cast("string").alias("_pattern"))).distinct())
+    exact = keyed.join(listed, F.col("pattern").eqNullSafe(F.col("_pattern")), "left_semi").groupBy("pattern").agg(
+        F.count("*").alias("count"), F.sum("bytes").alias("total_size"), F.max("bytes").alias("max_size"))
+    best = exact.orderBy(F.desc("count"), "pattern").limit(top)
+    listed_ones = Window.partitionBy(F.lit(0))
+    full = (F.count("*").over(listed_ones) == top) & (F.min("count").over(listed_ones) > F.col("error_bound"))
+    return best.withColumns({"avg_size": ratio("total_size", "count"), "error_bound": bound.scalar()}).withColumn(
+        "certain", full | (F.col("error_bound") < 1))
+
+
 def key_totals(df: DataFrame, size: str = "bytes") -> DataFrame:
     """Keys and memory analysed."""
     return df.agg(F.count("*").alias("total_keys_analyzed"),
@@ -192,6 +220,25 @@ def series_cardinality(df: DataFrame, tags: Sequence[str], by: Iterable[str] | N
     return df.select(*keys, *tags).distinct().groupBy(*keys).agg(F.count("*").alias("series"))
 
 
+def cardinality_states(df: DataFrame, tags: Sequence[str], by: Iterable[str] | None = None, ts: str = "ts",
+                       unit: str = "hour", lg_k: int = 12) -> DataFrame:
+    """Rows (by, span, state): a mergeable sketch of the distinct tag combinations of every hour (or ``unit``).
+
+    A state has at most 2^lg_k registers whatever it has seen. Stored, the
+    states answer for any span of hours without the rows they were made from;
+    rows that come late are one more state of their hour.
+    """
+    span = F.date_trunc(unit, F.col(ts).cast("timestamp")).cast(df.schema[ts].dataType)
+    return df.groupBy(*names(by), span.alias("span")).agg(F.hll_sketch_agg(row_hash(df, tags), F.lit(lg_k)).alias("state"))
+
+
+def cardinality_rollup(states: DataFrame, by: Iterable[str] | None = None, unit: str | None = None) -> DataFrame:
+    """Distinct tag combinations per ``unit`` (or over all states), from states alone; the standard error is 1.04 / sqrt(2^lg_k)."""
+    keys = names(by)
+    spans = [] if unit is None else [F.date_trunc(unit, F.col("span").cast("timestamp")).cast(states.schema["span"].dataType).alias("span")]
+    return states.groupBy(*keys, *spans).agg(F.hll_sketch_estimate(F.hll_union_agg("state")).alias("series"))
+
+
 def measurements(df: DataFrame, col: str = "measurement") -> DataFrame:
     """Names of the measurements present."""
     return df.select(col).distinct()

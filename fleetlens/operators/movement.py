@@ -264,6 +264,71 @@ def enforce_series_retention(points: DataFrame, policies: DataFrame, as_of: time
     return points.join(limits, key, "left").filter(keep).drop("_days").select(*points.columns)
 
 
+# How Spark writes a missing partition value.
+MISSING = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_by_day(points: DataFrame, path: str, key: str = "measurement", ts: str = "ts") -> None:
+    """Store points in one folder per series and day, for ``enforce_stored_retention``."""
+    points.withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy(key, "day").parquet(path)
+
+
+def retention_actions(spark: SparkSession, path: str, policies: DataFrame, as_of: times.Instant, key: str = "measurement") -> DataFrame:
+    """Rows (series, day, folder, files, bytes, action) of points stored by series and day, from the names of their files alone.
+
+    ``drop`` where the whole day lies beyond the limit of its series, ``keep``
+    where the whole day lies within it or the series has no policy or the points
+    no day, ``rewrite`` where the limit falls inside the day.
+    """
+    def part(name: str) -> Column:
+        value = F.regexp_extract("path", f"/{re.escape(name)}=([^/]+)/", 1)
+        return F.when(value != MISSING, F.url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))))
+    stored = file_inventory(spark, path).select(
+        part(key).alias("series"), part("day").cast("date").alias("day"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), "bytes")
+    folders = stored.groupBy("series", "day", "folder").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    limits = policies.select(F.col(key).cast("string").alias("series"), F.col("days").alias("_days"))
+    # A point is kept up to and including the age of its limit.
+    oldest = times.instant(as_of).cast("timestamp") - F.make_dt_interval(F.col("_days").cast("int"))
+    begin, end = F.col("day").cast("timestamp"), F.date_add("day", 1).cast("timestamp")
+    action = (F.when(F.col("_days").isNull() | F.col("day").isNull() | (begin >= oldest), F.lit("keep"))
+              .when(end <= oldest, F.lit("drop")).otherwise(F.lit("rewrite")))
+    return folders.join(limits, "series", "left").withColumn("action", action).drop("_days")
+
+
+def enforce_stored_retention(spark: SparkSession, path: str, policies: DataFrame, as_of: times.Instant,
+                             key: str = "measurement", ts: str = "ts", schema: StructType | None = None) -> DataFrame:
+    """Remove what is older than its series' policy from points stored by series and day; returns what was done.
+
+    Files wholly within or beyond a limit are not opened: their folders stay or
+    go. Without the points' ``schema`` the footer of one file is read for it. The one day of a series that its limit falls into is read and replaced
+    by dynamic partition overwrite, which commits when all of it is written. A
+    run that was cut off can be repeated. Folders go one by one on the driver,
+    as their names come; nothing is collected.
+    """
+    def stored(df: DataFrame, label: str) -> DataFrame:
+        to = new_dir(spark, label)
+        df.write.parquet(to)
+        return spark.read.schema(df.schema).parquet(to)
+    actions = stored(retention_actions(spark, path, policies, as_of, key), "retention")
+    gone = actions.filter(F.col("action") == "drop").select("folder")
+    straddling = actions.filter(F.col("action") == "rewrite")
+    # At most one folder a series: paths to read, which Spark lists on the driver anyway.
+    folders = [row.folder for row in straddling.select("folder").collect()]
+    if folders:
+        typed = spark.read if schema is None else spark.read.schema(StructType([*schema.fields, StructField("day", DateType())]))
+        points = typed.option("basePath", path).parquet(*folders)
+        kept = stored(enforce_series_retention(points, policies, as_of, key, ts).select(*points.columns), "young")
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key, "day").parquet(path)
+        # A day whose points all were too old is not overwritten by any: it goes too.
+        left = kept.select(F.col(key).cast("string").alias("series"), "day").distinct()
+        gone = gone.unionByName(straddling.join(left, ["series", "day"], "left_anti").select("folder"))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for row in gone.toLocalIterator():
+        folder = hadoop(row.folder)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return actions.drop("folder")
+
+
 # States that end a job.
 TERMINAL = ["SUCCESS", "FAILED"]
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bands
 from ..operators import aggregates as op
 from ..operators import integrity
+from ..workspace import new_dir
 from .registry import EVENTS_AS_OF, plan
 from .shapes import TRIAGE_SQL, cents, money, triage
 
@@ -205,6 +208,18 @@ def key_pattern_types(t):
     return op.key_pattern_types(keys_from_documents(t)).select("pattern", "type", "n")
 
 
+@plan("d08_frequent_patterns", """
+WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents)
+SELECT word AS pattern, count(*) AS count, CAST(sum(doc_id) AS BIGINT) AS total_size, max(doc_id) AS max_size, sum(doc_id)::DOUBLE / count(*)::DOUBLE AS avg_size, true AS certain
+FROM w WHERE regexp_full_match(word, '[a-z]+') GROUP BY word ORDER BY count(*) DESC, word LIMIT 10
+""")
+def frequent_patterns(t):
+    """Words of all documents as key prefixes: the ten most frequent of a vocabulary that grows with the documents."""
+    words = t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("word")).filter(F.col("word").rlike("^[a-z]+$"))
+    keys = words.select(F.concat("word", F.lit(":"), "doc_id").alias("key"), F.col("doc_id").alias("bytes"))
+    return op.frequent_patterns(keys).drop("error_bound")
+
+
 @plan("d08_key_totals", """
 SELECT count(*) AS total_keys_analyzed, CAST(sum(n_chars) AS BIGINT) AS total_memory_analyzed FROM documents
 """)
@@ -244,6 +259,27 @@ def series_cardinality_approx(t):
     return both.select("event_type", "series", (F.abs(F.col("guess") - F.col("series")) <= F.col("series") * 0.2).alias("close"))
 
 
+@plan("d10_cardinality_states", """
+SELECT 'day' AS unit, date_trunc('day', ts)::TIMESTAMP AS span, event_type, count(DISTINCT user_id) AS series, true AS close FROM events GROUP BY ALL
+UNION ALL SELECT 'week', date_trunc('week', ts)::TIMESTAMP, event_type, count(DISTINCT user_id), true FROM events GROUP BY ALL
+UNION ALL SELECT 'year', date_trunc('year', ts)::TIMESTAMP, event_type, count(DISTINCT user_id), true FROM events GROUP BY ALL
+""")
+def cardinality_states(t):
+    """Stored hourly states, rolled up to days, weeks and years, against exact counts: within three standard errors."""
+    path = new_dir(t.spark, "states")
+    op.cardinality_states(t.events, ["user_id"], by=["event_type"]).write.parquet(path)
+    states = t.spark.read.parquet(path)
+    spans = []
+    for unit in ("day", "week", "year"):
+        span = F.date_trunc(unit, F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("span")
+        exact = t.events.groupBy("event_type", span).agg(F.count_distinct("user_id").alias("series"))
+        guess = op.cardinality_rollup(states, ["event_type"], unit).withColumnRenamed("series", "guess")
+        spans.append(exact.join(guess, ["event_type", "span"], "full").withColumn("unit", F.lit(unit)))
+    off = F.abs(F.col("guess") - F.col("series"))
+    return reduce(DataFrame.unionByName, spans).select(
+        "unit", "span", "event_type", "series", (off <= F.greatest(F.lit(1.0), 3 * 1.04 / 64 * F.col("series"))).alias("close"))
+
+
 @plan("d10_measurements", "SELECT DISTINCT event_type FROM events")
 def measurements(t):
     return op.measurements(t.events, "event_type")

@@ -110,6 +110,35 @@ def copy_tables(t):
     return copied.select("table").join(counts[0].unionByName(counts[1]), "table")
 
 
+def event_policies(t):
+    return t.events.select("event_type").distinct().filter(F.col("event_type").isin("click", "error")).select(
+        "event_type", bands.decode("event_type", {"click": 7}, 20).alias("days"))
+
+
+@plan("k16_stored_retention", """
+SELECT event_id, ts, event_type, value FROM events
+WHERE NOT (event_type = 'click' AND ts < TIMESTAMP '2024-01-30 11:00:00' - INTERVAL 7 DAY) AND NOT (event_type = 'error' AND ts < TIMESTAMP '2024-01-30 11:00:00' - INTERVAL 20 DAY)
+""")
+def stored_retention(t):
+    path = new_dir(t.spark, "series")
+    points = t.events.select("event_id", "ts", "event_type", "value")
+    op.write_by_day(points, path, key="event_type")
+    op.enforce_stored_retention(t.spark, path, event_policies(t), "2024-01-30 11:00:00", key="event_type", schema=points.schema)
+    return t.spark.read.parquet(path).select("event_id", "ts", "event_type", "value")
+
+
+@plan("k16_retention_actions", """
+WITH d AS (SELECT event_type AS series, CAST(ts AS DATE) AS day FROM events GROUP BY ALL),
+     l AS (SELECT *, TIMESTAMP '2024-01-30 11:00:00' - CASE event_type WHEN 'click' THEN INTERVAL 7 DAY WHEN 'error' THEN INTERVAL 20 DAY END AS oldest FROM (SELECT DISTINCT event_type FROM events))
+SELECT series, day, CASE WHEN oldest IS NULL OR day >= oldest THEN 'keep' WHEN day + INTERVAL 1 DAY <= oldest THEN 'drop' ELSE 'rewrite' END AS action
+FROM d JOIN l ON event_type = series
+""")
+def retention_actions(t):
+    path = new_dir(t.spark, "series")
+    op.write_by_day(t.events.select("event_id", "ts", "event_type", "value"), path, key="event_type")
+    return op.enforce_stored_retention(t.spark, path, event_policies(t), "2024-01-30 11:00:00", key="event_type").select("series", "day", "action")
+
+
 @plan("k16_enforce_series_retention", """
 SELECT event_id, ts, event_type, value FROM events
 WHERE NOT (event_type = 'click' AND ts < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY) AND NOT (event_type = 'error' AND ts < TIMESTAMP '2024-01-31' - INTERVAL 20 DAY)

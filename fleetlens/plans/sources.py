@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import movement, reports
 from ..sources import backup_reports, exports, files, logs, telemetry
@@ -18,6 +20,41 @@ def read_telemetry(t):
     return landed.filter(F.col("event_type") == "error").select("event_id", "ts", "user_id", "value")
 
 
+EVENT_LINE = "event_id long, user_id long, event_type string, value double"
+
+
+def broken_lines(t, fmt):
+    """Events as text lines, some cut off in the middle, some with a word for a number."""
+    path = new_dir(t.spark, "broken")
+    value = F.when(F.col("event_id") % 50 == 8, F.lit("unknown")).otherwise(F.format_string("%.4f", "value"))
+    if fmt == "json":
+        line = F.format_string('{"event_id": %d, "user_id": %d, "event_type": "%s", "value": %s}', "event_id", "user_id", "event_type", value)
+    else:
+        line = F.concat_ws(",", "event_id", "user_id", "event_type", value)
+    whole = F.col("event_id") % 50 != 7
+    t.events.select(F.when(whole, line).otherwise(F.substr(line, F.lit(1), F.lit(9) if fmt == "json" else F.lit(2)))).write.text(path)
+    return telemetry.read_quarantined(t.spark, path, fmt=fmt, schema=EVENT_LINE)
+
+
+@plan("a01_quarantine_good_rows", """
+SELECT event_id, user_id, event_type, round(value, 4) AS value FROM events WHERE event_id % 50 NOT IN (7, 8)
+""")
+def quarantine_good_rows(t):
+    good, _ = broken_lines(t, "json")
+    return good.withColumn("value", F.round("value", 4))
+
+
+@plan("a01_quarantine_counts", """
+SELECT fmt, count(*) FILTER (event_id % 50 NOT IN (7, 8)) AS good, count(*) FILTER (event_id % 50 IN (7, 8)) AS bad
+FROM events, (SELECT unnest(['json', 'csv']) AS fmt) GROUP BY fmt
+""")
+def quarantine_counts(t):
+    parts = [rows.agg(F.lit(fmt).alias("fmt"), F.count("*").alias("n"), F.lit(kind).alias("kind"))
+             for fmt in ("json", "csv") for kind, rows in zip(("good", "bad"), broken_lines(t, fmt))]
+    return reduce(DataFrame.unionByName, parts).groupBy("fmt").agg(
+        *[F.sum(F.when(F.col("kind") == kind, F.col("n"))).alias(kind) for kind in ("good", "bad")])
+
+
 def report_fields(t):
     """Header name to value, from events."""
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands
 from ..operators.rules import Rule
-from ..streaming import jobs, operators as op
+from ..streaming import jobs, ledger, operators as op
 from ..streaming.run import land_available
 from ..workspace import new_dir
 from .registry import plan
@@ -44,6 +44,50 @@ def stream_sliding_metrics(t):
     return plain_times(land_available(averages, "sliding"), "window_start", "window_end")
 
 
+# Files in the order of their weeks, but every seventh row comes a day and a half too late.
+LATE_SQL = """
+l AS (SELECT event_type AS metric, event_id, ts, value, CAST(date_trunc('week', ts + INTERVAL 36 HOUR * CAST(event_id % 7 = 0 AS INTEGER)) AS DATE) AS week FROM events),
+n AS (SELECT week, max(ts) AS newest FROM l GROUP BY week),
+m AS (SELECT week, max(newest) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 HOUR AS mark FROM n),
+r AS (SELECT l.*, coalesce(date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark, false) AS late FROM l JOIN m USING (week))
+"""
+
+
+def belated_events(t):
+    """Events landed as one file a week, read one file a batch."""
+    path = new_dir(t.spark, "belated")
+    arrived = F.col("ts") + F.when(F.col("event_id") % 7 == 0, F.expr("INTERVAL 36 HOUR")).otherwise(F.expr("INTERVAL 0 HOUR"))
+    rows = t.events.select(F.col("event_type").alias("metric"), "event_id", "ts", money("value").alias("value"), F.to_date(F.date_trunc("week", arrived)).alias("week"))
+    # Written one after the other, as a stream reads files by their age.
+    for row in rows.select("week").distinct().orderBy("week").toLocalIterator():
+        rows.filter(F.col("week") == row.week).coalesce(1).write.mode("append").parquet(path)
+    return rows.schema, t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def landed_hours(t):
+    root = new_dir(t.spark, "late")
+    schema, stream = belated_events(t)
+    ledger.land_hourly(stream, f"{root}/table", f"{root}/checkpoint", "2 hours")
+    return f"{root}/table", schema
+
+
+@plan("s01_late_rows", f"WITH {LATE_SQL} SELECT metric, event_id, ts FROM r WHERE late")
+def late_rows(t):
+    path, schema = landed_hours(t)
+    return ledger.read_late(t.spark, path, schema).select("metric", "event_id", "ts")
+
+
+@plan("s01_counted_in_time", f"""
+WITH {LATE_SQL}
+SELECT metric, date_trunc('hour', ts) AS window_start, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) / count(*)::DOUBLE AS average
+FROM r WHERE NOT late GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR
+""")
+def counted_in_time(t):
+    path, _ = landed_hours(t)
+    hours = ledger.read_hourly(t.spark, path, "2 hours", {"metric": "string"}, "decimal(22,2)")
+    return plain_times(hours, "window_start").select("metric", "window_start", "average")
+
+
 @plan("s02_stream_alerts", """
 SELECT event_id, CASE WHEN value > 200 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, 'Value' AS category, event_type AS message, 'Look at it' AS recommendation
 FROM events WHERE value > 80
@@ -92,6 +136,15 @@ def stream_reports(t):
     return plain_times(land_available(op.stream_reports(repeated, ["event_id"], "1 hour"), "deduplicated"), "ts")
 
 
+@plan("s05_ledgered_reports", "SELECT event_id, ts, event_type FROM events")
+def ledgered_reports(t):
+    """A stream that lost its checkpoint and read everything again, into the table it had begun."""
+    root, rows = new_dir(t.spark, "ledgered"), event_stream(t).select("event_id", "ts", "event_type")
+    ledger.land_keyed(rows.filter("event_id % 3 > 0"), f"{root}/table", f"{root}/first", ["event_id"])
+    ledger.land_keyed(rows, f"{root}/table", f"{root}/second", ["event_id"])
+    return ledger.read_keyed(t.spark, f"{root}/table", rows.schema)
+
+
 @plan("s06_stream_sessions", """
 WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM f)
