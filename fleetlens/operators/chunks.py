@@ -136,7 +136,8 @@ def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rows
 def _prepared(df: DataFrame, by: Iterable[str] | str | None) -> tuple[DataFrame, list[str]]:
     keys = names(by)
     hashed = df.withColumn(_HASH, _row_hash(df))
-    return (hashed, list(keys)) if keys else (hashed.withColumn(_ALL, F.lit(0)), [_ALL])
+    # One key for all rows: always 0, but no constant, which would turn the joins on it into cross products.
+    return (hashed, list(keys)) if keys else (hashed.withColumn(_ALL, F.pmod(_HASH, F.lit(1))), [_ALL])
 
 
 def _neighbour(df: DataFrame, by: Iterable[str] | str | None, order: Sequence[str], values: Sequence[str],

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import bands, sizes, times
 from ..functions.columns import names
@@ -55,11 +55,15 @@ def lock_contention(locks: DataFrame, sessions: DataFrame, by: Iterable[str] | N
     return known.join(per_lock, "lock").select("lock.*", "pid", "usename", "statement", F.inline(sides))
 
 
-def blocking_pairs(contention: DataFrame, blocked_pids: Sequence[int], by: Iterable[str] | None = None,
+def blocking_pairs(contention: DataFrame, blocked: Sequence[int] | Column, by: Iterable[str] | None = None,
                    lock_key: Sequence[str] = LOCK_KEY) -> DataFrame:
-    """Blocked session with each session that blocks it, for the waiters named."""
+    """Blocked session with each session that blocks it, for the waiters named or marked by a condition on ``contention``.
+
+    There are as many pairs as the waiters have ``partners``.
+    """
     lock = F.struct(*names(by), *lock_key).alias("lock")
-    waits = contention.filter((F.col("role") == "blocked") & F.col("pid").isin(*blocked_pids)).select(
+    wanted = blocked if isinstance(blocked, Column) else F.col("pid").isin(*blocked)
+    waits = contention.filter((F.col("role") == "blocked") & wanted).select(
         lock, F.col("pid").alias("blocked_pid"), F.col("usename").alias("blocked_user"),
         F.col("statement").alias("blocked_statement"), F.col("requests").alias("waiting"))
     holds = contention.filter(F.col("role") == "blocking").select(

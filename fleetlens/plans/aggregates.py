@@ -412,10 +412,12 @@ def profile_database(t):
 
 
 @plan("d16_database_totals", """
-SELECT 2::BIGINT AS total_tables, (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem) AS total_rows FROM region LIMIT 1
+SELECT count(*) AS total_tables, CAST(sum(n) AS BIGINT) AS total_rows FROM
+(SELECT count(*) AS n FROM orders UNION ALL SELECT count(*) FROM lineitem UNION ALL SELECT count(*) FROM documents UNION ALL SELECT count(*) FROM events)
 """)
 def database_totals(t):
-    return integrity.database_totals(integrity.profile_database({"orders": t.orders, "lineitem": t.lineitem}))
+    return integrity.database_totals(integrity.profile_database(
+        {"orders": t.orders, "lineitem": t.lineitem, "documents": t.documents, "events": t.events}))
 
 
 def backup_log(t):

@@ -15,16 +15,21 @@ from .shapes import backup_sets
 
 @plan("k01_backup_catalog", """
 SELECT 'nightly' AS name, 'success' AS status, true AS has_schema, true AS has_data, 2::BIGINT AS tables,
-  (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) AS rows
-UNION ALL SELECT 'schema-only', 'success', true, false, 1::BIGINT, 0::BIGINT
-UNION ALL SELECT 'strange', 'Unknown', false, true, NULL, NULL
+  (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) AS rows, true AS dated, NULL::BIGINT AS size_bytes
+UNION ALL SELECT 'schema-only', 'success', true, false, 1::BIGINT, 0::BIGINT, true, NULL
+UNION ALL SELECT 'strange', 'Unknown', false, true, NULL, NULL, false, CAST(sum(length(s_name) + 1) AS BIGINT) FROM supplier
 """)
 def backup_catalog(t):
+    """Exports carry the instant they began; the size is compared where files hold nothing but the rows."""
     root = new_dir(t.spark, "catalog")
+    began = t.spark.range(1).select(F.current_timestamp().alias("at")).first().at
     exports.export_database(t.spark, {"orders": t.orders, "customer": t.customer}, f"{root}/nightly", "nightly")
     exports.export_database(t.spark, {"events": t.events}, f"{root}/schema-only", "schema-only", include_data=False)
-    t.supplier.write.parquet(f"{root}/strange/data/supplier")
-    return op.backup_catalog(t.spark, root).drop("created_at", "size_bytes")
+    t.supplier.select("s_name").write.text(f"{root}/strange/data/supplier")
+    dated = F.coalesce(F.col("created_at").cast("timestamp") >= F.lit(began), F.lit(False))
+    known = F.col("name") == "strange"
+    return op.backup_catalog(t.spark, root).withColumns({"dated": dated, "size_bytes": F.when(known | (F.col("size_bytes") <= 0), F.col("size_bytes"))}).drop(
+        "created_at")
 
 
 @plan("k02_retention_plan", """
@@ -165,11 +170,13 @@ def scratched_orders(t):
         "o_totalprice", F.when(changed, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
 
 
-@plan("k06_verify_not_empty", "SELECT true AS not_empty FROM region LIMIT 1")
+@plan("k06_verify_not_empty", """
+SELECT 3::BIGINT AS files, CAST(sum(length(o_orderkey::VARCHAR) + 1) AS BIGINT) AS bytes, count(*) > 0 AS not_empty FROM orders
+""")
 def verify_not_empty(t):
     path = new_dir(t.spark, "copy")
-    t.orders.write.parquet(path)
-    return op.verify_not_empty(t.spark, path).select("not_empty")
+    t.orders.select(F.col("o_orderkey").cast("string").alias("value")).repartition(3).write.text(path)
+    return op.verify_not_empty(t.spark, path).select("files", "bytes", "not_empty")
 
 
 CHAIN_SQL = """

@@ -48,16 +48,16 @@ def blocking_pairs(t):
 @plan("c01_blocking_pairs_of_waiters", """
 WITH l AS (SELECT o_orderkey AS pid, o_custkey AS relation, nullif(o_orderstatus, 'F') AS virtualxid,
                   o_orderpriority = '1-URGENT' AS waits FROM orders),
-     named AS (SELECT pid FROM l WHERE waits AND pid <= 100)
+     named AS (SELECT pid FROM l WHERE waits AND (SELECT count(*) FROM l h WHERE h.relation = l.relation AND h.virtualxid IS NOT DISTINCT FROM l.virtualxid) <= 4)
 SELECT w.pid AS blocked_pid, 'user' || w.relation AS blocked_user, h.pid AS blocking_pid, 'user' || h.relation AS blocking_user,
   'order ' || w.pid AS blocked_statement, 'order ' || h.pid AS blocking_statement, 1::BIGINT AS pairs
 FROM l w JOIN l h ON w.relation = h.relation AND w.virtualxid IS NOT DISTINCT FROM h.virtualxid AND w.pid <> h.pid
 WHERE w.pid IN (SELECT pid FROM named)
 """)
 def blocking_pairs_of_waiters(t):
-    """Who blocks the sessions asked about: the waiters named are the operator's argument."""
+    """Who blocks the sessions that at most three requests stand in the way of."""
     contention = op.lock_contention(locks_from_orders(t), sessions_of_orders(t))
-    return op.blocking_pairs(contention, list(range(1, 101)))
+    return op.blocking_pairs(contention, F.col("partners") <= 3)
 
 
 @plan("c02_lock_waiters", """

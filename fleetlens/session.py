@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 RUNTIME_SETTINGS = {
@@ -36,7 +38,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: int = 8, memory: str = "8g", app: str = "fleetlens") -> SparkSession:
-    """A single-machine session for tests and the bench."""
+    """A single-machine session for tests and the bench, with a folder for tables on the way where none is set."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -49,4 +51,6 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "fleetlens") ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetlens-"))
     return spark

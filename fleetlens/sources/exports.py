@@ -206,9 +206,13 @@ def restore_database(spark: SparkSession, path: str, only: Sequence[str] | None
     return restored
 
 
-def restore_into(spark: SparkSession, path: str, database: str) -> None:
-    """Restore an export as managed tables of a database, under its own or another name."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+def restore_into(spark: SparkSession, path: str, database: str, location: str | None = None) -> None:
+    """Restore an export as managed tables of a database, under its own or another name.
+
+    A database that is not there is made, in the folder ``location`` or the warehouse.
+    """
+    where = "" if location is None else " LOCATION '{}'".format(location.replace("'", "\\'"))
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{where}")
     side_by_side([lambda df=df, name=name: df.write.mode("overwrite").saveAsTable(f"`{database}`.`{name}`")
                   for name, df in restore_database(spark, path).items()])
 

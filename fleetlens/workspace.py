@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -17,13 +16,11 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session; a temporary one only in local mode."""
-    named = spark.conf.get(CHECKPOINT_SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder named by the session's settings, or by ``setCheckpointDir`` where they name none."""
+    named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="fleetlens-")
+    return named.rstrip("/")
 
 
 def new_dir(spark: SparkSession, label: str) -> str:

@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from tests.compare import difference, duck
 
 SF_DIR = os.environ.get("FLEETLENS_SF_DIR", "/root/testdata/sf0.001")
+LARGER_DIR = "/root/testdata/sf0.01"
 CORPUS = set(entry.corpus_queries())
 QUERIES, ORACLES = ({name: of[name] for name in of if name not in CORPUS} for of in (entry.queries(), entry.oracle_sql()))
 
@@ -22,7 +23,10 @@ def con():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
     problem = difference(QUERIES[name](spark, SF_DIR), con, ORACLES[name])
-    assert problem in (None, "no rows")
+    if problem == "no rows":
+        # Too few rows in the smallest tables: an answer without rows says nothing, so larger ones decide.
+        problem = difference(QUERIES[name](spark, LARGER_DIR), duck(LARGER_DIR), ORACLES[name])
+    assert problem is None
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
