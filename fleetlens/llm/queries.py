@@ -86,8 +86,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     decisions = lines.line_decisions(docs)
-    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    return counted.join(decisions, "doc_id", "left").select(
+    counted = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    return counted.join(decisions, ["doc_id", "text_hash"], "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"),
         F.coalesce("kept_in", F.array().cast("array<bigint>")).alias("kept_in"))

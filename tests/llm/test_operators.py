@@ -11,7 +11,6 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -321,36 +320,55 @@ def test_simhash_and_edit_distance():
         assert lines.edit_distance(a, b) == row[-1]
 
 
-@pytest.mark.parametrize("blocks", [5, 6, 7])
-def test_near_hashes_share_blocks(blocks):
-    rng, layout = random.Random(5), lines.Layout(blocks)
+def plain_line(line):
+    """Lower case, words of ASCII letters, digits and all that is not ASCII, one space between them; marks where there is no word."""
+    words = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), line))
+    marks = line.encode().strip().decode()
+    return " ".join(words) or (marks and "\0" + marks)
+
+
+@pytest.mark.parametrize("words, edits, least", [(10, 1, 1.0), (10, 3, 0.9), (20, 4, 0.93), (50, 8, 0.95), (150, 20, 0.95)])
+def test_similar_lines_agree_in_a_block(words, edits, least):
+    """Letters changed anywhere, fewer than one in ten: the share of pairs that meet, by length."""
+    rng, met, all_ = random.Random(5), 0, 0
     for _ in range(200):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), rng.randrange(4)):
-            b ^= 1 << bit
-        met = [layout.first_met(np.array([a, b], np.uint64), t)[0, 1] for t in range(len(layout.tables))]
-        assert sum(met) == 1
+        a = " ".join("".join(rng.choices("etaoinshrdlucm", k=rng.randrange(3, 9))) for _ in range(words))
+        b = list(a)
+        for _ in range(edits):
+            b[rng.choice([i for i, c in enumerate(b) if c != " "])] = rng.choice("qxzj")
+        two = lines.Lines([a.encode(), "".join(b).encode()])
+        assert (two.chars == len(a)).all()
+        if len(a) >= 40 and lines.similar(a, "".join(b), 0.9):
+            first, second = two.blocks(np.arange(2)).tolist()
+            met, all_ = met + bool({*first} & {*second}), all_ + 1
+    assert all_ > 100 and met >= least * all_
+
+
+def test_compared_form():
+    texts = ["Hello, World!\n\n  --- \nfoo  bar.\n", "x", " a b ", " ", "\n", "éÀ b--c\n---", ""]
+    found = lines.Lines([text.encode() for text in texts])
+    expected = [(t, i, plain_line(line)) for t, text in enumerate(texts) for i, line in enumerate(text.split("\n"))]
+    own = [found.data[a:b].decode() for a, b in zip(found.starts, found.ends)]
+    assert list(zip(found.text_of, found.number)) == [(t, i) for t, i, _ in expected]
+    assert own == [line if not line.startswith("\0") else "" for *_, line in expected]
+    assert [found.node(i) is None for i in range(len(own))] == [not line for *_, line in expected]
 
 
 def brute_lines(texts):
-    seen, words = [], {}
-    for i in sorted(texts):
-        for at, own in enumerate(lines.plain_lines(texts[i])):
-            if len(own) >= 5:
-                seen.append((i, at, b" ".join(own)))
-                words[b" ".join(own)] = own
-    long = [key for key, own in words.items() if len(own) >= 8]
-    bits = []
-    for key in long:
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in dict.fromkeys(words[key])], np.uint64)
-        bits.append(lines.simhashes(hashes, np.array([len(hashes)]))[0])
-    root = {key: key for key in words}
-    for a in range(len(long)):
-        for b in range(a):
-            if int(bits[a] ^ bits[b]).bit_count() <= 3 and lines.similar(long[a].decode(), long[b].decode(), 0.9):
-                old, new = root[long[a]], root[long[b]]
-                root = {key: new if r == old else r for key, r in root.items()}
+    """Lost lines by equality and edit similarity alone, every pair compared."""
+    seen = [(i, at, plain_line(line)) for i in sorted(texts) for at, line in enumerate((texts[i] or "").split("\n")) if plain_line(line)]
+    root = {key: key for *_, key in seen}
+    long = sorted((key for key in root if len(key) >= 40), key=len)
+    members = {key: [key] for key in root}
+    for a, one in enumerate(long):
+        for other in long[a + 1:]:
+            if len(one) < 0.9 * len(other):
+                break
+            if root[one] != root[other] and lines.similar(one, other, 0.9):
+                old, new = root[one], root[other]
+                members[new] += members[old]
+                for key in members.pop(old):
+                    root[key] = new
     first, lost = {}, {}
     for i, at, key in seen:
         if first.setdefault(root[key], (i, at)) != (i, at):
@@ -358,6 +376,33 @@ def brute_lines(texts):
     return lost
 
 
+def test_short_and_unspaced_lines(make):
+    rows = [(1, "one two three\n\n***\nyes"), (2, "One, two: three!\n\n***\nno"), (3, "漢字" * 20 + "\nyes"), (4, "漢字" * 20 + "\n  \n"),
+            (5, "漢字" * 19 + "漢文\n#"), (6, "#\n##")]
+    found = {r.doc_id: r.dropped for r in lines.line_decisions(make(rows, "doc_id long, text string")).collect()}
+    assert found == brute_lines(dict(rows)) == {2: [0, 2], 3: [1], 4: [0], 5: [0], 6: [0]}
+
+
+def test_lines_of_texts_under_one_id(make):
+    rows = [(1, "a clean first line of text one\nshared line"), (1, "shared line\nanother clean line"), (1, "shared line\nanother clean line"), (0, "shared line")]
+    docs = make(rows, "doc_id long, text string")
+    left = sorted((r.doc_id, r.text) for r in lines.without_lines(docs, lines.line_decisions(docs)).collect())
+    assert left == [(0, "shared line"), (1, "a clean first line of text one"), (1, "another clean line"), (1, "another clean line")]
+
+
+@pytest.mark.parametrize("rounds, block", [(3, 128), (1, 16), (0, 8)])
+def test_large_blocks_of_unlike_groups(make, monkeypatch, rounds, block):
+    """A passage shared by lines of many groups: leaders settle some, pairs of sub-blocks the rest."""
+    monkeypatch.setattr(lines, "ROUNDS", rounds)
+    monkeypatch.setattr(lines, "BLOCK", block)
+    rng = random.Random(3)
+    bases = ["".join(rng.choices("abcdefghij klm", k=120)) for _ in range(12)]
+    passage = "a passage that stands in very many lines of all the groups there are in this table of texts"
+    rows = [(i, f"{bases[i % 12]} {passage} {bases[i % 12][::-1]} {i:04d}") for i in range(150)]
+    found = {r.doc_id: r.dropped for r in lines.line_decisions(make(rows, "doc_id long, text string")).collect()}
+    assert found == brute_lines(dict(rows)) and len(found) == 138
+
+
 def test_lines(make, spark, texts):
     found = result(spark, "op8", make)
     lost = brute_lines(texts)
