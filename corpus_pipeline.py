@@ -35,25 +35,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group stays, once if its row is repeated.
 
-    Documents without an id cannot be named and stay.
+    Different texts under one id are documents of their own, named by a number
+    above all ids. Documents without an id cannot be named and stay.
     """
     tune(spark)
     repeated = land(docs.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).filter("n > 1 and _again is not null")
                     .select("_again"), "pipeline-repeated")
+    named = docs.withColumn("_name", F.col("doc_id").cast("long"))
     if not repeated.isEmpty():
         again = small(repeated)
-        docs = docs.join(again, docs["doc_id"] == F.col("_again"), "left_anti").unionByName(
-            docs.join(again, docs["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]))
-    copies = land(near.near_copies(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("_copy")), "pipeline-copies")
-    return docs.join(small(copies), docs["doc_id"] == F.col("_copy"), "left_anti")
+        above = F.lit(1 << 62).bitwiseOR(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1)))
+        named = named.join(again, docs["doc_id"] == F.col("_again"), "left_anti").unionByName(
+            docs.join(again, docs["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("_name", above))
+    copies = land(near.near_copies(named.select(F.col("_name").alias("doc_id"), "text")).filter("class_id <> doc_id").select(
+        F.col("doc_id").alias("_copy")), "pipeline-copies")
+    return named.join(small(copies), F.col("_name") == F.col("_copy"), "left_anti").drop("_name")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item; those without an id stay."""
+    """Documents that hold no passage of a benchmark item; those without an id stay. Texts under one id are judged each by itself."""
     tune(spark)
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    leaked = land(leaks.leaked_passages(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct(), "pipeline-leaks")
-    return docs.join(small(leaked), docs["doc_id"] == F.col("_leaked"), "left_anti")
+    name = F.xxhash64(F.col("doc_id"), F.col("text"))
+    leaked = land(leaks.leaked_passages(docs.filter("doc_id is not null").select(name.alias("doc_id"), "text"), benchmark).select(
+        F.col("doc_id").alias("_leaked")).distinct(), "pipeline-leaks")
+    return docs.join(small(leaked), docs["doc_id"].isNotNull() & (F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_leaked")), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
