@@ -25,6 +25,19 @@ def test_repeated_rows_leave_one(spark, make):
     assert sorted(row.doc_id for row in pipeline.near_duplicates(spark, docs, SF_DIR).collect()) == [1, 3]
 
 
+def test_texts_under_one_id_are_judged_each_by_itself(spark, make):
+    """A clean text beside a leaked one, a unique one beside a copy."""
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first().text
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words, "en", "s", 1), (2, words, "en", "s", 1), (2, "quite another text of the same id", "en", "s", 1),
+            (3, f"so it goes and then we asked {item} and so on", "en", "s", 1), (3, "nothing of the kind", "en", "s", 1)]
+    docs = make(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, SF_DIR).collect())
+    assert left == sorted((i, t) for i, t, *_ in rows if (i, t) != (2, words))
+    clean = sorted((r.doc_id, r.text) for r in pipeline.decontaminated(spark, docs, SF_DIR).collect())
+    assert clean == sorted((i, t) for i, t, *_ in rows if item not in t)
+
+
 def test_run(spark, make):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     texts = {row.doc_id: row.text for row in docs.collect()}
