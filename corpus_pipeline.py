@@ -39,14 +39,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     above all ids. Documents without an id cannot be named and stay.
     """
     tune(spark)
-    repeated = land(docs.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).filter("n > 1 and _again is not null")
-                    .select("_again"), "pipeline-repeated")
+    own = F.xxhash64("text")
+    repeated = land(docs.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n"), (F.min(own) != F.max(own)).alias("_differ")).filter(
+        "n > 1 and _again is not null").drop("n"), "pipeline-repeated")
     named = docs.withColumn("_name", F.col("doc_id").cast("long"))
     if not repeated.isEmpty():
         again = small(repeated)
         above = F.lit(1 << 62).bitwiseOR(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1)))
+        once = docs.join(again, docs["doc_id"] == F.col("_again")).dropDuplicates(["doc_id", "text"])
         named = named.join(again, docs["doc_id"] == F.col("_again"), "left_anti").unionByName(
-            docs.join(again, docs["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("_name", above))
+            once.withColumn("_name", F.when(F.col("_differ"), above).otherwise(F.col("doc_id").cast("long"))).drop("_again", "_differ"))
     copies = land(near.near_copies(named.select(F.col("_name").alias("doc_id"), "text")).filter("class_id <> doc_id").select(
         F.col("doc_id").alias("_copy")), "pipeline-copies")
     return named.join(small(copies), F.col("_name") == F.col("_copy"), "left_anti").drop("_name")
