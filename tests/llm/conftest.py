@@ -6,11 +6,8 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 @pytest.fixture(scope="session")
-def make(spark, tmp_path_factory):
-    """DataFrames from rows; the session gets a shared folder where it has none."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
-
+def make(spark):
+    """DataFrames from rows."""
     def build(rows, schema):
         return spark.createDataFrame(rows, schema).repartition(3)
     return build
