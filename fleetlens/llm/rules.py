@@ -4,8 +4,10 @@ Two histograms describe a text: classes of characters, and shares of common
 words. Each is compared with the histogram of a whole language by the
 Jensen-Shannon distance (base 2, so 0 to 1). The language histograms are sums
 over all documents of that language; a document without a language is compared
-with every language and judged by the nearest. Short texts say little about a
-distribution, so a guard on their length leaves them to the base rules.
+with every language and judged by the nearest. How far is too far is measured,
+too: quantiles of the distances that a language's own documents have. Short
+texts say little about a distribution, so a guard on their length leaves them
+to the base rules.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ COMMON_WORDS = {
 }
 WORDS = sorted({word for words in COMMON_WORDS.values() for word in words})
 
-# Classes of the characters that are neither plain lower-case letters nor white space.
+# Classes of characters but white space; the first also counts the plain letters, all others are the last bin.
 CHAR_CLASSES = ["\\p{Ll}", "\\p{Lu}", "\\p{Lo}\\p{Lt}\\p{Lm}", "\\p{N}", ".,;:!?'\"()-", "#*$%&|<>"]
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -64,11 +66,12 @@ def features(docs: DataFrame) -> DataFrame:
     windows = F.when(F.size("words") >= 3, F.sort_array(F.slice(
         F.arrays_zip(window_hashes.alias("h"), F.sequence(F.lit(0), F.size("words") - 1).alias("at")), 1, F.size("words") - 2)))
     counts = F.array(*[F.size("common") - F.size(F.array_remove("common", word)) for word in WORDS])
+    plain = (F.col("word_chars") - F.length("marks")).cast("int")
     kept = ["doc_id", "lang", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "classes"]
     found = counted.select(
         "doc_id", "lang", "text_hash", "n_words", "word_chars",
         F.length(F.regexp_replace("marks", SYMBOLS, "")).cast("long").alias("n_symbols"), "n_dup_lines",
-        F.array(*[_count_of(F.col("marks"), chars) for chars in CHAR_CLASSES]).alias("classes"),
+        F.array(plain + _count_of(F.col("marks"), CHAR_CLASSES[0]), *[_count_of(F.col("marks"), chars) for chars in CHAR_CLASSES[1:]]).alias("classes"),
         counts.alias("shares"), windows.alias("sorted"))
     # A window repeats if its neighbour in the sorted row has the same hash.
     repeats = F.filter(F.zip_with(
@@ -111,43 +114,76 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, b: a + b) / 2))
 
 
-def _nearest(counts: str) -> Column:
-    return F.array_min(F.transform("refs", lambda ref: divergence(F.col(counts), ref[counts])))
+def _of_language(known: DataFrame) -> Column:
+    """All rows of a table with one row per language, as one array: bounded by the number of languages."""
+    return known.agg(F.collect_list(F.struct(*known.columns))).scalar()
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, guard_chars: int = 200,
-                  guard_words: int = 100, max_class_distance: float = 0.3, max_word_distance: float = 0.4) -> DataFrame:
-    """Judge every document of (doc_id, text, lang).
+def limits(measured: DataFrame, known: DataFrame, guard_chars: int, guard_words: int, spread: float, least_class: float, least_word: float) -> DataFrame:
+    """``known`` with ``class_limit`` and ``word_limit``, from the distances of all documents of a language that are long enough.
+
+    The limit is the median and ``spread`` times the way to it from the first
+    quartile, as junk lies far and widens the upper half only; at least the
+    smallest limits given, also where no document is long enough.
+    """
+    own = measured.filter("lang is not null").withColumn("refs", _of_language(known)).withColumn(
+        "ref", F.get(F.filter("refs", lambda ref: ref["lang"] == F.col("lang")), F.lit(0)))
+    far = own.select("lang", F.when(F.col("word_chars") >= guard_chars, divergence(shares(F.col("classes")), F.col("ref.classes"))).alias("class"),
+                     F.when(F.col("n_words") >= guard_words, divergence(shares(F.col("shares")), F.col("ref.shares"))).alias("word"))
+    quarters = far.groupBy("lang").agg(*[F.percentile_approx(name, [0.25, 0.5], 1000).alias(name) for name in ("class", "word")])
+
+    def limit(name: str, least: float) -> Column:
+        low, high = F.get(name, F.lit(0)), F.get(name, F.lit(1))
+        return F.greatest(F.coalesce(high + spread * (high - low), F.lit(least)), F.lit(least))
+    found = quarters.select(F.col("lang").alias("of"), limit("class", least_class).alias("class_limit"), limit("word", least_word).alias("word_limit"))
+    return known.join(found, F.col("lang") == F.col("of")).drop("of")
+
+
+def _nearest(counts: str, limit: str) -> Column:
+    """(excess, distance) of the language whose limit is least exceeded; an excess over 1 is too far."""
+    def measure(ref: Column) -> Column:
+        far = divergence(F.col(counts), ref[counts])
+        return F.struct((far / ref[limit]).alias("excess"), far.alias("distance"))
+    return F.array_min(F.filter(F.transform("refs", measure), lambda found: found["distance"].isNotNull()))
+
+
+def quality_rules(docs: DataFrame, **limits: float) -> DataFrame:
+    """Judge every document of (doc_id, text, lang); ``limits`` are those of ``judge``.
 
     ``base_failed``: fewer than ``min_words`` words, or more than
     ``max_repeat_percent`` per cent of them in repeated three-word windows.
-    ``kept`` is false for those, and for texts whose character classes lie
-    further than ``max_class_distance`` from their language (from
-    ``guard_chars`` characters on) or whose common words lie further than
-    ``max_word_distance`` (from ``guard_words`` words on).
+    ``kept`` is false for those, and for texts whose character classes (from
+    ``guard_chars`` characters on) or common words (from ``guard_words`` words
+    on) lie further from their language than its ``limits``.
 
     NULL and empty texts have no words and fail. A NULL or unheard-of language
     means the nearest one; where no document has a language, only the base
-    rules decide. Repeated rows give repeated rows. Other columns are ignored.
+    rules decide. A language's documents are its reference however few they
+    are, so one document alone is never far from its language. Repeated rows give repeated rows. Other columns are ignored.
     """
-    return judge(docs, min_words, max_repeat_percent, guard_chars, guard_words, max_class_distance, max_word_distance).drop("text_hash")
+    return judge(docs, **limits).drop("text_hash")
 
 
-def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, guard_chars: int = 200,
-          guard_words: int = 100, max_class_distance: float = 0.3, max_word_distance: float = 0.4) -> DataFrame:
-    """As ``quality_rules``, with ``text_hash`` to tell texts under one id apart."""
+def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, guard_chars: int = 200, guard_words: int = 100,
+          spread: float = 3.0, least_class: float = 0.3, least_word: float = 0.25) -> DataFrame:
+    """As ``quality_rules``, with ``text_hash`` to tell texts under one id apart.
+
+    ``least_class`` leaves room for the long number or key in a short clean
+    text; a text of ``guard_words`` words that has its language's common words
+    in their usual shares stays below ``least_word`` by far.
+    """
     measured = land(features(docs), "rules-features")
-    # One row per language, gathered into one array: bounded by the number of languages.
-    known = references(measured).select("lang", shares(F.col("classes")).alias("classes"), shares(F.col("shares")).alias("shares"))
-    packed = known.agg(F.collect_list(F.struct("lang", "classes", "shares"))).scalar()
-    rows = measured.withColumns({"refs": packed, "classes": shares(F.col("classes")), "shares": shares(F.col("shares"))})
+    known = land(references(measured).select("lang", shares(F.col("classes")).alias("classes"), shares(F.col("shares")).alias("shares")), "rules-languages")
+    known = land(limits(measured, known, guard_chars, guard_words, spread, least_class, least_word), "rules-limits")
+    rows = measured.withColumns({"refs": _of_language(known), "classes": shares(F.col("classes")), "shares": shares(F.col("shares"))})
     own = F.filter("refs", lambda ref: ref["lang"] == F.col("lang"))
     rows = rows.withColumn("own", own).withColumn("refs", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("refs")))
-    rows = rows.withColumn("class_distance", _nearest("classes")).withColumn("word_distance", _nearest("shares"))
+    rows = rows.withColumn("class", _nearest("classes", "class_limit")).withColumn("word", _nearest("shares", "word_limit"))
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    odd_classes = (F.col("word_chars") >= guard_chars) & (F.col("class_distance") > max_class_distance)
-    odd_words = (F.col("n_words") >= guard_words) & (F.col("word_distance") > max_word_distance)
+    odd_classes = (F.col("word_chars") >= guard_chars) & (F.col("class.excess") > 1)
+    odd_words = (F.col("n_words") >= guard_words) & (F.col("word.excess") > 1)
     return rows.select(
         "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"),
         (~base_failed & ~F.coalesce(odd_classes, F.lit(False)) & ~F.coalesce(odd_words, F.lit(False))).alias("kept"),
-        "class_distance", "word_distance")
+        F.col("class.distance").alias("class_distance"), F.col("word.distance").alias("word_distance"),
+        F.col("class.excess").alias("class_excess"), F.col("word.excess").alias("word_excess"))

@@ -248,16 +248,57 @@ def test_rules(make, spark, texts):
         assert not (row.base_failed and row.kept)
 
 
+def jensen_shannon(p, q):
+    p, q = np.array(p) / sum(p), np.array(q) / sum(q)
+    m = (p + q) / 2
+    return (sum(x * np.log2(x / y) for x, y in [*zip(p, m), *zip(q, m)] if x) / 2) ** 0.5
+
+
+def test_rule_verdicts(make, spark, documents):
+    """Histograms, language references, limits and verdicts by loops over whole texts."""
+    import regex
+    kinds = [r"\p{Ll}", r"\p{Lu}", r"[\p{Lo}\p{Lt}\p{Lm}]", r"\p{N}", r"[.,;:!?'\"()-]", r"[#*$%&|<>]"]
+    rows, sums = {}, {}
+    for row in documents.collect():
+        words = [w for w in re.split("[\x20\x09-\x0D]+", row.text) if w]
+        chars = "".join(words)
+        classes = [len(regex.findall(kind, chars)) for kind in kinds]
+        counts = Counter(words)
+        common = [counts[w] for w in rules.WORDS]
+        rows[row.doc_id] = row.lang, len(words), len(chars), [*classes, len(chars) - sum(classes)], [*common, len(words) - sum(common)]
+        if row.lang:
+            for k in (0, 1):
+                sums[row.lang, k] = np.array(rows[row.doc_id][3 + k], float) + sums.get((row.lang, k), 0)
+    guards, least = (200, 100), (0.3, 0.25)
+    limits = {}
+    for (lang, k), ref in sums.items():
+        far = sorted(jensen_shannon(r[3 + k], ref) for r in rows.values() if r[0] == lang and r[2 - k] >= guards[k])
+        low, high = (far[-int(-len(far) * share // 1) - 1] for share in (0.25, 0.5))
+        limits[lang, k] = max(least[k], high + 3 * (high - low))
+    found = result(spark, "op6", make)
+    rejected = 0
+    for i, r in rows.items():
+        langs = [r[0]] if (r[0], 0) in sums else {lang for lang, _ in sums}
+        odd = [r[2 - k] >= guards[k] and min(jensen_shannon(r[3 + k], sums[lang, k]) / limits[lang, k] for lang in langs) > 1 for k in (0, 1)]
+        assert found[i].kept == (not found[i].base_failed and not any(odd))
+        rejected += any(odd) and not found[i].base_failed
+    assert rejected > 10
+
+
+@pytest.mark.parametrize("lang", ["en", "de", None])
+@pytest.mark.parametrize("letters", ["bcdfghjklmnpqrstvwxz", "@_/\\=+~{}[]^"])
+def test_planted_junk_is_rejected(make, documents, letters, lang):
+    rng = random.Random(5)
+    junk = " ".join("".join(rng.choices(letters, k=rng.randint(2, 8))) for _ in range(600))
+    docs = documents.select("doc_id", "text", "lang").union(make([(-1, junk, lang)], "doc_id long, text string, lang string"))
+    assert [(row.kept, row.base_failed) for row in rules.quality_rules(docs).filter("doc_id = -1").collect()] == [(False, False)]
+
+
 def test_divergence(spark):
-    def distance(p, q):
-        p, q = np.array(p) / sum(p), np.array(q) / sum(q)
-        m = (p + q) / 2
-        parts = [x * np.log2(x / y) for x, y in [*zip(p, m), *zip(q, m)] if x]
-        return (sum(parts) / 2) ** 0.5
     for p, q in [([1.0, 2.0, 3.0], [3.0, 2.0, 1.0]), ([1.0, 0.0], [0.0, 1.0]), ([2.0, 2.0], [5.0, 5.0])]:
         a, b = (F.array(*[F.lit(x) for x in values]) for values in (p, q))
         got = spark.range(1).select(rules.divergence(rules.shares(a), rules.shares(b))).first()[0]
-        assert got == pytest.approx(distance(p, q), abs=1e-7)
+        assert got == pytest.approx(jensen_shannon(p, q), abs=1e-7)
 
 
 def test_rules_odd(odd_documents, no_documents):
