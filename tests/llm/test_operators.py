@@ -148,8 +148,89 @@ def test_leak_with_other_values(make):
 
 
 def test_inconsistent_slots_are_no_leak(make):
-    other = QUESTION.replace("12", "15", 1).replace("Anna", "Bertha", 1)
-    assert leak(make, other) == []
+    short = "A farmer named Anna buys 12 apples while Anna sells 12 pears"
+    assert len(leak(make, short.replace("12", "15").replace("Anna", "Bertha"), short)) == 1
+    assert leak(make, short.replace("12", "15", 1), short) == []
+    assert leak(make, short.replace("Anna", "Bertha", 1), short) == []
+
+
+def test_an_altered_number_ends_a_run(make):
+    item = " ".join([QUESTION, "and then counts what is left in both of the wooden boxes that stand behind the old door of the house"])
+    (row,) = leak(make, item.replace("12", "15", 1), item)
+    assert row.verbatim and 13 <= row.n_tokens < row.item_tokens
+
+
+@pytest.mark.parametrize("item, text", [
+    ("Which river flows through the old town of Vienna", None),
+    ("which river flows through the old town of Vienna", "Which river flows through the old town of Vienna"),
+    ("Anna has many apples and sells them on the market for seven coins", None),
+    ("Anna has many apples and sells them on the market for seven coins", "Bob has many apples and sells them on the market for seven coins"),
+    ("Anna has many apples and sells them on the market for seven coins", "anna has many apples and sells them on the market for seven coins"),
+    ("On the market Anna Smith sells many apples and then Anna Smith buys a very old book", "On the market Bob sells many apples and then Bob buys a very old book"),
+])
+@pytest.mark.parametrize("before", ["We then read ", "It ends. ", "Note: "])
+def test_leaks_whatever_stands_before(make, item, text, before):
+    docs = make([(1, f"{before}{text or item}, and on it goes from there")], "doc_id long, text string")
+    assert [row.item_id for row in leaks.leaked_passages(docs, make([(9, item)], "item_id long, text string")).collect()] == [9]
+
+
+def test_another_first_word_is_no_leak(make):
+    assert leak(make, "It is the very capital of Spain.", "What is the very capital of France") == []
+
+
+def brute_marked(text):
+    import regex
+    text = regex.sub(r"(?<=\p{N})[.,:](?=\p{N})", "", text)
+    spans = regex.finditer(r"(?<![\p{L}\p{N}])\p{Lu}\p{L}*(?:[ -]\p{Lu}\p{L}*){0,2}|\p{N}+|\p{L}+", text)
+    tokens = []
+    for span in spans:
+        word = span.group()
+        if regex.match(r"\p{N}", word):
+            tokens.append(("number", word))
+        elif regex.match(r"\p{Lu}", word) and not regex.match(r"[\p{L}\p{N}]", text[span.start() - 1:span.start()]):
+            tokens.append(("name", word.lower()))
+        elif tokens and tokens[-1][0] == "number" and regex.fullmatch(leaks.UNITS, word) and text[span.start() - 1].isspace():
+            tokens.append(("unit", word))
+        else:
+            tokens.append((word.lower(), word.lower()))
+    return tokens
+
+
+def brute_leak(text, item, least=13):
+    """The longest consistent run of equal templates, over all distances, by loops."""
+    best = 0
+    for own in {item, item.lower(), re.sub("[A-Za-z]", lambda letter: letter.group().swapcase(), item, count=1)}:
+        a, b = brute_marked(own), brute_marked(text)
+        for distance in range(-len(a), len(b)):
+            for start in range(len(a)):
+                mapping, n = {}, 0
+                for at in range(start, len(a)):
+                    if not 0 <= at + distance < len(b) or a[at][0] != b[at + distance][0] or mapping.setdefault(a[at], b[at + distance]) != b[at + distance]:
+                        break
+                    n += 1
+                best = max(best, n if n >= min(least, len(a)) else 0)
+    return best
+
+
+def test_leaks_against_loops(make):
+    rng = random.Random(4)
+    words = "the of a tree 12 7 km Anna Bob river green walks 30 over Clara".split()
+    items = {i: " ".join(rng.choices(words, k=rng.randint(14, 22))) for i in range(6)}
+    texts = {}
+    for i in range(60):
+        item = items[i % 6].split()
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(item))
+            item[at] = rng.choice(words)
+        texts[i] = " ".join([*rng.choices(words, k=rng.randint(0, 4)), *item, *rng.choices(words, k=3)])
+    found = leaks.leaked_passages(make(list(texts.items()), "doc_id long, text string"), make(list(items.items()), "item_id long, text string"))
+    got = {(row.doc_id, row.item_id): row.n_tokens for row in found.collect()}
+    expected = {(d, i): brute_leak(text, item) for d, text in texts.items() for i, item in items.items()}
+    expected = {key: n for key, n in expected.items() if n}
+    assert set(got) <= set(expected)
+    assert [(texts[d], items[i], got[d, i], expected[d, i]) for d, i in got if got[d, i] != expected[d, i]] == []
+    # A run without a single window that is half words is no evidence.
+    assert len(got) >= 0.9 * len(expected) > 20
 
 
 def test_short_item_and_unrelated_text(make):
