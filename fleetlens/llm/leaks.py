@@ -94,10 +94,12 @@ def leaked_passages(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN
     items = named.filter("item_id is not null").select("item_id", F.explode(_forms(F.col("text"))).alias("text")).select("item_id", marked(F.col("text")).alias("words"))
     items = land(items.filter("words <> ''").distinct().select(
         "item_id", F.xxhash64("words").alias("form"), "words", F.size(F.split("words", " ")).cast("long").alias("item_tokens")), "leaks-items")
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), marked(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    asked = land(_candidates(texts, items, min_tokens), "leaks-candidates")
-    # Only documents that share enough windows with an item are read again, for their tokens.
-    pairs = texts.join(small(asked.join(items.withColumnRenamed("words", "own").drop("item_tokens"), ["item_id", "form"])), "doc_id")
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    asked = land(_candidates(texts.select("doc_id", marked(F.col("text")).alias("words")), items, min_tokens), "leaks-candidates")
+    # Only documents that share enough windows with an item are marked again, for their tokens: the join comes first.
+    again = texts.join(small(asked.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", marked(F.col("text")).alias("words"))
+    own = asked.join(items.withColumnRenamed("words", "own").drop("item_tokens"), ["item_id", "form"])
+    pairs = land(again, "leaks-again").join(own, "doc_id")
     runs = _longest_run(pairs, min_tokens).filter(F.col("n_tokens") >= F.least(F.lit(min_tokens), F.col("item_tokens")))
     return runs.groupBy("doc_id", "item_id").agg(
         F.max("n_tokens").cast("long").alias("n_tokens"), F.max("item_tokens").alias("item_tokens"),
