@@ -38,10 +38,15 @@ CHUNK_ROWS = 250_000
 MAX_CHUNKS = 1 << 15
 # Rows sampled for every chunk.
 SAMPLED = 16
+# Splitters are looked up in a tree of this fan, so a row carries no more than that many at a time.
+FAN = 32
 
 _CHUNK = "_chunk"
 _CARRY = "_carry"
 _SPLITS = "_splits"
+_NODE = "_node"
+_PLACE = "_place"
+_AT = "_at"
 _HASH = "_hash"
 _ALL = "_all"
 
@@ -117,20 +122,56 @@ def splitters(df: DataFrame, keys: Sequence[str], place: Column, rows: int = CHU
     return sample.select(*keys, F.filter("_sample", lambda _, i: i % SAMPLED == SAMPLED - 1).alias(_SPLITS))
 
 
-def _search(place: Column, most: int = MAX_CHUNKS) -> Column:
-    """How many splitters a place has reached, by halving."""
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range((2 * most).bit_length()))])
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(_SPLITS, at + step - 1) <= place, at + step).otherwise(at)).cast("long")
+def _search(df: DataFrame, most: int) -> DataFrame:
+    """Add ``_at``: how many of at most ``most`` splitters a place has reached, by halving; 0 where there are none.
+
+    Every step is a projection of its own, so that Spark compiles it; a lambda would be interpreted for each row.
+    """
+    out = df.withColumn(_AT, F.lit(0))
+    for bit in reversed(range(most.bit_length())):
+        at = F.col(_AT)
+        out = out.withColumn(_AT, F.when(F.get(_SPLITS, at + ((1 << bit) - 1)) <= F.col(_PLACE), at + (1 << bit)).otherwise(at))
+    return out
+
+
+def _tree(splits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows (keys, _node, _splits) of the splitters of each key as a tree of three levels.
+
+    A leaf holds ``FAN`` splitters in a row, a node above the last splitter of
+    each of ``FAN`` full leaves, the root the last of each full node. A node is
+    numbered by its level (0 for the root) and the first splitter under it.
+    """
+    each = splits.select(*keys, F.posexplode(_SPLITS).alias("_i", "_split"))
+    levels = F.filter(
+        F.array(*[F.struct(F.lit(level).alias("level"), F.lit(under).alias("under"), F.lit(above).alias("above"))
+                  for level, under, above in ((0, FAN * FAN, 1 << 40), (1, FAN, FAN * FAN), (2, 1, FAN))]),
+        lambda level: (F.col("_i") + 1) % level["under"] == 0)
+    placed = each.withColumn("_level", F.explode(levels))
+    first = F.col("_i") - F.col("_i") % F.col("_level.above")
+    return placed.groupBy(*keys, _node(F.col("_level.level"), first).alias(_NODE)).agg(F.sort_array(F.collect_list("_split")).alias(_SPLITS))
+
+
+def _node(level: Column, first: Column) -> Column:
+    return level.cast("long") * F.lit(1 << 40) + first
+
+
+def _chunked(df: DataFrame, tree: DataFrame, keys: Sequence[str], place: Column) -> DataFrame:
+    """``df`` with the chunk of each row: how many splitters of its key it has reached, level by level."""
+    out = df.withColumns({_PLACE: place, _CHUNK: F.lit(0).cast("long")})
+    for level, (under, most) in enumerate(((FAN * FAN, 2 * FAN), (FAN, FAN - 1), (1, FAN - 1))):
+        out = _search(out.withColumn(_NODE, _node(F.lit(level), F.col(_CHUNK))).join(tree, [*keys, _NODE], "left"), most).withColumn(
+            _CHUNK, F.col(_CHUNK) + F.lit(under) * F.col(_AT)).drop(_SPLITS, _NODE, _AT)
+    return out.drop(_PLACE)
 
 
 def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rows: int) -> tuple[DataFrame, DataFrame]:
     """``df`` with the chunk of each row, and the rows of busy keys alone, which are the only ones with borders."""
     place = _place(df, order)
-    splits = F.broadcast(splitters(df, keys, place, rows))
-    chunk = F.when(F.col(_SPLITS).isNull(), F.lit(0)).otherwise(_search(place))
-    spread = chunk if keys == [_ALL] else F.when(_has_keys(keys), chunk).otherwise(F.col(_HASH))
-    whole = df.join(splits, list(keys), "left").withColumn(_CHUNK, spread).drop(_SPLITS)
-    return whole, df.join(splits, list(keys)).withColumn(_CHUNK, chunk).drop(_SPLITS)
+    splits = splitters(df, keys, place, rows)
+    tree = F.broadcast(_tree(splits, keys))
+    spread = F.col(_CHUNK) if keys == [_ALL] else F.when(_has_keys(keys), F.col(_CHUNK)).otherwise(F.col(_HASH))
+    whole = _chunked(df, tree, keys, place)
+    return whole.withColumn(_CHUNK, spread), _chunked(df.join(F.broadcast(splits.select(*keys)), list(keys)), tree, keys, place)
 
 
 def _prepared(df: DataFrame, by: Iterable[str] | str | None) -> tuple[DataFrame, list[str]]:

@@ -128,3 +128,19 @@ def test_splitters_are_bounded(spark):
     data, keys = chunks._prepared(spark.range(40_000).select((F.col("id") % 400).alias("k"), "id"), ["k"])
     found = chunks.splitters(data, keys, F.struct("id"), rows=10, most=16).collect()
     assert len(found) <= 16 and sum(len(r._splits) for r in found) <= 64
+
+
+def test_no_row_carries_all_splitters(spark, monkeypatch):
+    """Splitters are looked up in a tree: a node holds few however many there are, and the chunk is their count."""
+    monkeypatch.setattr(chunks, "FAN", 4)
+    df = spark.range(4000).select(F.when(F.col("id") % 5 != 0, F.lit("a")).when(F.col("id") % 2 == 0, F.lit("b")).alias("k"), ((F.col("id") * 37) % 501).alias("t"), "id")
+    data, keys = chunks._prepared(df, ["k"])
+    place = chunks._place(data, ["t", "id"])
+    splits = chunks.splitters(data, keys, place, rows=40)
+    held = [r.n for r in chunks._tree(splits, keys).select(F.size(chunks._SPLITS).alias("n")).collect()]
+    assert splits.select(F.max(F.size(chunks._SPLITS))).first()[0] > 50 and max(held) <= 8
+    whole, bordered = chunks._cut(data, keys, ["t", "id"], 40)
+    reached = F.size(F.filter(chunks._SPLITS, lambda s: s <= place))
+    for got in (whole.filter("k is not null"), bordered):
+        wrong = got.join(splits, keys).filter(F.col(chunks._CHUNK) != reached)
+        assert wrong.isEmpty() and got.select(chunks._CHUNK).distinct().count() > 50
