@@ -156,3 +156,16 @@ def test_counter_reset_gives_no_rate(spark):
     got = windows.counter_rate(df, ["s"], "ts", ["ops"], tie=["ops"]).orderBy("ts", "ops").collect()
     assert [(r.ops_delta, r.ops_rate, r.ops_reset) for r in got] == [
         (None, None, False), (20, 2.0, False), (None, None, True), (1, None, False)]
+
+
+def test_status_dumps_are_cut_over_files(spark, tmp_path):
+    """No file holds a whole long dump; in the order of their names they are the sorted dump, its mark first."""
+    from fleetlens.plans.backup import status_dumps
+    orders = spark.range(4000).select((F.col("id") * 7 % 4000).alias("o_orderkey"), F.when(F.col("id") % 10 == 0, "P").otherwise("O").alias("o_orderstatus"))
+    status_dumps(orders, str(tmp_path / "dumps"), rows=400)
+    for status, n in (("O", 3600), ("P", 400)):
+        parts = [path.read_text().splitlines() for path in sorted((tmp_path / "dumps" / f"o_orderstatus={status}").glob("part-*"))]
+        assert max(map(len, parts)) <= 1200 and (status == "P" or len(parts) >= 5)
+        mark, *lines = [line for part in parts for line in part]
+        found = [int(line.split(":")[1].split(",")[0]) for line in lines]
+        assert mark == "-- Database Export" and len(found) == n and found == sorted(found)
