@@ -525,6 +525,25 @@ def test_large_blocks_of_unlike_groups(make, monkeypatch, rounds, block):
     assert found == brute_lines(dict(rows)) and len(found) == 138
 
 
+@pytest.mark.parametrize("block", [128, 2])
+def test_a_line_like_one_that_is_like_the_leader(make, monkeypatch, block):
+    """All agree in one block: those at 8 edits are like the leader, those at 16 only like them, those at 60 only like each other."""
+    monkeypatch.setattr(lines, "BLOCK", block)
+    rng = random.Random(11)
+    base = "".join(rng.choices("abcdefghijklm", k=100))
+    rows = [(1, base)]
+    for i in range(5):
+        start = 16 * i
+        rows += [(10 + i, base[:start] + "x" * 8 + base[start + 8:]), (20 + i, base[:start] + "x" * 16 + base[start + 16:])]
+    rows += [(30 + i, base[:30] + "y" * 60 + base[90:-1] + str(i)) for i in range(3)]
+    far = [(40, "z" * 50 + base[50:])]
+    nodes = [(node, [7]) for node, _ in rows + far] + [(50, [8])]
+    found = lines.near_lines(make(nodes, "node long, blocks array<long>"), make([(n, t.encode()) for n, t in rows + far] + [(50, base.encode())], "node long, plain binary"), 0.9)
+    expected = {n: 30 if 30 <= n < 40 else 1 for n, _ in rows}
+    assert not any(lines.similar(base, dict(rows)[20 + i], 0.9) for i in range(5))
+    assert {r.node: r.root for r in found.collect()} == expected and found.count() == len(rows)
+
+
 def test_lines(make, spark, texts):
     found = result(spark, "op8", make)
     lost = brute_lines(texts)
