@@ -121,6 +121,15 @@ def _rows(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]
             yield row
 
 
+def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add each row of ``values`` to the row of ``total`` it belongs to, in order.
+
+    The same sums as ``np.add.at(total, rows, values)``, which takes a slow path for anything but flat arrays.
+    """
+    width = total.shape[1]
+    np.add.at(total.reshape(-1), (rows[:, None] * width + np.arange(width)).ravel(), values.ravel())
+
+
 def train_part(model: Model, triples: np.ndarray, counts: np.ndarray, noise: np.ndarray, rng: np.random.Generator,
                draws: int = 2, samples: int = 128, batch: int = 1024, rate: float = 0.2) -> None:
     """Noise-contrastive estimation with AdaGrad on (class, class before, one before that).
@@ -131,6 +140,8 @@ def train_part(model: Model, triples: np.ndarray, counts: np.ndarray, noise: np.
     squares = [np.full_like(part, 0.1) for part in parts]
     order = rng.choice(len(triples), draws * len(triples), p=counts / counts.sum())
     log_noise = np.log(noise)
+    # The scores of the drawn words are made in place: fresh memory for each step takes longer than the arithmetic.
+    rooms = np.empty((batch, samples), np.float32), np.empty((batch, samples))
     for at in range(0, len(order), batch):
         chosen = order[at:at + batch]
         word = triples[chosen, 0]
@@ -140,18 +151,25 @@ def train_part(model: Model, triples: np.ndarray, counts: np.ndarray, noise: np.
         query = sum(v * model.position[k] for k, v in enumerate(vectors))
         shift = np.log(samples)
         true = (query * model.outputs[word]).sum(1) + model.bias[word] - log_noise[word] - shift
-        false = query @ model.outputs[drawn].T + model.bias[drawn] - log_noise[drawn] - shift
+        narrow, false = (room[:len(chosen)] for room in rooms)
+        np.matmul(query, model.outputs[drawn].T, out=narrow)
+        narrow += model.bias[drawn]
+        np.subtract(narrow, log_noise[drawn], out=false)
+        false -= shift
         # Gradient of the log-likelihood of telling data from noise.
         up = ((1 - 1 / (1 + np.exp(-np.clip(true, -30, 30))))[:, None]).astype(np.float32)
-        down = (-1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32)
+        np.clip(false, -30, 30, out=false)
+        np.exp(np.negative(false, out=false), out=false)
+        false += 1
+        down = np.divide(-1, false, out=false).astype(np.float32)
         to_query = up * model.outputs[word] + down @ model.outputs[drawn]
         gradients = [np.zeros_like(part) for part in parts]
-        np.add.at(gradients[2], word, up * query)
-        np.add.at(gradients[2], drawn, down.T @ query)
+        _add_rows(gradients[2], word, up * query)
+        _add_rows(gradients[2], drawn, down.T @ query)
         np.add.at(gradients[3], word, up[:, 0])
         np.add.at(gradients[3], drawn, down.sum(0))
         for k, v in enumerate(vectors):
-            np.add.at(gradients[0], before[k], to_query * model.position[k])
+            _add_rows(gradients[0], before[k], to_query * model.position[k])
             gradients[1][k] = (to_query * v).sum(0)
         for part, square, gradient in zip(parts, squares, gradients, strict=True):
             gradient /= len(chosen) ** 0.5
