@@ -34,7 +34,11 @@ _S = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\
 WORDS = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{_S}\\p{{L}}\\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 CHUNK_BYTES = 2 << 20
+# White space of one byte, and bytes that one of several bytes may begin with.
+_SPACE, _WIDE = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = _WIDE[[0xE1, 0xE2, 0xE3]] = True
 NO_RANK = np.int64(1) << 40
+_SCATTER = np.uint64(0x9E3779B97F4A7C15)
 # Longer words are merged one by one: a matrix of them would be mostly padding.
 MATRIX_LENGTH = 48
 
@@ -74,11 +78,25 @@ class Vocabulary:
         self.keys = np.array(keys, np.int64)[order]
         # Rank and new id in one number, so that the smallest number is the best merge.
         self.merges = (np.array(ranks, np.int64) << 20 | np.array(made, np.int64))[order]
+        self._hash()
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         lengths = np.array([len(b) for b in self.token_bytes], np.int64)
         self.lengths, self.starts = lengths, np.concatenate([[0], np.cumsum(lengths)])
         self.bytes = np.frombuffer(b"".join(self.token_bytes), np.uint8)
 
+    def _hash(self) -> None:
+        """Put the pairs into slots by a hash, each into the first free one from its own on; about one in eight is taken."""
+        bits = max(4, int(len(self.keys)).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        # Room behind the last slot, so that none begins anew at the first.
+        self.slots, self.slot_merges = np.full((1 << bits) + len(self.keys) + 1, -1), np.full((1 << bits) + len(self.keys) + 1, NO_RANK)
+        slot, waiting = self.keys.astype(np.uint64) * _SCATTER >> self.shift, np.arange(len(self.keys))
+        while len(waiting):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]], self.slot_merges[slot[free]] = self.keys[waiting[free]], self.merges[waiting[free]]
+            placed = self.slots[slot] == self.keys[waiting]
+            waiting, slot = waiting[~placed], slot[~placed] + np.uint64(1)
+
     def words(self, text: str) -> list[str]:
         """Cut a text; strings of special tokens stay whole."""
         if self.split is None or not any(token in text for token in self.special):
@@ -90,9 +108,19 @@ class Vocabulary:
 
     def best(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Packed rank and id of merging each pair, NO_RANK where there is no merge."""
-        wanted = left << 20 | right
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return np.where((self.keys[at] == wanted) & (left >= 0) & (right >= 0), self.merges[at], NO_RANK)
+        # Below zero, and so no key, where one of them is.
+        wanted = (left << 20 | right).ravel()
+        found, open_ = np.full(len(wanted), NO_RANK), np.arange(len(wanted))
+        slot = wanted.astype(np.uint64) * _SCATTER >> self.shift
+        while len(open_):
+            here = self.slots[slot]
+            same = here == wanted
+            found[open_[same]] = self.slot_merges[slot[same]]
+            more = ~same & (here >= 0)
+            if not more.any():
+                break
+            wanted, open_, slot = wanted[more], open_[more], slot[more] + np.uint64(1)
+        return found.reshape(left.shape)
 
     def merge_long(self, word: bytes) -> list[int]:
         """Exact merges of one word with a heap: lowest rank first, leftmost among equals."""
@@ -123,18 +151,18 @@ class Vocabulary:
         return [i for i in now if i >= 0]
 
     def merge_many(self, words: list[bytes]) -> list[list[int]]:
-        """Exact merges of many words of one length class: every step merges the best pair of every row."""
+        """Exact merges of many words of one length class: every step merges the best pair of every row, which ends one place shorter."""
         length = max(map(len, words))
-        grid = np.full((len(words), length), -1, np.int64)
-        for row, word in enumerate(words):
-            grid[row, :len(word)] = self.first[np.frombuffer(word, np.uint8)]
-        pairs = self.best(grid[:, :-1], grid[:, 1:])
-        alive, rows = np.arange(len(words)), grid
+        sizes = np.array([len(word) for word in words])
+        rows = np.full((len(words), length), -1, np.int64)
+        rows[np.arange(length) < sizes[:, None]] = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        pairs = self.best(rows[:, :-1], rows[:, 1:])
+        alive = np.arange(len(words))
         done: list[list[int]] = [[]] * len(words)
-        columns = np.arange(length)
         while len(alive):
-            at = pairs.argmin(1) if length > 1 else np.zeros(len(alive), int)
-            value = pairs[np.arange(len(alive)), at] if length > 1 else np.full(len(alive), NO_RANK)
+            width = pairs.shape[1]
+            at = pairs.argmin(1) if width else np.zeros(len(alive), int)
+            value = pairs[np.arange(len(alive)), at] if width else np.full(len(alive), NO_RANK)
             over = value >= NO_RANK
             if over.any():
                 for row, ids in zip(alive[over].tolist(), rows[over].tolist(), strict=True):
@@ -143,18 +171,13 @@ class Vocabulary:
                 alive, rows, pairs, at, value = alive[keep], rows[keep], pairs[keep], at[keep], value[keep]
                 if not len(alive):
                     break
-            take = np.minimum(columns + (columns > at[:, None]), length - 1)
-            own = np.arange(len(alive))
-            merged = np.take_along_axis(rows, take, 1)
-            merged[:, -1] = -1
-            merged[own, at] = value & 0xFFFFF
-            moved = np.take_along_axis(np.concatenate([pairs, np.full((len(alive), 1), NO_RANK)], 1), take, 1)[:, :-1]
-            moved[:, -1] = NO_RANK
-            right = at < length - 1
-            moved[own[right], at[right]] = self.best(merged[own[right], at[right]], merged[own[right], at[right] + 1])
-            left = at > 0
-            moved[own[left], at[left] - 1] = self.best(merged[own[left], at[left] - 1], merged[own[left], at[left]])
-            rows, pairs = merged, moved
+            own, places = np.arange(len(alive)), np.arange(width + 1)
+            rows = rows[places != at[:, None] + 1].reshape(len(alive), width)
+            rows[own, at] = value & 0xFFFFF
+            pairs = pairs[places[:-1] != at[:, None]].reshape(len(alive), width - 1)
+            right, left = np.flatnonzero(at < width - 1), np.flatnonzero(at > 0)
+            pairs[right, at[right]] = self.best(rows[right, at[right]], rows[right, at[right] + 1])
+            pairs[left, at[left] - 1] = self.best(rows[left, at[left] - 1], rows[left, at[left]])
         return done
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
@@ -314,25 +337,69 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def encode_texts(values: list[str], vocab: Vocabulary, lexicon: Lexicon) -> list[np.ndarray]:
+class Cut:
+    """Texts cut into parts, and each different part into words: a word is looked at once for all parts like its own.
+
+    A part begins where white space follows something else, or with the text.
+    Words do too, and depend on nothing before them, so the words of the parts
+    are those of the texts. Texts that hold a special token are cut into words
+    at once.
+    """
+
+    def __init__(self, column: pa.Array, vocab: Vocabulary):
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+        body = column.buffers()[2] if len(column) else None
+        data = np.frombuffer(body, np.uint8)[offsets[0]:offsets[-1]] if body is not None else np.zeros(0, np.uint8)
+        offsets = (offsets - offsets[0]).astype(np.int64)
+        begins = np.zeros(len(data) + 1, bool)
+        begins[_after_words(data)] = True
+        begins[offsets] = True
+        whole = data.tobytes()
+        if any(token.encode() in whole for token in vocab.special):
+            for row, text in enumerate(column.to_pylist()):
+                if any(token in text for token in vocab.special):
+                    begins[offsets[row]:offsets[row + 1]] = False
+                    sizes = [len(word.encode()) for word in vocab.words(text)]
+                    begins[offsets[row] + np.cumsum([0, *sizes[:-1]])] = True
+        cuts = np.flatnonzero(begins)
+        # The last place of all is no part.
+        self.starts = np.searchsorted(cuts, offsets)
+        parts = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(whole)).dictionary_encode()
+        self.part = parts.indices.to_numpy()
+        in_parts = [[part] if part in vocab.special or _one_word(part) else WORDS.findall(part) for part in parts.dictionary.to_pylist()]
+        self.words_in = np.array([len(words) for words in in_parts], np.int64)
+        flat = [word for words in in_parts for word in words]
+        numbers = {word: i for i, word in enumerate(dict.fromkeys(flat))}
+        self.words = list(numbers)
+        self.word = np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat))
+
+
+def _one_word(part: str) -> bool:
+    """Latin letters, a space before them or not: what ``WORDS`` takes whole. It has the last say on all else."""
+    letters = part[1:] if part[0] == " " else part
+    return letters.isalpha() and (letters.isascii() or max(letters) < "\u0250")
+
+
+def _after_words(data: np.ndarray) -> np.ndarray:
+    """Places of white space that stands after something else; a few after characters of several bytes are left out."""
+    at = np.flatnonzero(_SPACE[data])
+    at = at[at > 0]
+    at = at[~_SPACE[data[at - 1]]]
+    one, two, three = (data[np.maximum(at - back, 0)] for back in (1, 2, 3))
+    return at[(one < 0x80) | ~((two == 0xC2) & ((one == 0x85) | (one == 0xA0)) | _WIDE[three] & (two >= 0x80))]
+
+
+def encode_texts(values: list[str] | pa.Array, vocab: Vocabulary, lexicon: Lexicon) -> list[np.ndarray]:
     """Token ids of each text."""
-    tokens: list[str] = []
-    counts = []
-    for text in values:
-        found = vocab.words(text)
-        counts.append(len(found))
-        tokens += found
-    numbers = {word: i for i, word in enumerate(dict.fromkeys(tokens))}
-    local = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-    distinct = [word.encode() for word in numbers]
+    found = Cut(pa.array(values, pa.string()) if isinstance(values, list) else values, vocab)
+    distinct = [word.encode() for word in found.words]
     at = lexicon.find(distinct)
-    for token, number in vocab.special.items():
-        if token in numbers:
-            at[numbers[token]] = -1
+    numbers = {word: i for i, word in enumerate(found.words) if word in vocab.special}
+    at[list(numbers.values())] = -1
     missing = np.flatnonzero(at < 0).tolist()
     merged = vocab.merge([distinct[i] for i in missing])
     for k, i in enumerate(missing):
-        special = vocab.special.get(distinct[i].decode())
+        special = vocab.special.get(found.words[i])
         if special is not None:
             merged[k] = [special]
     sizes = np.zeros(len(distinct), np.int64)
@@ -345,8 +412,12 @@ def encode_texts(values: list[str], vocab: Vocabulary, lexicon: Lexicon) -> list
         sizes[missing] = own
         starts[missing] = len(lexicon.ids) + np.cumsum(own) - own
     pool = np.concatenate([lexicon.ids, np.array([i for ids in merged for i in ids], np.int64)])
-    flat = pool[_spread(starts[local], sizes[local])].astype("<u4")
-    ends = np.concatenate([[0], np.cumsum(sizes[local])])[np.cumsum([0, *counts])]
+    # The ids of each different part, and with them those of the texts.
+    pool = pool[_spread(starts[found.word], sizes[found.word])].astype("<u4")
+    ends = np.concatenate([[0], np.cumsum(sizes[found.word])])[np.cumsum([0, *found.words_in])]
+    sizes = np.diff(ends)[found.part]
+    flat = pool[_spread(ends[found.part], sizes)]
+    ends = np.concatenate([[0], np.cumsum(sizes)])[found.starts]
     return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
 
@@ -359,21 +430,37 @@ def encode(docs: DataFrame, vocab_path: str, lexicon: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, words = vocabulary(vocab_path), _mapped(lexicon)
         for batch in pieces(batches, CHUNK_BYTES):
-            found = encode_texts(batch.column("text").to_pylist(), vocab, words)
+            found = encode_texts(batch.column("text"), vocab, words)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(ids) for ids in found], pa.int64()),
                 pa.array([ids.tobytes() for ids in found], pa.binary())], names=["doc_id", "n_tokens", "ids"])
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
+def decode_ids(packed: list[bytes], vocab: Vocabulary) -> pa.Array:
+    """The texts of packed ids, read as UTF-8 each by itself."""
+    ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
+    lengths = vocab.lengths[ids]
+    data = vocab.bytes[_spread(vocab.starts[ids], lengths)]
+    ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *(len(own) // 4 for own in packed)])]
+    whole = data.tobytes()
+    begins = data[ends[:-1][ends[:-1] < len(data)]]
+    try:
+        whole.decode()
+    except UnicodeDecodeError:
+        cut = True
+    else:
+        # All together may be right where a text ends within a character.
+        cut = bool(((begins & 0xC0) == 0x80).any())
+    if cut or len(whole) >= 1 << 31:
+        return pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())
+    return pa.StringArray.from_buffers(len(packed), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(whole))
+
+
 def decode(encoded: DataFrame, vocab_path: str) -> DataFrame:
     """Add ``text``, the bytes of the tokens read as UTF-8; special tokens appear as their strings."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
-        for batch in batches:
-            decoded = []
-            for packed in batch.column("ids").to_pylist():
-                ids = np.frombuffer(packed, "<u4").astype(np.int64)
-                decoded.append(vocab.bytes[_spread(vocab.starts[ids], vocab.lengths[ids])].tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], names=[*batch.schema.names, "text"])
+        for batch in pieces(batches, CHUNK_BYTES // 2):
+            yield pa.RecordBatch.from_arrays([*batch.columns, decode_ids(batch.column("ids").to_pylist(), vocab)], names=[*batch.schema.names, "text"])
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
