@@ -131,9 +131,14 @@ def _candidates(texts: DataFrame, items: DataFrame, min_tokens: int) -> DataFram
 
 def _longest_run(pairs: DataFrame, min_tokens: int) -> DataFrame:
     """Compare ``own`` with the tokens of ``words`` that stand ``distance`` on: the longest consistent run of each pair."""
-    pairs = pairs.withColumn("theirs", F.split("words", " ")).withColumn("own", F.split("own", " "))
-    pairs = pairs.withColumn("tokens", F.transform("own", lambda own, at: F.struct(
-        at.alias("at"), own.alias("own"), F.get("theirs", (at + F.col("distance")).cast("int")).alias("theirs")))).drop("words", "theirs", "own")
+    # The document's tokens are cut out before the lambda: what a lambda refers to is computed again for each of its tokens.
+    before = F.least(F.greatest(-F.col("distance"), F.lit(0)).cast("int"), F.size("own"))
+    beside = F.concat(F.array_repeat(F.lit(None).cast("string"), before), F.slice(
+        F.split("words", " "), F.greatest(F.col("distance"), F.lit(0)).cast("int") + 1, F.greatest(F.size("own") - before, F.lit(0))))
+    pairs = pairs.withColumn("own", F.split("own", " "))
+    pairs = pairs.withColumn("tokens", F.zip_with("own", beside, lambda own, theirs: F.struct(own.alias("own"), theirs.alias("theirs"))))
+    pairs = pairs.withColumn("tokens", F.transform("tokens", lambda token, at: F.struct(
+        at.alias("at"), token["own"].alias("own"), token["theirs"].alias("theirs")))).drop("words", "own")
     pairs = pairs.withColumn("slots", F.filter("tokens", lambda token: token["own"].rlike(f"^{MARKS}")))
 
     def agree(token: Column) -> Column:
@@ -156,7 +161,8 @@ def _longest_run(pairs: DataFrame, min_tokens: int) -> DataFrame:
         return F.struct((state["at"] + 1).alias("at"), start.alias("start"), F.when(longer, state["at"] + 1 - start).otherwise(state["n"]).alias("n"),
                         F.when(longer, start).otherwise(state["first"]).alias("first"))
     begin = F.struct(*[F.lit(0).alias(name) for name in ("at", "start", "n", "first")])
-    pairs = pairs.withColumn("run", F.aggregate("steps", begin, step)).drop("steps")
+    # A generator, as a filter on the run would else be moved below it and compute the run a second time.
+    pairs = pairs.withColumn("run", F.explode(F.array(F.aggregate("steps", begin, step)))).drop("steps")
     inside = F.filter("slots", lambda slot: (slot["at"] >= F.col("run.first")) & (slot["at"] < F.col("run.first") + F.col("run.n")))
     return pairs.withColumn("slots", inside).select(
         "doc_id", "item_id", "item_tokens", F.col("run.n").alias("n_tokens"),
