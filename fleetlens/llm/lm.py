@@ -30,6 +30,8 @@ CHUNK_BYTES = 8 << 20
 # The end of a text is a token with this hash.
 END = 0
 CONTEXT = 2
+# Columns at either side of a matrix product that may be summed in another order.
+EDGE = 8
 
 
 @dataclass
@@ -45,6 +47,14 @@ class Model:
         return len(self.top) + 1
 
 
+class _Numbers(dict):
+    """Words to numbers, a new word's given when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def chunks(docs: DataFrame, training: Column) -> DataFrame:
     """Landed rows (chunk, doc_ids, training, lengths, hashes, counts, tokens), one for about ``CHUNK_BYTES`` of text.
 
@@ -55,13 +65,10 @@ def chunks(docs: DataFrame, training: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in pieces(batches, CHUNK_BYTES):
-            numbers: dict[bytes, int] = {b"": 0}
+            numbers = _Numbers({b"": 0})
             lengths, parts = [], []
             for text in batch.column("text").to_pylist():
                 words = text.encode().lower().split()
-                for word in words:
-                    if word not in numbers:
-                        numbers[word] = len(numbers)
                 lengths.append(len(words) + 1)
                 parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 parts.append(np.zeros(1, np.int32))
@@ -130,6 +137,23 @@ def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     np.add.at(total.reshape(-1), (rows[:, None] * width + np.arange(width)).ravel(), values.ravel())
 
 
+def _noise_gradients(model: Model, query: np.ndarray, drawn: np.ndarray, offset: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """-1 / (1 + exp(offset - score)) of each query and drawn word; what a word that was drawn again takes is computed once."""
+    # A product rounds its outer columns otherwise, so draws there stand for themselves.
+    column = np.arange(len(drawn))
+    _, first, place = np.unique(2 * drawn + ((column < EDGE) | (column >= len(drawn) - EDGE)), return_index=True, return_inverse=True)
+    words = drawn[first]
+    # Laid out anew, as the product with a transposed view takes longer; of all draws, as another width rounds otherwise.
+    narrow = (query @ np.ascontiguousarray(model.outputs[drawn].T)).take(first, axis=1)
+    narrow += model.bias[words]
+    wide = room[:narrow.size].reshape(narrow.shape)
+    np.subtract(offset[words], narrow, out=wide)
+    np.clip(wide, -30, 30, out=wide)
+    np.exp(wide, out=wide)
+    wide += 1
+    return np.divide(-1, wide, out=wide).astype(np.float32).take(place, axis=1)
+
+
 def train_part(model: Model, triples: np.ndarray, counts: np.ndarray, noise: np.ndarray, rng: np.random.Generator,
                draws: int = 2, samples: int = 128, batch: int = 1024, rate: float = 0.2) -> None:
     """Noise-contrastive estimation with AdaGrad on (class, class before, one before that).
@@ -139,29 +163,22 @@ def train_part(model: Model, triples: np.ndarray, counts: np.ndarray, noise: np.
     parts = [model.inputs, model.position, model.outputs, model.bias]
     squares = [np.full_like(part, 0.1) for part in parts]
     order = rng.choice(len(triples), draws * len(triples), p=counts / counts.sum())
-    log_noise = np.log(noise)
+    log_noise, shift = np.log(noise), np.log(samples)
+    # All draws at once, the same that ``choice`` with ``p`` makes a step.
+    upto = noise.cumsum()
+    draws_of = (upto / upto[-1]).searchsorted(rng.random((-(-len(order) // batch), samples)), side="right")
     # The scores of the drawn words are made in place: fresh memory for each step takes longer than the arithmetic.
-    rooms = np.empty((batch, samples), np.float32), np.empty((batch, samples))
-    for at in range(0, len(order), batch):
+    room = np.empty(batch * samples)
+    for at, drawn in zip(range(0, len(order), batch), draws_of, strict=True):
         chosen = order[at:at + batch]
         word = triples[chosen, 0]
         before = [triples[chosen, 1 + k] for k in range(CONTEXT)]
-        drawn = rng.choice(len(noise), samples, p=noise)
         vectors = [model.inputs[c] for c in before]
         query = sum(v * model.position[k] for k, v in enumerate(vectors))
-        shift = np.log(samples)
         true = (query * model.outputs[word]).sum(1) + model.bias[word] - log_noise[word] - shift
-        narrow, false = (room[:len(chosen)] for room in rooms)
-        np.matmul(query, model.outputs[drawn].T, out=narrow)
-        narrow += model.bias[drawn]
-        np.subtract(narrow, log_noise[drawn], out=false)
-        false -= shift
         # Gradient of the log-likelihood of telling data from noise.
         up = ((1 - 1 / (1 + np.exp(-np.clip(true, -30, 30))))[:, None]).astype(np.float32)
-        np.clip(false, -30, 30, out=false)
-        np.exp(np.negative(false, out=false), out=false)
-        false += 1
-        down = np.divide(-1, false, out=false).astype(np.float32)
+        down = _noise_gradients(model, query, drawn, log_noise + shift, room)
         to_query = up * model.outputs[word] + down @ model.outputs[drawn]
         gradients = [np.zeros_like(part) for part in parts]
         _add_rows(gradients[2], word, up * query)
