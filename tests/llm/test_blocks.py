@@ -1,0 +1,14 @@
+"""What large groups cost before their rows are compared."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetlens.llm import lines
+from fleetlens.llm.runs import block_pairs
+
+
+def test_rows_of_a_large_group_are_sent_few_times(spark):
+    members = spark.range(1000).select(F.col("id").alias("node"), F.lit(7).alias("key"), F.lit(1000).alias("size"))
+    sent = block_pairs(members, "node", "size", lines.BLOCK).groupBy("node").count().agg(F.max("count"), F.count("*")).first()
+    assert tuple(sent) == (2, 1000)
