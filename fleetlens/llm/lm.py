@@ -248,7 +248,8 @@ def _unpacked(top: np.ndarray, flat: np.ndarray, shapes: list[tuple]) -> Model:
     parts, at = [], 0
     for shape in shapes:
         n = int(np.prod(shape))
-        parts.append(flat[at:at + n].reshape(shape).copy())
+        # Arrays that came by pickle have a type object of their own, for which ``np.add.at`` takes its slow path.
+        parts.append(flat[at:at + n].reshape(shape).astype(np.float32))
         at += n
     return Model(top, *parts)
 
