@@ -13,9 +13,12 @@ from ..functions.columns import names
 from ..functions.text import qualified_name
 from ..sources.exports import MANIFEST_SCHEMA
 from ..sources.files import file_heads, file_inventory, inventory_total
-from .chunks import DAY, running, time_chunk
+from .chunks import DAY, range_of, running, time_chunk
 from .ordering import top_n
 
+# Spans of one key that are summed up in one task.
+SPANS = 4096
+
 
 def retention_plan(catalog: DataFrame, as_of: times.Instant, days: int, rule: str = "cutoff",
                    created: str = "created") -> DataFrame:
@@ -265,7 +268,8 @@ def restore_member_counts(backups: DataFrame, chain: DataFrame, by: Sequence[str
         return F.max(F.when(F.col("end") == end, F.col(name))).alias(f"{end}_{name}")
     sums = placed.filter("rank = 1").groupBy(*keys, "target_id").agg(*[at(end, name) for end in ("base", "goal") for name in ("logs", "log_bytes", "at")])
     counted = logs.groupBy(*keys, "span").agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"))
-    spans = running(counted, keys, ["span"], sums={"n_end": F.col("n"), "size_end": F.col("size")})
+    # A span of a key is one row, so chunks of spans are cut without looking at them.
+    spans = running(counted, keys, ["span"], range_of("span", SPANS), sums={"n_end": F.col("n"), "size_end": F.col("size")})
     met = _spanned(sums.withColumnsRenamed({"base_at": "base_ts", "goal_at": "target_ts"}), keys, width).join(spans, [*keys, "span"])
 
     def within(end: Column, own: str, name: str) -> Column:

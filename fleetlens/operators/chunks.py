@@ -38,13 +38,14 @@ CHUNK_ROWS = 250_000
 MAX_CHUNKS = 1 << 15
 # Rows sampled for every chunk.
 SAMPLED = 16
-# Splitters are looked up in a tree of this fan, so a row carries no more than that many at a time.
+# Splitters are looked up in a tree of this fan, so a node holds no more than that many.
 FAN = 32
 
 _CHUNK = "_chunk"
 _CARRY = "_carry"
 _SPLITS = "_splits"
 _NODE = "_node"
+_TREE = "_tree"
 _PLACE = "_place"
 _AT = "_at"
 _HASH = "_hash"
@@ -126,12 +127,18 @@ def _search(df: DataFrame, most: int) -> DataFrame:
     """Add ``_at``: how many of at most ``most`` splitters a place has reached, by halving; 0 where there are none.
 
     Every step is a projection of its own, so that Spark compiles it; a lambda would be interpreted for each row.
+    The planner puts each step in place of its name in the next, where it stands twice. It cannot do so beyond a generator.
     """
     out = df.withColumn(_AT, F.lit(0))
     for bit in reversed(range(most.bit_length())):
         at = F.col(_AT)
-        out = out.withColumn(_AT, F.when(F.get(_SPLITS, at + ((1 << bit) - 1)) <= F.col(_PLACE), at + (1 << bit)).otherwise(at))
-    return out
+        out = out.withColumn(_AT, at + F.when(F.get(_SPLITS, at + ((1 << bit) - 1)) <= F.col(_PLACE), 1 << bit).otherwise(0))
+    return out.withColumn(_AT, F.explode(F.array(_AT)))
+
+
+def _levels() -> list[tuple[int, int, int]]:
+    """Of each level of the tree: splitters under one of a node's, under the whole node, and the most that a node holds."""
+    return [(FAN * FAN, 1 << 40, 2 * FAN), (FAN, FAN * FAN, FAN - 1), (1, FAN, FAN - 1)]
 
 
 def _tree(splits: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -144,7 +151,7 @@ def _tree(splits: DataFrame, keys: Sequence[str]) -> DataFrame:
     each = splits.select(*keys, F.posexplode(_SPLITS).alias("_i", "_split"))
     levels = F.filter(
         F.array(*[F.struct(F.lit(level).alias("level"), F.lit(under).alias("under"), F.lit(above).alias("above"))
-                  for level, under, above in ((0, FAN * FAN, 1 << 40), (1, FAN, FAN * FAN), (2, 1, FAN))]),
+                  for level, (under, above, _) in enumerate(_levels())]),
         lambda level: (F.col("_i") + 1) % level["under"] == 0)
     placed = each.withColumn("_level", F.explode(levels))
     first = F.col("_i") - F.col("_i") % F.col("_level.above")
@@ -155,23 +162,34 @@ def _node(level: Column, first: Column) -> Column:
     return level.cast("long") * F.lit(1 << 40) + first
 
 
-def _chunked(df: DataFrame, tree: DataFrame, keys: Sequence[str], place: Column) -> DataFrame:
-    """``df`` with the chunk of each row: how many splitters of its key it has reached, level by level."""
-    out = df.withColumns({_PLACE: place, _CHUNK: F.lit(0).cast("long")})
-    for level, (under, most) in enumerate(((FAN * FAN, 2 * FAN), (FAN, FAN - 1), (1, FAN - 1))):
-        out = _search(out.withColumn(_NODE, _node(F.lit(level), F.col(_CHUNK))).join(tree, [*keys, _NODE], "left"), most).withColumn(
-            _CHUNK, F.col(_CHUNK) + F.lit(under) * F.col(_AT)).drop(_SPLITS, _NODE, _AT)
-    return out.drop(_PLACE)
+def _trees(splits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row (keys, _tree) for each key: the nodes of each level in their order, which have no gap."""
+    nodes = _tree(splits, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(_NODE, _SPLITS))).alias(_TREE))
+
+    def of_level(level: int) -> Column:
+        return F.transform(F.filter(_TREE, lambda node: F.shiftright(node[_NODE], 40) == level), lambda node: node[_SPLITS])
+    return nodes.select(*keys, F.array(*[of_level(level) for level in range(len(_levels()))]).alias(_TREE))
+
+
+def _chunked(df: DataFrame, trees: DataFrame, keys: Sequence[str], place: Column, how: str) -> DataFrame:
+    """``df`` with the chunk of each row: how many splitters of its key it has reached, level by level.
+
+    One join finds the tree of a key. Compiled code looks into it where it was
+    broadcast and hands on a number, so that no row is written with splitters in it.
+    """
+    out = df.withColumns({_PLACE: place, _CHUNK: F.lit(0).cast("long")}).join(trees, list(keys), how)
+    for level, (under, above, most) in enumerate(_levels()):
+        out = out.withColumn(_SPLITS, F.get(F.get(_TREE, F.lit(level)), F.floor(F.col(_CHUNK) / F.lit(above)).cast("int")))
+        out = _search(out, most).withColumn(_CHUNK, F.col(_CHUNK) + F.lit(under) * F.col(_AT)).drop(_SPLITS, _AT)
+    return out.drop(_PLACE, _TREE)
 
 
 def _cut(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], rows: int) -> tuple[DataFrame, DataFrame]:
     """``df`` with the chunk of each row, and the rows of busy keys alone, which are the only ones with borders."""
     place = _place(df, order)
-    splits = splitters(df, keys, place, rows)
-    tree = F.broadcast(_tree(splits, keys))
+    trees = F.broadcast(_trees(splitters(df, keys, place, rows), keys))
     spread = F.col(_CHUNK) if keys == [_ALL] else F.when(_has_keys(keys), F.col(_CHUNK)).otherwise(F.col(_HASH))
-    whole = _chunked(df, tree, keys, place)
-    return whole.withColumn(_CHUNK, spread), _chunked(df.join(F.broadcast(splits.select(*keys)), list(keys)), tree, keys, place)
+    return _chunked(df, trees, keys, place, "left").withColumn(_CHUNK, spread), _chunked(df, trees, keys, place, "inner")
 
 
 def _prepared(df: DataFrame, by: Iterable[str] | str | None) -> tuple[DataFrame, list[str]]:
